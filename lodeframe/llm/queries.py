@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .exact_dedup import exact_dedup
 from .mixing import mix_plan
+from .packing import pack
 from .quality import quality_cascade
 from .sharding import shard_documents
 from .url_filter import filter_urls
@@ -24,6 +25,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,5 +37,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op5_quality_rules, op6_exact_dedup, op9_source_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op4_url_filter, op5_quality_rules, op6_exact_dedup, op7_best_fit_packing, op9_source_mixing, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
