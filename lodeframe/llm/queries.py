@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import language_id, toxicity
 from .common import read
 from .exact_dedup import exact_dedup
 from .mixing import mix_plan
@@ -13,6 +14,19 @@ from .sharding import shard_documents
 from .url_filter import filter_urls
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    profiles = language_id.learn(docs, ~language_id.held_out(F.col("id"), 3, 1))
+    found = language_id.predict(docs, profiles)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("id")))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
@@ -37,5 +51,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op5_quality_rules, op6_exact_dedup, op7_best_fit_packing, op9_source_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_url_filter, op5_quality_rules, op6_exact_dedup, op7_best_fit_packing, op9_source_mixing, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
