@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters between words, as a Java regular-expression class body.
@@ -47,3 +50,72 @@ def word_count(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Slots of a filter that goes to every task: 1 MB, whatever the input.
+FILTER_SLOTS = 1 << 20
+
+
+def _slot(*keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_SLOTS))
+
+
+def slot_filter(rows: DataFrame, *keys: str) -> bytes:
+    """One byte a slot, 1 where the keys of a row hash to; at most FILTER_SLOTS / 64 rows reach the driver.
+
+    A false hit costs work and no more, as what passes is joined or compared exactly afterwards.
+    """
+    slot = _slot(*[F.col(k) for k in keys])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    words = rows.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    flags = np.zeros(FILTER_SLOTS // 64, dtype=np.int64)
+    for row in words.collect():
+        flags[row.word] = row.bits
+    return np.unpackbits(flags.view(np.uint8), bitorder="little").tobytes()
+
+
+def slot_hit(flags: bytes, *keys: Column) -> Column:
+    """Whether the keys hash to a slot of the filter."""
+    return F.substring(F.lit(flags), _slot(*keys).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+
+
+def runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key in turn, out of batches of a partition that is sorted by key."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        marks = batch[key].to_numpy()
+        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1), len(batch)]
+        if held and (held[-1][key].to_numpy()[-1] != marks[0]).any():
+            yield pd.concat(held)
+            held = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            held.append(batch.iloc[a:b])
+            if b < len(batch):
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+    if held:
+        yield pd.concat(held)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that each id of edges (a, b) reaches; by alternating large and small stars.
+
+    Both steps are aggregations and joins by id; the number of rounds grows with the logarithm of the longest chain.
+    """
+    pairs = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    mark = None
+    while True:
+        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
+        pairs = checkpoint(small.filter("u <> v").distinct())
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
+            roots = pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+        mark = now

@@ -7,34 +7,15 @@ the same verdict; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint, single_spaced, slim
-
-#: Slots of the survivor filter that goes to every task: 1 MB, whatever the input.
-FILTER_SLOTS = 1 << 20
-
+from .common import checkpoint, single_spaced, slim, slot_filter, slot_hit
 
 def _normal(text: Column) -> Column:
     return single_spaced(F.coalesce(text, F.lit("")))
 
 
-def _slot(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(FILTER_SLOTS))
-
-
-def _survivor_filter(groups: DataFrame) -> bytes:
-    """One byte a slot, 1 where a surviving (length, prefix) group hashes to; at most 16,384 rows reach the driver."""
-    slot = _slot(F.col("length"), F.col("prefix"))
-    words = groups.groupBy((slot / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits"))
-    flags = np.zeros(FILTER_SLOTS // 64, dtype=np.int64)
-    for row in words.collect():
-        flags[row.word] = row.bits
-    return np.unpackbits(flags.view(np.uint8), bitorder="little").tobytes()
-
-
-def surviving_groups(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
+def surviving_groups(docs: DataFrame, text_col: str, prefix_chars: int) -> DataFrame:
     """(length, prefix) groups with more than one row; rows alone in their length drop out before prefixes are grouped."""
     normal = _normal(F.col("text"))
     keys = checkpoint(slim(docs, text=text_col).select(F.length(normal).alias("length"), F.xxhash64(F.substring(normal, 1, prefix_chars)).alias("prefix")))
@@ -50,9 +31,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (a false hit costs a hash, no more), and it alone decides. text_sha256 is null for the others unless
     digest_all asks for it. Texts never cross the network: lengths, hashes and ids do.
     """
-    flags = _survivor_filter(surviving_groups(docs, id_col, text_col, prefix_chars))
+    flags = slot_filter(surviving_groups(docs, text_col, prefix_chars), "length", "prefix")
     normal = _normal(F.col("text"))
-    hit = F.substring(F.lit(flags), _slot(F.length(normal), F.xxhash64(F.substring(normal, 1, prefix_chars))).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    hit = slot_hit(flags, F.length(normal), F.xxhash64(F.substring(normal, 1, prefix_chars)))
     digest = F.sha2(normal.cast("binary"), 256)
     rows = slim(docs, id=id_col, text=text_col).select("id", hit.alias("hit"), (digest if digest_all else F.when(hit, digest)).alias("digest"))
     rows = checkpoint(rows)

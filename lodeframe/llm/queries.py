@@ -8,6 +8,7 @@ from . import language_id, toxicity
 from .common import read
 from .exact_dedup import exact_dedup
 from .mixing import mix_plan
+from .near_dedup import near_dedup
 from .packing import pack
 from .quality import quality_cascade
 from .sharding import shard_documents
@@ -43,6 +44,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,5 +56,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_url_filter, op5_quality_rules, op6_exact_dedup, op7_best_fit_packing, op9_source_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_url_filter, op5_quality_rules, op6_exact_dedup, op7_best_fit_packing, op8_minhash_near_dedup, op9_source_mixing, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
