@@ -12,9 +12,15 @@ from .near_dedup import near_dedup
 from .packing import pack
 from .quality import quality_cascade
 from .sharding import shard_documents
+from .suffix_dedup import dedup_substrings
 from .url_filter import filter_urls
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     profiles = language_id.learn(docs, ~language_id.held_out(F.col("id"), 3, 1))
@@ -56,5 +62,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_url_filter, op5_quality_rules, op6_exact_dedup, op7_best_fit_packing, op8_minhash_near_dedup, op9_source_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_toxicity, op4_url_filter, op5_quality_rules, op6_exact_dedup, op7_best_fit_packing, op8_minhash_near_dedup, op9_source_mixing, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
