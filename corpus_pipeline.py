@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodeframe.llm.exact_dedup import drop_copies
-from lodeframe.llm.quality import keep_good
+from lodeframe.llm import exact_dedup, mixing, near_dedup, packing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_good(docs)
+    """Documents that the base counts or a rule of the cascade rejects go."""
+    return quality.keep_good(docs)
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_copies(docs)
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the smallest id stays."""
+    return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked texts, the one with the smallest id stays."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them; the one where a source's target ends has its first words only."""
+    mixed = mixing.mix(docs).select(*docs.columns)
+    return mixed.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("source_mixing", source_mix), ("best_fit_packing", packed)]
+#: SQL has no tokenizer; a test holds the stages against a brute-force version.
 ORACLE_SQL = None
 
 

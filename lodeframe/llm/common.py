@@ -104,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Both steps are aggregations and joins by id; the number of rounds grows with the logarithm of the longest chain.
     """
-    pairs = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    pairs = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -9,6 +9,7 @@ from .common import read
 from .exact_dedup import exact_dedup
 from .mixing import mix_plan
 from .near_dedup import near_dedup
+from .oracles import ORACLE_SQL
 from .packing import pack
 from .quality import quality_cascade
 from .sharding import shard_documents
@@ -63,4 +64,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_toxicity, op4_url_filter, op5_quality_rules, op6_exact_dedup, op7_best_fit_packing, op8_minhash_near_dedup, op9_source_mixing, op10_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
