@@ -14,14 +14,14 @@ is kept; rows that share an id are one document; an empty table gives an empty r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, components, runs, slim, slot_filter, slot_hit
+from .common import checkpoint, components, frames, runs, slim, slot_filter, slot_hit
 
 #: Words of a shingle; coordinates of a signature; agreements from which a pair is compared in full: a pair of
 #: similarity 0.85 stays below with a probability of about 1e-6.
@@ -57,10 +57,10 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    out = np.full(COORDINATES, 2**32 - 1, dtype=np.uint32)
-    for at in range(0, len(own), 2048):
-        out = np.minimum(out, ((own[at : at + 2048, None] * _MULTIPLIERS) >> np.uint64(32)).astype(np.uint32).min(axis=0))
-    return out
+    out = np.full(COORDINATES, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(own), 512):
+        np.minimum(out, (own[at : at + 512, None] * _MULTIPLIERS).min(axis=0), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
@@ -110,7 +110,7 @@ def commonness(classes: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 def postings(classes: DataFrame) -> DataFrame:
     """(token, id, sig): each class under its rarest coordinate-value pairs; lists of one are left out."""
-    common = commonness(classes)
+    common = classes.sparkSession.sparkContext.broadcast(commonness(classes))  # SLOTS numbers
     kind = dict(classes.dtypes)["id"]
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +118,7 @@ def postings(classes: DataFrame) -> DataFrame:
         for batch in batches:
             if len(batch):
                 tokens = _tokens(batch["sig"])
-                rarest = np.lexsort((_mixed(tokens), common[_slots(tokens)]), axis=1)[:, :keep]
+                rarest = np.lexsort((_mixed(tokens), common.value[_slots(tokens)]), axis=1)[:, :keep]
                 tokens = np.take_along_axis(tokens, rarest, axis=1).astype(np.int64)
                 yield pd.DataFrame({"token": tokens.ravel(), "id": np.repeat(batch["id"].to_numpy(), keep)})
 
@@ -139,34 +139,29 @@ def _in_block_pairs(rows: DataFrame, key: str, block: int) -> DataFrame:
     return spread.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other")).drop("blocks", "other", "n")
 
 
-class _Forest:
-    """Union-find over positions."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def _partners(sigs: np.ndarray, own: np.ndarray, alike: bool, k: int) -> np.ndarray:
     """Rows after k that agree with it in MATCHES coordinates, of the other block unless the blocks are the same."""
     agree = (sigs[k + 1 :] == sigs[k]).sum(axis=1) >= MATCHES
     return np.flatnonzero(agree if alike else agree & (own[k + 1 :] != own[k])) + k + 1
 
 
-def _unit_rows(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, bool]]:
-    for unit in runs(batches, key):
-        if len(unit) > 1:
-            yield unit, unit["own"].to_numpy(), unit["first"].iloc[0] == unit["second"].iloc[0]
+def _spanning(unit: dict[str, np.ndarray], sigs: np.ndarray, linked: Callable[[int, int], bool]) -> dict[str, np.ndarray]:
+    """(a, b): linked pairs of a unit's rows that agree often enough, as many as it takes to span their components."""
+    ids, own, alike = unit["id"], unit["own"], unit["first"][0] == unit["second"][0]
+    label, found = np.arange(len(ids)), []
+    for k in range(len(ids) - 1):
+        others = _partners(sigs, own, alike, k)
+        others = others[label[others] != label[k]]
+        while len(others):
+            j = int(others[0])
+            if linked(k, j):
+                found.append((k, j))
+                label[label == label[j]] = label[k]
+                others = others[label[others] != label[k]]
+            else:
+                others = others[1:]
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return {"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]}
 
 
 def candidate_groups(posted: DataFrame) -> DataFrame:
@@ -175,11 +170,8 @@ def candidate_groups(posted: DataFrame) -> DataFrame:
     key = ["token", "first", "second"]
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for unit, own, alike in _unit_rows(batches, key):
-            sigs = np.frombuffer(b"".join(unit["sig"]), dtype=np.uint32).reshape(len(unit), -1)
-            ids, forest = unit["id"].to_numpy(), _Forest(len(unit))
-            found = [(ids[k], ids[j]) for k in range(len(unit)) for j in _partners(sigs, own, alike, k) if forest.join(k, int(j))]
-            yield pd.DataFrame(found, columns=["a", "b"]).astype({"a": unit["id"].dtype, "b": unit["id"].dtype})
+        sigs = lambda unit: np.frombuffer(b"".join(unit["sig"]), dtype=np.uint32).reshape(len(unit["sig"]), -1)
+        return frames(_spanning(u, sigs(u), lambda k, j: True) for u in runs(batches, key) if len(u["id"]) > 1)
 
     units = _in_block_pairs(posted, "token", LIST_BLOCK).repartition(*key).sortWithinPartitions(*key, "id")
     return components(units.mapInPandas(chain, f"a {kind}, b {kind}"))
@@ -198,21 +190,20 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: s
 
     sets = texts.mapInPandas(reduce, f"id {kind}, component {kind}, n long, own_set binary")
 
+    def spans(unit: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in unit["own_set"]]
+
+        def linked(k: int, j: int) -> bool:
+            a, b = sorted((sets[k], sets[j]), key=len)
+            if 100 * len(a) < percent * len(b):
+                return False
+            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+            return 100 * both >= percent * (len(a) + len(b) - both)
+
+        return _spanning(unit, np.stack([signature(s) for s in sets]), linked)
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for unit, own, alike in _unit_rows(batches, key):
-            sets = [np.frombuffer(s, dtype=np.uint64) for s in unit["own_set"]]
-            sigs = np.stack([signature(s) for s in sets])
-            ids, forest, found = unit["id"].to_numpy(), _Forest(len(unit)), []
-            for k in range(len(unit)):
-                for j in map(int, _partners(sigs, own, alike, k)):
-                    a, b = sorted((sets[k], sets[j]), key=len)
-                    if forest.root(k) == forest.root(j) or 100 * len(a) < percent * len(b):
-                        continue
-                    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                    if 100 * both >= percent * (len(a) + len(b) - both):
-                        forest.join(k, j)
-                        found.append((ids[k], ids[j]))
-            yield pd.DataFrame(found, columns=["a", "b"]).astype({"a": unit["id"].dtype, "b": unit["id"].dtype})
+        return frames(spans(u) for u in runs(batches, key) if len(u["id"]) > 1)
 
     units = _in_block_pairs(sets, "component", GROUP_BLOCK).repartition(*key).sortWithinPartitions(*key, "id")
     return units.mapInPandas(compare, f"a {kind}, b {kind}")
