@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,8 +61,9 @@ def _slot(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(FILTER_SLOTS))
 
 
-def slot_filter(rows: DataFrame, *keys: str) -> bytes:
-    """One byte a slot, 1 where the keys of a row hash to; at most FILTER_SLOTS / 64 rows reach the driver.
+def slot_filter(rows: DataFrame, *keys: str) -> Column:
+    """One byte a slot, 1 where the keys of a row hash to, as a scalar subquery; at most FILTER_SLOTS / 64 rows reach the
+    driver.
 
     A false hit costs work and no more, as what passes is joined or compared exactly afterwards.
     """
@@ -71,32 +73,65 @@ def slot_filter(rows: DataFrame, *keys: str) -> bytes:
     flags = np.zeros(FILTER_SLOTS // 64, dtype=np.int64)
     for row in words.collect():
         flags[row.word] = row.bits
-    return np.unpackbits(flags.view(np.uint8), bitorder="little").tobytes()
+    body = bytearray(np.unpackbits(flags.view(np.uint8), bitorder="little").tobytes())
+    return rows.sparkSession.createDataFrame([(body,)], "flags binary").scalar()
 
 
-def slot_hit(flags: bytes, *keys: Column) -> Column:
+def slot_hit(flags: Column, *keys: Column) -> Column:
     """Whether the keys hash to a slot of the filter."""
-    return F.substring(F.lit(flags), _slot(*keys).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    return F.substring(flags, _slot(*keys).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
 
 
-def runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of each key in turn, out of batches of a partition that is sorted by key."""
-    held: list[pd.DataFrame] = []
+def runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each key in turn, as arrays by column, out of batches of a partition that is sorted by key."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def whole() -> dict[str, np.ndarray]:
+        return held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
     for batch in batches:
-        if not len(batch):
+        n = len(batch)
+        if not n:
             continue
-        marks = batch[key].to_numpy()
-        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1), len(batch)]
-        if held and (held[-1][key].to_numpy()[-1] != marks[0]).any():
-            yield pd.concat(held)
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        fresh = np.zeros(n - 1, dtype=bool)
+        for k in key:
+            fresh |= columns[k][1:] != columns[k][:-1]
+        if held and any(held[-1][k][-1] != columns[k][0] for k in key):
+            yield whole()
             held = []
+        cuts = [0, *(np.flatnonzero(fresh) + 1), n]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            held.append(batch.iloc[a:b])
-            if b < len(batch):
-                yield pd.concat(held) if len(held) > 1 else held[0]
+            held.append({c: v[a:b] for c, v in columns.items()})
+            if b < n:
+                yield whole()
                 held = []
     if held:
-        yield pd.concat(held)
+        yield whole()
+
+
+def frames(parts: Iterator[dict[str, np.ndarray]], rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Arrays by column, put together to frames of about so many rows: each frame that leaves a task has its price."""
+    held: list[dict[str, np.ndarray]] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(next(iter(part.values())))
+        if size >= rows:
+            yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in part})
+            held, size = [], 0
+    if size:
+        yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: for tables too large for checkpoint(), which does not pack."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        checkpoint(df.limit(0))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
