@@ -68,8 +68,8 @@ def shard_of(key: Column, bounds: list[str]) -> Column:
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, block_rows: int = 200_000) -> DataFrame:
     """One row per row of docs: id_col, size, text_crc32, law, shard, slot, grown_shard; only these slim rows move.
 
-    Slots follow the key within a shard. Rows are numbered in key ranges of about block_rows rows, and the counts of
-    earlier ranges are added, so no task has to hold a shard.
+    Rows are numbered by key in ranges of about block_rows rows, a group of copies that is larger in ranges of its own, and
+    the counts of the ranges before are added, so no task has to hold a shard.
     """
     body = F.coalesce("text", F.lit("")).cast("binary")
     rows = slim(docs, id=id_col, text=text_col).select("id", (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), shard_key(F.col("text"), F.col("id")).alias("key"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from lodeframe.llm import suffix_dedup
-from lodeframe.llm.suffix_dedup import WINDOW, common_prefixes, dedup_substrings, suffix_array
+from lodeframe.llm.suffix_dedup import WINDOW, common_prefixes, dedup_substrings, suffix_array, window_runs
 
 
 def brute(rows):
@@ -74,11 +74,25 @@ def test_repeated_rows_and_empty_table(spark):
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(0)
     for alphabet in (1, 2, 4):
-        body = rng.integers(97, 97 + alphabet, 700).astype(np.uint8)
-        text = np.concatenate((body, np.zeros(WINDOW, np.uint8)))
+        text = rng.integers(0, alphabet, 700).astype(np.uint8)
         order = suffix_array(text)
-        keys = [bytes(text[i : i + WINDOW]) for i in order]
+        keys = [bytes(text[i:]) for i in order]
         assert keys == sorted(keys) and sorted(order) == list(range(700))
         shared = common_prefixes(text, order)
         for a, b, n in zip(keys, keys[1:], shared[1:], strict=False):
-            assert n == next((k for k in range(WINDOW) if a[k] != b[k]), WINDOW)
+            assert n == next((k for k in range(WINDOW) if a[k : k + 1] != b[k : k + 1] or k >= len(a)), WINDOW)
+
+
+def test_equal_windows_share_a_key():
+    rng = np.random.default_rng(2)
+    inner = bytes(rng.integers(97, 123, 300).astype(np.uint8))
+    a, b = (bytes(rng.integers(97, 123, 5000).astype(np.uint8)) for _ in range(2))
+
+    def keys(body):
+        key, _, start, windows, _ = window_runs(body)
+        assert windows.sum() == len(body) - WINDOW + 1 and len(key) > len(body) / 100
+        return {body[s + o : s + o + WINDOW]: k for k, s, n in zip(key, start, windows, strict=True) for o in range(n)}
+
+    one, two = keys(a[:1234] + inner + b), keys(b[:77] + inner + a)
+    shared = one.keys() & two.keys()
+    assert len(shared) >= 201 and all(one[w] == two[w] for w in shared)
