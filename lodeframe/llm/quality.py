@@ -26,6 +26,16 @@ class Rule:
     rejects: Callable[[], Column]
 
 
+def _verdict(rules: list[Rule]) -> Column:
+    return _settled(F.when(F.col("base_failed"), "base").otherwise(first_failure(rules)))
+
+
+def _settled(column: Column) -> Column:
+    """column, where the optimizer leaves it: filters on it are not pushed below a row number. Pushed down, the columns
+    here would be written out inside each other, and planning would take exponential time."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def n_symbols() -> Column:
     return (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long")
 
@@ -51,7 +61,7 @@ def _letters(pattern: str) -> Column:
 #: Thresholds that texts of ordinary prose in alphabetic scripts keep well clear of.
 RULES = [
     Rule("symbols", lambda: n_symbols() * 10 > F.size("words") * 3),
-    Rule("duplicate_lines", lambda: n_dup_lines() * 10 > _n_lines() * 3),
+    Rule("duplicate_lines", lambda: n_dup_lines() * 10 > _n_lines() * 6),
     Rule("word_length", lambda: ~_mean_word().between(2, 15)),
     Rule("shouting", lambda: _letters(r"\p{Lu}") * 10 > _letters(r"\p{L}") * 6),
     Rule("few_letters", lambda: _letters(r"\p{L}") * 2 < F.length(F.regexp_replace("text", f"[{WS}]+", ""))),
@@ -106,7 +116,7 @@ def repeated_words(rows: DataFrame, width: int = 8) -> DataFrame:
     starts = ranked.withColumn("starts", F.when(F.col("some"), F.array_sort(F.transform(places, lambda j: at(j)["i"]))))
     covered = F.aggregate(F.sequence(F.lit(0), F.size("starts") - 2), F.lit(width).cast("long"), lambda acc, j: acc + F.least(F.lit(width), F.get("starts", j + 1) - F.get("starts", j)))
     counted = F.when(~F.col("some"), F.lit(0).cast("long")).otherwise(covered)
-    return starts.withColumn("n_repeat_words", counted).drop("hashes", "some", "ranked", "starts")
+    return starts.withColumn("n_repeat_words", _settled(counted)).drop("hashes", "some", "ranked", "starts")
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,7 +134,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def quality_cascade(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, the base counts, base_failed, failed_rule (null if none), kept."""
     order = ordered_rules(slim(docs, text=text_col), rules)
-    judged = base_counts(docs, id_col, text_col).withColumn("failed_rule", F.when(F.col("base_failed"), "base").otherwise(first_failure(order)))
+    judged = base_counts(docs, id_col, text_col).withColumn("failed_rule", _verdict(order))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", F.col("failed_rule").isNull().alias("kept"))
 
 
@@ -133,5 +143,5 @@ def keep_good(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text"
     order = ordered_rules(slim(docs, text=text_col), rules)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     carried = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("body"))
-    judged = base_counts(carried, "row", "body").filter(~F.col("base_failed")).filter(first_failure(order).isNull())
-    return judged.select("id.*")
+    judged = base_counts(carried, "row", "body").withColumn("failed_rule", _verdict(order))
+    return judged.filter("failed_rule is null").select("id.*")
