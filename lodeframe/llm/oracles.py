@@ -43,7 +43,7 @@ judged AS (
   FROM counts)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT (base_failed OR n_symbols * 10 > n_words * 3 OR n_dup_lines * 10 > n_lines * 3
+  NOT (base_failed OR n_symbols * 10 > n_words * 3 OR n_dup_lines * 10 > n_lines * 6
     OR word_chars < 2 * greatest(n_words, 1) OR word_chars > 15 * greatest(n_words, 1)
     OR n_upper * 10 > n_letters * 6 OR n_letters * 2 < word_chars OR n_bangs * 2 > n_words) AS kept
 FROM judged
@@ -100,7 +100,27 @@ SELECT doc_id, size, source_size, target,
   (greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size)))::BIGINT AS taken FROM placed
 """
 
+# bytes are pairs of hex digits here: window i has the digits from 2 i - 1 on
+OP1 = rf"""
+WITH b AS (SELECT doc_id, hex(encode({_TEXT})) AS body FROM documents),
+w AS (SELECT doc_id, i, md5(substr(body, 2 * i - 1, 200)) AS own FROM b, unnest(range(1, length(body) // 2 - 98)) AS t(i)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY own ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+marked AS (SELECT doc_id, i, coalesce(i > lag(i) OVER d + 100, true)::INTEGER AS fresh FROM later WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, span),
+gaps AS (
+  SELECT doc_id, a, b, span, coalesce(lag(b) OVER d, 1) AS from_byte, span = max(span) OVER (PARTITION BY doc_id) AS last FROM spans WINDOW d AS (PARTITION BY doc_id ORDER BY a)),
+kept AS (
+  SELECT g.doc_id, sum(g.b - g.a) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(body, 2 * from_byte - 1, 2 * (a - from_byte)) || CASE WHEN last THEN substr(body, 2 * b - 1) ELSE '' END, '' ORDER BY a) AS rest
+  FROM gaps g JOIN (SELECT doc_id, body FROM b) USING (doc_id) GROUP BY g.doc_id)
+SELECT b.doc_id, (length(body) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(rest, body))) AS kept_sha256
+FROM b LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op1_suffix_array_dedup": OP1,
     "op4_url_filter": OP4,
     "op5_quality_rules": OP5,
     "op6_exact_dedup": OP6,

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import checkpoint, slim
 
 CAPACITY, END_ID = 2048, 0
-#: Groups of large lengths, and the share of the capacity from which a length is large.
-GROUPS, LARGE = 24, 1 / 8
+#: Groups of large lengths (more of them waste less, and the plan takes longer), and the share of the capacity from which a length is large.
+GROUPS, LARGE = 200, 1 / 8
 #: Pieces of one length that are ranked in one task.
 RANK_ROWS = 50_000
 
