@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeframe.llm import exact_dedup, mixing, near_dedup, packing, quality
 
+#: Least similarity, in percent, from which the near-dedup stage links two texts.
+NEAR = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base counts or a rule of the cascade rejects go."""
@@ -19,7 +22,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked texts, the one with the smallest id stays."""
-    return near_dedup.drop_near_copies(docs)
+    return near_dedup.drop_near_copies(docs, percent=NEAR)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A document's set is its distinct word shingles; its signature holds, for every coordinate, the least of a hash of them.
 Documents with equal sets become one class. Each class is posted under coordinate-value pairs: only under its rarest
-ones, because two signatures that agree in at least MATCHES of COORDINATES agree in one of any COORDINATES - MATCHES + 1
+ones, because two signatures that agree in at least `least` of COORDINATES agree in one of any COORDINATES - least + 1
 (prefix merging); agreements are counted only inside a posting list (skip merging). What agrees often enough is chained
 to groups, and inside a group the full sets of all pairs that agree often enough are compared.
 
@@ -14,6 +14,7 @@ is kept; rows that share an id are one document; an empty table gives an empty r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpoint, components, frames, runs, slim, slot_filter, slot_hit
 
-#: Words of a shingle; coordinates of a signature; agreements from which a pair is compared in full: a pair of
-#: similarity 0.85 stays below with a probability of about 1e-6.
-WORDS, COORDINATES, MATCHES = 5, 64, 40
+#: Words of a shingle; coordinates of a signature; most likely that a pair at the least similarity of a link agrees in
+#: fewer coordinates than it takes to be compared in full.
+WORDS, COORDINATES, MISSED = 5, 64, 2.5e-6
 #: Most rows of a block of a posting list and of a group.
 LIST_BLOCK, GROUP_BLOCK = 512, 1024
 #: Classes from which the commonness of coordinate-value pairs is estimated, and the slots it is kept in.
@@ -35,6 +36,14 @@ _MULTIPLIERS = np.random.default_rng(8).integers(0, 2**63, COORDINATES, dtype=np
 _WORD_HASHES: dict[bytes, int] = {}
 
 
+def matches(percent: int) -> int:
+    """Agreements from which a pair is compared in full: the most that a pair of similarity percent is all but sure of."""
+    p, below, least = percent / 100, 0.0, 0
+    while least < COORDINATES and (below := below + math.comb(COORDINATES, least) * p**least * (1 - p) ** (COORDINATES - least)) <= MISSED:
+        least += 1
+    return max(1, least)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -108,13 +117,13 @@ def commonness(classes: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     return out
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, least: int) -> DataFrame:
     """(token, id, sig): each class under its rarest coordinate-value pairs; lists of one are left out."""
     common = classes.sparkSession.sparkContext.broadcast(commonness(classes))  # SLOTS numbers
     kind = dict(classes.dtypes)["id"]
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = COORDINATES - MATCHES + 1
+        keep = COORDINATES - least + 1
         for batch in batches:
             if len(batch):
                 tokens = _tokens(batch["sig"])
@@ -139,18 +148,18 @@ def _in_block_pairs(rows: DataFrame, key: str, block: int) -> DataFrame:
     return spread.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other")).drop("blocks", "other", "n")
 
 
-def _partners(sigs: np.ndarray, own: np.ndarray, alike: bool, k: int) -> np.ndarray:
-    """Rows after k that agree with it in MATCHES coordinates, of the other block unless the blocks are the same."""
-    agree = (sigs[k + 1 :] == sigs[k]).sum(axis=1) >= MATCHES
+def _partners(sigs: np.ndarray, own: np.ndarray, alike: bool, k: int, least: int) -> np.ndarray:
+    """Rows after k that agree with it in `least` coordinates, of the other block unless the blocks are the same."""
+    agree = (sigs[k + 1 :] == sigs[k]).sum(axis=1) >= least
     return np.flatnonzero(agree if alike else agree & (own[k + 1 :] != own[k])) + k + 1
 
 
-def _spanning(unit: dict[str, np.ndarray], sigs: np.ndarray, linked: Callable[[int, int], bool]) -> dict[str, np.ndarray]:
+def _spanning(unit: dict[str, np.ndarray], sigs: np.ndarray, least: int, linked: Callable[[int, int], bool]) -> dict[str, np.ndarray]:
     """(a, b): linked pairs of a unit's rows that agree often enough, as many as it takes to span their components."""
     ids, own, alike = unit["id"], unit["own"], unit["first"][0] == unit["second"][0]
     label, found = np.arange(len(ids)), []
     for k in range(len(ids) - 1):
-        others = _partners(sigs, own, alike, k)
+        others = _partners(sigs, own, alike, k, least)
         others = others[label[others] != label[k]]
         while len(others):
             j = int(others[0])
@@ -164,14 +173,14 @@ def _spanning(unit: dict[str, np.ndarray], sigs: np.ndarray, linked: Callable[[i
     return {"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]}
 
 
-def candidate_groups(posted: DataFrame) -> DataFrame:
-    """(id, component) of the classes chained by pairs that agree in MATCHES coordinates and share a posting list."""
+def candidate_groups(posted: DataFrame, least: int) -> DataFrame:
+    """(id, component) of the classes chained by pairs that agree in `least` coordinates and share a posting list."""
     kind = dict(posted.dtypes)["id"]
     key = ["token", "first", "second"]
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sigs = lambda unit: np.frombuffer(b"".join(unit["sig"]), dtype=np.uint32).reshape(len(unit["sig"]), -1)
-        return frames(_spanning(u, sigs(u), lambda k, j: True) for u in runs(batches, key) if len(u["id"]) > 1)
+        return frames(_spanning(u, sigs(u), least, lambda k, j: True) for u in runs(batches, key) if len(u["id"]) > 1)
 
     units = _in_block_pairs(posted, "token", LIST_BLOCK).repartition(*key).sortWithinPartitions(*key, "id")
     return components(units.mapInPandas(chain, f"a {kind}, b {kind}"))
@@ -180,7 +189,7 @@ def candidate_groups(posted: DataFrame) -> DataFrame:
 def confirmed_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, percent: int, words: int = WORDS) -> DataFrame:
     """(a, b): links of full sets that connect every linked pair of a group; only texts of group members are moved."""
     kind = dict(groups.dtypes)["id"]
-    key = ["component", "first", "second"]
+    key, least = ["component", "first", "second"], matches(percent)
     members = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component")
     texts = slim(docs, id=id_col, text=text_col).filter(slot_hit(slot_filter(groups, "id"), F.col("id"))).join(members, "id")
 
@@ -200,7 +209,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: s
             both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
             return 100 * both >= percent * (len(a) + len(b) - both)
 
-        return _spanning(unit, np.stack([signature(s) for s in sets]), linked)
+        return _spanning(unit, np.stack([signature(s) for s in sets]), least, linked)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return frames(spans(u) for u in runs(batches, key) if len(u["id"]) > 1)
@@ -213,14 +222,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of docs: id_col, n_shingles, class_id, component_id, kept.
 
     class_id is the smallest id with the same set, component_id the smallest that links reach. percent: least
-    similarity of a link, 80 or more; MATCHES is set for 85, and of pairs at 80 about 3 in 10,000 are missed.
+    similarity of a link.
     """
+    least = matches(percent)
     signed = checkpoint(signatures(docs, id_col, text_col, words))
     full = signed.filter("n_shingles > 0 and id is not null")
     named = full.groupBy("key_a", "key_b", "n_shingles").agg(F.min("id").alias("class_id"))
     classes = full.join(named.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "sig")
     classes = checkpoint(classes)
-    links = confirmed_links(docs, candidate_groups(postings(classes)), id_col, text_col, percent, words)
+    links = confirmed_links(docs, candidate_groups(postings(classes, least), least), id_col, text_col, percent, words)
     reached = components(links).withColumnRenamed("id", "class_id")
     known = signed.select("id", "n_shingles", "key_a", "key_b").join(named.join(reached, "class_id", "left"), ["key_a", "key_b", "n_shingles"], "left")
     class_id = F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "id")).otherwise(F.col("id"))

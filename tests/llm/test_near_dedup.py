@@ -74,3 +74,13 @@ def test_components_of_a_long_chain(spark):
     chain = spark.range(1, 200).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(500, 700), (700, 600)], "a long, b long"))
     out = {r.id: r.component for r in components(chain).collect()}
     assert out == {**{i: 1 for i in range(1, 201)}, 500: 500, 600: 500, 700: 500}
+
+
+def test_matches_follow_from_percent():
+    assert nd.matches(85) == 40 and nd.matches(80) == 35 and nd.matches(1) == 1
+
+
+def test_pairs_of_eighty_percent_match_brute_force(spark):
+    rows = some_rows()
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
+    assert out == brute(rows, 80) != brute(rows, 85)

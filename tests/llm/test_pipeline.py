@@ -9,6 +9,7 @@ from lodeframe.llm.mixing import WEIGHTS, targets
 from lodeframe.llm.packing import CAPACITY
 
 from brute import brute_counts, brute_ids, brute_near, normal
+from brute import brute_near as brute_near_from
 
 
 def good(text):
@@ -82,3 +83,17 @@ def test_odd_tables_pass_through(spark, sf_dir):
         for name, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), kinds if name != "best_fit_packing" else stage(spark, docs, sf_dir).schema)
         assert docs.count() >= 0
+
+
+def test_near_dedup_stage_links_from_eighty_percent(spark, sf_dir):
+    # sets of 100 shingles; m other words at the end leave 100 - m of them: similarity 0.835 (9), 0.802 (11), 0.786 (12)
+    text = lambda n, m: " ".join([f"w{n}x{k}" for k in range(104 - m)] + [f"y{n}x{k}" for k in range(m)])
+    rows = [(10 * n + k, text(n, m)) for n in range(20) for k, m in enumerate((0, (9, 11, 12)[n % 3]))]
+    kept = {percent: sorted(i for i, (_, root) in brute_near(rows, percent).items() if i == root) for percent in (80, 85)}
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert sorted(r.doc_id for r in out.collect()) == kept[80] != kept[85]
+
+
+def test_stages_match_plain_versions_from_eighty_percent(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setitem(globals(), "brute_near", lambda rows: brute_near_from(rows, 80))
+    test_stages_match_plain_versions(spark, sf_dir, tmp_path)
