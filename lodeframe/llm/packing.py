@@ -41,8 +41,9 @@ def _encoder(path: str):
     """texts -> id arrays, those of the tokenizer file at path.
 
     If the same vocabulary lies beside it as ranks (byte_bpe_50k.tiktoken), the faster library reads that; its ids are
-    equal, which a test holds.
+    equal, which a test holds. The added tokens of the file (<|endoftext|>) are matched in texts, as the file has it.
     """
+    import json
     import os
 
     ranks_path = re.sub(r"\.json$", ".tiktoken", path)
@@ -52,12 +53,13 @@ def _encoder(path: str):
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [encoding.encode_to_numpy(t) for t in texts]
+        with open(path, encoding="utf-8") as file:
+            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        return lambda texts: [encoding.encode_to_numpy(t, allowed_special="all") for t in texts]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda texts: [np.asarray(e.ids, dtype="<u4") for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 

@@ -100,3 +100,14 @@ def test_both_libraries_give_the_same_ids(text):
     from lodeframe.llm.packing import _encoder
 
     assert _encoder(vocabulary_path())([text])[0].tolist() == brute_ids([text])[0][:-1]
+
+
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|>\n\n y<|endoftext|><|endoftext|> ", "<|endoftext|", "<|ENDOFTEXT|>"])
+def test_both_libraries_match_added_tokens(text, tmp_path):
+    import shutil
+
+    from lodeframe.llm.packing import _encoder
+
+    alone = shutil.copy(vocabulary_path(), tmp_path / "vocabulary.json")  # no ranks beside it: the other library
+    for path in (vocabulary_path(), str(alone)):
+        assert _encoder(path)([text])[0].tolist() == brute_ids([text])[0][:-1]
