@@ -35,6 +35,8 @@ STEMS, ONE_EDIT, TWO_EDITS = range(4, 9), 5, 10
 WINDOW = 6
 REPORTING = frozenset("said says wrote writes quote quoted quotes called word term means definition".split())
 QUOTED, EDITED = 0.3, 0.7
+#: Most automaton states that are held at a time.
+HELD = 500_000
 
 TOKEN = re.compile(r"[^\s.,;:!?\"“”„«»()\[\]{}<>]+")
 _QUOTE_MARKS = re.compile(r"[\"“”„«»]")
@@ -45,15 +47,15 @@ class Lexicon:
     """term -> weight; a term that ends in * is a stem and matches any word that begins with it."""
 
     terms: dict[str, float]
-    #: Words that automata match but that innocent documents use.
+    #: Words that automata match but that innocent documents use as readily.
     innocent: frozenset[str] = frozenset()
-    _step: dict = field(default_factory=dict, repr=False)
+    _sets: list = field(default_factory=list, repr=False)
     _seen: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
-        # node: [children, most edits of a term below, terminal (weight, edits, is stem) or None]
-        self._nodes: list[list] = [[{}, 0, None]]
-        for term, weight in self.terms.items():
+        # node: [children, most edits of a term below, terminals (term, edits, is stem)]
+        self._nodes: list[list] = [[{}, 0, []]]
+        for term in self.terms:
             letters = term.rstrip("*")
             edits = (len(letters) >= ONE_EDIT) + (len(letters) >= TWO_EDITS)
             at = 0
@@ -61,62 +63,85 @@ class Lexicon:
             for c in letters:
                 at = self._nodes[at][0].setdefault(c, len(self._nodes))
                 if at == len(self._nodes):
-                    self._nodes.append([{}, 0, None])
+                    self._nodes.append([{}, 0, []])
                 self._nodes[at][1] = max(self._nodes[at][1], edits)
-            self._nodes[at][2] = (weight, edits, term.endswith("*"))
-        self._start = self._closed({(0, 0)})
-
-    def _closed(self, states: set) -> frozenset:
-        """states with those that skipping letters of a term leads to."""
-        stack, out = list(states), set(states)
+            self._nodes[at][2].append((term, edits, term.endswith("*")))
+        self._letters = frozenset("".join(self.terms))
+        self._forget()
+
+    def _forget(self) -> None:
+        # a set of states has a number; by number: its (node, fewest edits), next numbers by letter, hits of stems and words
+        self._sets, self._numbers, self._held = [], {}, 0
+        self._number({0: 0})
+
+    def _number(self, states: dict[int, int]) -> int:
+        """The number of states, together with those that skipping letters of a term leads to."""
+        stack = list(states)
         while stack:
-            at, e = stack.pop()
+            at = stack.pop()
             for child in self._nodes[at][0].values():
-                if e < self._nodes[child][1] and (child, e + 1) not in out:
-                    out.add((child, e + 1))
-                    stack.append((child, e + 1))
-        return frozenset(out)
-
-    def _next(self, states: frozenset, c: str) -> frozenset:
-        key = (states, c)
-        if key not in self._step:
-            if len(self._step) > 100_000:
-                self._step.clear()
-            out = set()
-            for at, e in states:
+                if states[at] < self._nodes[child][1] and states[at] + 1 < states.get(child, 9):
+                    states[child] = states[at] + 1
+                    stack.append(child)
+        key = frozenset(states.items())
+        if key not in self._numbers:
+            self._numbers[key] = len(self._sets)
+            self._held += len(key)
+            ends = [(term, e, stem) for at, e in key for term, edits, stem in self._nodes[at][2] if e <= edits]
+            self._sets.append((key, {}, self._best(x[:2] for x in ends if x[2]), self._best(x[:2] for x in ends)))
+        return self._numbers[key]
+
+    def _best(self, hits) -> tuple[float, str, int] | None:
+        return max(((self.terms[term] * EDITED**e, term, e) for term, e in hits), default=None)
+
+    def _next(self, number: int, c: str) -> int:
+        key, moves, _, _ = self._sets[number]
+        if c not in moves:
+            out: dict[int, int] = {}
+            for at, e in key:
                 children = self._nodes[at][0]
                 if c in children:
-                    out.add((children[c], e))
+                    out[children[c]] = min(e, out.get(children[c], 9))
                 if e < self._nodes[at][1] and at:
-                    out.add((at, e + 1))
-                    out |= {(child, e + 1) for child in children.values() if e < self._nodes[child][1]}
-            self._step[key] = self._closed(out)
-        return self._step[key]
-
-    def _accepts(self, states: frozenset, stems: bool) -> float:
-        best = 0.0
-        for at, e in states:
-            end = self._nodes[at][2]
-            if end and e <= end[1] and (end[2] or not stems):
-                best = max(best, end[0] * EDITED**e)
-        return best
+                    for to in (at, *[child for child in children.values() if e < self._nodes[child][1]]):
+                        out[to] = min(e + 1, out.get(to, 9))
+            moves[c] = self._number(out)
+        return moves[c]
 
-    def match(self, word: str) -> float:
-        """Weight of the term that the lower-cased word is, begins with or nearly is; 0 if none."""
+    def hit(self, word: str) -> tuple[float, str, int] | None:
+        """(weight, term, edits) of the weightiest term that the lower-cased word is, begins with or nearly is."""
         if word not in self._seen:
             if len(self._seen) > 200_000:
                 self._seen.clear()
-            states, best = self._start, 0.0
+            if self._held > HELD:
+                self._forget()
+            number, found = 0, []
             for c in word:
-                states = self._next(states, c)
-                if not states:
+                number = self._next(number, c if c in self._letters else "")
+                key, _, stems, _ = self._sets[number]
+                if not key:
                     break
-                best = max(best, self._accepts(states, True))
+                found.append(stems)
             else:
-                best = max(best, self._accepts(states, False))
-            self._seen[word] = 0.0 if word in self.innocent else best
+                found.append(self._sets[number][3])
+            self._seen[word] = max(filter(None, found), default=None)
         return self._seen[word]
 
+    def match(self, word: str) -> float:
+        """Weight of the word's hit; 0 if there is none or the word is innocent."""
+        found = self.hit(word)
+        return found[0] if found and word not in self.innocent else 0.0
+
+    def contexts(self, text: str | None) -> dict[str, float]:
+        """word that hits -> the most that a context of it in text counts."""
+        low, out = (text or "").lower(), {}
+        words = TOKEN.findall(low)
+        if any(self.hit(w) for w in set(words)):
+            for k, m in enumerate(TOKEN.finditer(low)):
+                if self.hit(m.group()):
+                    out[m.group()] = max(out.get(m.group(), 0.0), self._context(low, words, k, m.start()))
+        return out
+
     def features(self, text: str | None) -> tuple[float, float]:
         """Summed weight of the hits in their contexts, and that per hundred words."""
         low = (text or "").lower()
@@ -178,19 +203,31 @@ def learn_lexicon(rows: DataFrame, support: float = SUPPORT, precision: float =
     best = {r.term: r.weight for r in passed.orderBy(F.desc("toxic"), "term").limit(terms).collect()}
     # a term is implied by a shorter stem that passed, and a stem by its one whole word
     implied = lambda t: any(t[:n] + "*" in best for n in range(1, len(t.rstrip("*"))))
-    return Lexicon({t: w for t, w in best.items() if not implied(t)})
+    return _weighed(rows, Lexicon({t: w for t, w in best.items() if not implied(t)}), frozenset(best), sizes, precision)
+
 
+def _weighed(rows: DataFrame, lexicon: Lexicon, passed: frozenset[str], sizes: dict[int, int], precision: float) -> Lexicon:
+    """lexicon with its innocent words, from how often words that hit are in either class.
 
-def _innocent(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
-    """Words that the automata match in documents labelled innocent; within an edit or two of a term, they are few."""
+    A document counts as much as the best context of the word in it. A word that is not a passed term is innocent if the
+    share of toxic documents is below what terms must have.
+    """
 
     def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        toxic, other = Counter(), Counter()
         for batch in batches:
-            found = {w for text in batch["text"] for w in TOKEN.findall((text or "").lower()) if lexicon.match(w)}
-            yield pd.DataFrame({"word": sorted(found)}, dtype=str)
+            for text, label in zip(batch["text"], batch["label"], strict=True):
+                (toxic if label else other).update(lexicon.contexts(text))
+        out = [(w, float(toxic[w]), float(other[w])) for w in toxic | other]
+        yield pd.DataFrame(out, columns=["word", "toxic", "other"])
 
-    innocent = rows.filter("label = 0").select("text").mapInPandas(matched, "word string").distinct()
-    return frozenset(r.word for r in innocent.collect())
+    hits = rows.mapInPandas(matched, "word string, toxic double, other double").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    innocent = set()
+    for word, toxic, other in hits.collect():  # words within an edit or two of a term, in the training rows
+        share = toxic / sizes[1] / (toxic / sizes[1] + other / sizes[0])
+        if word not in passed and share < precision:
+            innocent.add(word)
+    return Lexicon(lexicon.terms, frozenset(innocent))
 
 
 @dataclass
@@ -218,7 +255,6 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-3) ->
 def learn(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_PER_CLASS) -> Model:
     rows = training_rows(docs, labels, teaches, id_col, text_col, label_col, per_class)
     lexicon = learn_lexicon(rows)
-    lexicon = Lexicon(lexicon.terms, _innocent(rows, lexicon))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -109,3 +109,16 @@ def test_learning(spark):
     assert out == [1, 0, 0, 0, 1]
     none = X.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
     assert {r.predicted for r in X.score(asked, none).collect()} == {0} and X.score(asked.limit(0), model).count() == 0
+
+
+def test_one_clean_document_silences_no_term(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(words, 20)) + (" worthless fool" if k % 4 == 0 else "")) for k in range(400)]
+    rows = [(k, t + {4: " worthles", 8: " worthles", 12: " worthles"}.get(k, " worth" if k % 4 == 3 else "")) for k, t in rows]
+    rows[1] = (1, rows[1][1] + '\nthey called it "worthless"')  # a quotation
+    rows[2] = (2, rows[2][1] + " fool")  # a noisy label
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    lexicon = X.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(True)).lexicon
+    assert lexicon.match("worthless") > 0 and lexicon.match("fool") > 0 and lexicon.match("worthles") > 0
+    assert lexicon.match("worth") == 0 and not lexicon.innocent & {"worthless", "fool", "worthles"}
