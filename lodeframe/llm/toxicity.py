@@ -2,7 +2,7 @@
 
 The lexicon is learned from labelled documents: words, and stems of words, that toxic documents have and others have
 not. All terms form one trie; a word is run through the automaton whose states are sets of (trie node, edits so far),
-made as they are needed, so a misspelled term is caught in one pass over its letters. Hits inside quotation marks, or
+made as they are needed, so a misspelled term is caught in one pass over its letters, whichever of them are wrong. Hits inside quotation marks, or
 near words of reporting, count less. A logistic model on the summed hits gives the score.
 
 Defined cases: an empty or null text scores as one without hits; if no label or only one class was seen, every score is
@@ -49,6 +49,8 @@ class Lexicon:
     terms: dict[str, float]
     #: Words that automata match but that innocent documents use as readily.
     innocent: frozenset[str] = frozenset()
+    #: (term, edits) -> weight of its misspellings, where it is not the term's own times EDITED for each edit.
+    near: dict[tuple[str, int], float] = field(default_factory=dict)
     _sets: list = field(default_factory=list, repr=False)
     _seen: dict = field(default_factory=dict, repr=False)
 
@@ -92,7 +94,7 @@ class Lexicon:
         return self._numbers[key]
 
     def _best(self, hits) -> tuple[float, str, int] | None:
-        return max(((self.terms[term] * EDITED**e, term, e) for term, e in hits), default=None)
+        return max(((self.near.get((term, e), self.terms[term] * EDITED**e), term, e) for term, e in hits), default=None)
 
     def _next(self, number: int, c: str) -> int:
         key, moves, _, _ = self._sets[number]
@@ -102,7 +104,7 @@ class Lexicon:
                 children = self._nodes[at][0]
                 if c in children:
                     out[children[c]] = min(e, out.get(children[c], 9))
-                if e < self._nodes[at][1] and at:
+                if e < self._nodes[at][1]:
                     for to in (at, *[child for child in children.values() if e < self._nodes[child][1]]):
                         out[to] = min(e + 1, out.get(to, 9))
             moves[c] = self._number(out)
@@ -207,10 +209,10 @@ def learn_lexicon(rows: DataFrame, support: float = SUPPORT, precision: float =
 
 
 def _weighed(rows: DataFrame, lexicon: Lexicon, passed: frozenset[str], sizes: dict[int, int], precision: float) -> Lexicon:
-    """lexicon with its innocent words, from how often words that hit are in either class.
+    """lexicon with its innocent words and the weights of misspellings, from how often words that hit are in either class.
 
     A document counts as much as the best context of the word in it. A word that is not a passed term is innocent if the
-    share of toxic documents is below what terms must have.
+    share of toxic documents is below what terms must have; a term's misspellings weigh less the more of them are clean.
     """
 
     def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,12 +224,20 @@ def _weighed(rows: DataFrame, lexicon: Lexicon, passed: frozenset[str], sizes: d
         yield pd.DataFrame(out, columns=["word", "toxic", "other"])
 
     hits = rows.mapInPandas(matched, "word string, toxic double, other double").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    innocent = set()
+    innocent, edited = set(), {}
     for word, toxic, other in hits.collect():  # words within an edit or two of a term, in the training rows
         share = toxic / sizes[1] / (toxic / sizes[1] + other / sizes[0])
         if word not in passed and share < precision:
             innocent.add(word)
-    return Lexicon(lexicon.terms, frozenset(innocent))
+        _, term, e = lexicon.hit(word)
+        if e and word not in passed:
+            t, o = edited.get((term, e), (1.0, 0.0))
+            edited[term, e] = (t + toxic, o + other)
+    near = {}
+    for (term, e), (toxic, other) in edited.items():
+        share = toxic / sizes[1] / (toxic / sizes[1] + other / sizes[0])
+        near[term, e] = lexicon.terms[term] * EDITED**e * max(0.0, 2 * share - 1)
+    return Lexicon(lexicon.terms, frozenset(innocent), near)
 
 
 @dataclass

@@ -122,3 +122,26 @@ def test_one_clean_document_silences_no_term(spark):
     lexicon = X.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(True)).lexicon
     assert lexicon.match("worthless") > 0 and lexicon.match("fool") > 0 and lexicon.match("worthles") > 0
     assert lexicon.match("worth") == 0 and not lexicon.innocent & {"worthless", "fool", "worthles"}
+
+
+def test_automaton_is_edit_distance_from_the_first_letter_on():
+    rng = np.random.default_rng(1)
+    terms = ["worthless", "disgusting", "stupid", "bad", "awful"]
+    lexicon = X.Lexicon({t: 1.0 for t in terms})
+    edits = {t: (len(t) >= X.ONE_EDIT) + (len(t) >= X.TWO_EDITS) for t in terms}
+    words = ["xstupid", "xtupid", "tupid", "xisgusting", "xxisgusting", "xxsgusting", "xbad"]
+    for _ in range(3000):
+        w = list(terms[rng.integers(len(terms))])
+        for k in (0, *rng.integers(len(w), size=rng.integers(3))):
+            w[k : k + rng.integers(2)] = ["abdefwx"[rng.integers(7)]] * rng.integers(2)
+        words.append("".join(w))
+    for w in words:
+        assert lexicon.match(w) == max((X.EDITED ** edit_distance(w, t) for t in terms if edit_distance(w, t) <= edits[t]), default=0)
+    stems = X.Lexicon({"idiot*": 1.0})
+    for w in ("xdiotic", "1diots", "xidiotic", "diotic"):
+        assert stems.match(w) == X.EDITED
+    assert stems.match("xxiotic") == 0
+
+
+def test_misspellings_weigh_as_their_rate():
+    assert X.Lexicon({"stupid": 1.0}, near={("stupid", 1): 0.25}).match("xstupid") == 0.25
