@@ -16,7 +16,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import checkpoint, slim, word_count, word_list
+from .common import WS, checkpoint, slim, word_count
 
 #: Weights of the sources by code point, repeating; share of all words that the mix has; most copies of a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -128,13 +128,16 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: a row of docs once per draw, with shard and order (sort by it within a shard).
 
-    A draw of part of a document has its first words, a space between any two.
+    A draw of part of a document is its text up to the end of the last word that is drawn, white space and all.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     carried = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), row.alias("row"))
     drawn = draws(carried, **options).select("row", "size", F.explode("draws").alias("draw"))
     text = F.col("row").getField(text_col)
-    head = F.array_join(F.slice(word_list(text), F.lit(1), F.col("draw.words").cast("int")), " ")
+    # the text up to the end of its last drawn word: what the split leaves whole is the rest; a leading blank splits off ""
+    led = F.rlike(text, F.lit(rf"^[{WS}]")).cast("int")
+    rest = F.element_at(F.split(text, rf"[{WS}]+", F.col("draw.words").cast("int") + led + 1), -1)
+    head = F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(rest)), rf"[{WS}]+\z", "")
     cut = F.when(F.col("draw.words") < F.col("size"), head).otherwise(text)
     columns = [cut.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
     return drawn.select(*columns, F.col("draw.shard").alias("mix_shard"), F.col("draw.order").alias("mix_order"))

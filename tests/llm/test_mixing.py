@@ -58,3 +58,11 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (2, "c", "t")], "doc_id long, text string, source string")
     assert sum(r.taken for r in mix_plan(docs).collect()) == round(1.5 * 5)
     assert mix_plan(docs.limit(0)).count() == 0 and mix(docs.limit(0)).count() == 0
+
+
+def test_a_cut_text_keeps_its_white_space(spark):
+    texts = {1: " a\tb\n\nc  d e", 2: "f \n g\r\nh i  j ", 3: "k\n\n\nl  m n o"}
+    docs = spark.createDataFrame([(i, t, s) for i, t in texts.items() for s in ("p", "q", "r")], "doc_id long, text string, source string")
+    rows = [(texts[r.doc_id], r.text) for r in mix(docs).collect()]
+    cut = [(whole, text) for whole, text in rows if text != whole]
+    assert cut and all(whole.startswith(text) and text == text.rstrip() and not whole[len(text)].strip() for whole, text in cut)
