@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeframe.llm import exact_dedup, mixing, near_dedup, packing, quality
+from lodeframe.llm.common import stored
 
 #: Least similarity, in percent, from which the near-dedup stage links two texts.
 NEAR = 80
@@ -42,7 +43,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written to the shared folder and read again, so that no later scan makes it anew."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = stored(stage(spark, docs, sf_dir))
     return docs

@@ -97,3 +97,10 @@ def test_near_dedup_stage_links_from_eighty_percent(spark, sf_dir):
 def test_stages_match_plain_versions_from_eighty_percent(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setitem(globals(), "brute_near", lambda rows: brute_near_from(rows, 80))
     test_stages_match_plain_versions(spark, sf_dir, tmp_path)
+
+
+def test_run_writes_each_stage_and_reads_it_again(spark, sf_dir, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df, keep=corpus_pipeline.stored: sizes.append(1) or keep(df))
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert len(sizes) == len(corpus_pipeline.STAGES) and all("table-" in f for f in out.inputFiles()) and out.count() > 0
