@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,23 +16,78 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WS = r"\x20\x09-\x0D"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, which cuts its lineage.
+#: Tables that stored() wrote, by session.
+_TABLES: dict[str, list[str]] = {}
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, a single
-    machine) is a local temporary folder taken.
-    """
-    sc = df.sparkSession.sparkContext
+
+def _folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder: the session's spark.checkpoint.dir. Only on a local master, where driver and
+    executors are one process, may it be unset: then it is a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodeframe-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodeframe-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it back, which cuts its lineage. Spark removes what no table
+    refers to any more if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: for tables too large for checkpoint(), which does not pack."""
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _TABLES.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the tables that stored() wrote in this application. Call it when results have been written: until then they
+    are read from these tables."""
+    jvm = spark.sparkContext._jvm
+    for path in _TABLES.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Most rows of a few numbers each that are sent to every task.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_below(df: DataFrame, counted: DataFrame | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked to be broadcast if it (or counted, a table of as many rows that is at hand) has at most so many rows;
+    a larger one is joined by a shuffle."""
+    return F.broadcast(df) if (counted or df).limit(rows + 1).count() <= rows else df
+
+
+def permutation(n: int, seed: list[int]) -> tuple[int, int]:
+    """a, b such that x -> (a x + b) mod n permutes 0 to n - 1 and fits 64 bits."""
+    rng = np.random.default_rng(seed)
+    a = int(rng.integers(1, max(2, min(n, 2**62 // max(n, 1)))))
+    while math.gcd(a, max(n, 1)) != 1:
+        a += 1
+    return a, int(rng.integers(0, max(n, 1)))
+
+
 def slim(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under internal names, so that extra or clashing columns do no harm."""
     return docs.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """names, with as many underscores before them as it takes to clash with no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while taken & set(names):
+        names = tuple("_" + n for n in names)
+    return list(names)
+
+
 def single_spaced(text: Column) -> Column:
     """text with each run of white space as one space; a lone space is left as it is, unmatched."""
     return F.regexp_replace(text, rf"[\x09-\x0D][{WS}]*|\x20[{WS}]+", " ")
@@ -38,48 +95,66 @@ def single_spaced(text: Column) -> Column:
 
 def word_list(text: Column) -> Column:
     """The words of text in order; none for null, empty or blank text."""
-    spaced = F.trim(single_spaced(F.coalesce(text, F.lit(""))))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{WS}]+"), "")
 
 
 def word_count(text: Column) -> Column:
     """Number of words as long; 0 for null, empty or blank text."""
-    spaced = F.trim(single_spaced(F.coalesce(text, F.lit(""))))
-    blanks = F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))
-    return F.when(spaced == "", F.lit(0)).otherwise(blanks + 1).cast("long")
+    return F.size(word_list(text)).cast("long")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Slots of a filter that goes to every task: 1 MB, whatever the input.
-FILTER_SLOTS = 1 << 20
+#: Least and most slots of a filter that goes to every task, a byte each: 1 and 16 MB. A filter has about eight slots a row
+#: of what it holds; where that is more than the most, it lets more pass, to the exact join.
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 24
+
 
+@dataclass(frozen=True)
+class SlotFilter:
+    """Whether keys may be among those of a table: always so if they are, and by chance if they are not."""
 
-def _slot(*keys: Column) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_SLOTS))
+    flags: Column
+    slots: int
 
+    def hit(self, *keys: Column) -> Column:
+        return F.substring(self.flags, _slot(self.slots, *keys).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
 
-def slot_filter(rows: DataFrame, *keys: str) -> Column:
-    """One byte a slot, 1 where the keys of a row hash to, as a scalar subquery; at most FILTER_SLOTS / 64 rows reach the
-    driver.
+
+def _slot(slots: int, *keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(slots))
+
+
+def slot_filter(rows: DataFrame, *keys: str) -> SlotFilter:
+    """The filter of the keys of rows, its flags a scalar subquery; at most MOST_SLOTS / 64 rows reach the driver.
 
     A false hit costs work and no more, as what passes is joined or compared exactly afterwards.
     """
-    slot = _slot(*[F.col(k) for k in keys])
+    n, slots = rows.count(), LEAST_SLOTS
+    while slots < min(8 * n, MOST_SLOTS):
+        slots *= 2
+    slot = _slot(slots, *[F.col(k) for k in keys])
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
     words = rows.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    flags = np.zeros(FILTER_SLOTS // 64, dtype=np.int64)
+    flags = np.zeros(slots // 64, dtype=np.int64)
     for row in words.collect():
         flags[row.word] = row.bits
     body = bytearray(np.unpackbits(flags.view(np.uint8), bitorder="little").tobytes())
-    return rows.sparkSession.createDataFrame([(body,)], "flags binary").scalar()
+    return SlotFilter(rows.sparkSession.createDataFrame([(body,)], "flags binary").scalar(), slots)
 
 
-def slot_hit(flags: Column, *keys: Column) -> Column:
-    """Whether the keys hash to a slot of the filter."""
-    return F.substring(flags, _slot(*keys).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose id and text are those of a row of dropped (id, tag: xxhash64 of the text), null ids too.
+
+    Rows that miss the filter of dropped pass straight on; only the others, and hardly more than are dropped, are joined.
+    """
+    own_id, tag = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
+    may = slot_filter(dropped, "id", "tag").hit(own_id, tag)
+    gone = dropped.select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+    asked = docs.filter(may)
+    return docs.filter(~may).unionByName(asked.join(gone, own_id.eqNullSafe(F.col("__id")) & (tag == F.col("__tag")), "left_anti"))
 
 
 def runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -124,16 +199,6 @@ def frames(parts: Iterator[dict[str, np.ndarray]], rows: int = 20_000) -> Iterat
         yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder: for tables too large for checkpoint(), which does not pack."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        checkpoint(df.limit(0))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of edges (a, b) reaches; by alternating large and small stars.
 

@@ -6,29 +6,36 @@ of equal cardinality, configurations of the few rounded sizes are chosen, real l
 and small lengths go best-fit into what is left. The plan is a list of runs of alike sequences, whose length depends on
 the capacity and not on the number of documents; every piece then finds its place from its rank within its length.
 
+A piece's rank is its place among the pieces of its length in its task, plus the counts of the tasks before: counts are
+joined, pieces are neither sorted nor gathered by length, so a length that many pieces have is no hot key.
+
 Defined cases: a null text is empty, and a document's pieces always end with the end-of-document id; rows that share an
-id are packed each for itself; an empty table gives an empty result.
+id, or repeat in whole, are packed each for itself and told apart by row_id; a null id is an id like others; a very long
+text is cut into as many pieces as it takes; pieces of one length may swap places between runs, never overlap; columns
+of docs other than the two named are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import base64
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import checkpoint, slim
+from .common import broadcast_below, checkpoint, permutation, slim, stored
+from .token_ids import TokenIds
 
 CAPACITY, END_ID = 2048, 0
 #: Groups of large lengths (more of them waste less, and the plan takes longer), and the share of the capacity from which a length is large.
 GROUPS, LARGE = 200, 1 / 8
-#: Pieces of one length that are ranked in one task.
-RANK_ROWS = 50_000
+#: Rows of docs that are numbered in a task: row_id is the task's number and the row's.
+TASK_ROWS = 1 << 40
+
+_ENCODERS: dict[str, TokenIds] = {}
 
 
 def vocabulary_path() -> str:
@@ -37,61 +44,50 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _encoder(path: str):
-    """texts -> id arrays, those of the tokenizer file at path.
-
-    If the same vocabulary lies beside it as ranks (byte_bpe_50k.tiktoken), the faster library reads that; its ids are
-    equal, which a test holds. The added tokens of the file (<|endoftext|>) are matched in texts, as the file has it.
-    """
-    import json
-    import os
-
-    ranks_path = re.sub(r"\.json$", ".tiktoken", path)
-    if ranks_path != path and os.path.exists(ranks_path):
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        with open(path, encoding="utf-8") as file:
-            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
-        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        return lambda texts: [encoding.encode_to_numpy(t, allowed_special="all") for t in texts]
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    return lambda texts: [np.asarray(e.ids, dtype="<u4") for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-
-_ENCODERS: dict = {}
-
-
 def piece_starts(n: int, capacity: int = CAPACITY) -> list[int]:
     """Starts of the pieces of a document of n ids: whole pieces, the first one shorter if need be."""
     first = n % capacity or min(n, capacity)
     return [0, *range(first, n, capacity)]
 
 
+def _places(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """For each of lengths how many equal ones came before, those in seen (counts by length, brought up to date) included."""
+    order = np.argsort(lengths, kind="stable")
+    ordered = lengths[order]
+    fresh = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)])
+    out = np.empty(len(lengths), dtype=np.int64)
+    out[order] = np.arange(len(ordered)) - np.repeat(fresh, np.diff(np.append(fresh, len(ordered))))
+    out += seen[lengths]
+    np.add.at(seen, lengths, 1)
+    return out
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
-    """id_col, piece, start, length, ids_crc32 (and ids, if asked for) of every document's token pieces."""
+    """id_col, row_id, piece, start, length, ids_crc32 (and ids, if asked for) of every document's token pieces, with the
+    task that cut them and place, their number among its pieces of that length."""
     path = tokenizer or vocabulary_path()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _encoder(path))
-        for batch in batches:
-            texts = batch["text"].fillna("").tolist()
-            once = list(dict.fromkeys(texts))
-            ids_of = dict(zip(once, encode(once), strict=True))
-            out = []
-            for doc_id, text in zip(batch["id"], texts, strict=True):
-                ids = np.append(np.asarray(ids_of[text], dtype="<u4"), np.uint32(END_ID))
-                starts = piece_starts(len(ids), capacity)
-                for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
-                    out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].tolist()] * with_ids)))
-            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]).astype({"id": batch["id"].dtype})
+        encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, TokenIds(path))
+        task, row, seen = TaskContext.get().partitionId(), 0, np.zeros(capacity + 1, dtype=np.int64)
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.iloc[at : at + 1000]
+                texts = batch["text"].fillna("").tolist()
+                once = list(dict.fromkeys(texts))
+                ids_of = dict(zip(once, encode(once), strict=True))
+                out = []
+                for doc_id, text in zip(batch["id"], texts, strict=True):
+                    ids = np.append(ids_of[text], np.uint32(END_ID)).astype("<u4")
+                    starts = piece_starts(len(ids), capacity)
+                    for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+                        out.append((doc_id, task * TASK_ROWS + row, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].astype(np.int32)] * with_ids)))
+                    row += 1
+                frame = pd.DataFrame(out, columns=["id", "row_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]).astype({"id": batch["id"].dtype})
+                yield frame.assign(task=task, place=_places(frame["length"].to_numpy(), seen))
 
     kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = f"id {kind}, row_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", task int, place long"
     return slim(docs, id=id_col, text=text_col).mapInPandas(cut, schema).withColumnRenamed("id", id_col)
 
 
@@ -205,22 +201,22 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False, seed: int = 0) -> DataFrame:
+    """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset, row_id (and ids, if asked for).
 
-    Pieces are ranked within a length in hash parts, whose counts are added up, so that a hot length is spread.
+    row_id numbers the rows of docs, so that copies of a document can be told apart: (row_id, piece) is unique. Sequence
+    numbers are permuted, since the plan numbers alike sequences in a row: read by number, lengths and tasks are mixed.
     """
-    cut = checkpoint(pieces(docs, id_col, text_col, capacity, tokenizer, with_ids).withColumnRenamed(id_col, "id"))
-    counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    cut = stored(pieces(docs, id_col, text_col, capacity, tokenizer, with_ids).withColumnRenamed(id_col, "id"))
+    counted = checkpoint(cut.groupBy("length", "task").agg(F.count("*").alias("n")))
+    counts = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     rows = sorted(plan(counts, capacity))
-    parts = max(1, -(-max(counts.values(), default=1) // RANK_ROWS))
-    keyed = cut.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).cast("int"))
-    sizes = keyed.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    ranked = keyed.withColumn("place", F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(offsets, ["length", "part"]).withColumn("rank", (F.col("before") + F.col("place")).cast("long")).drop("before", "place", "part")
     table = np.asarray(rows, dtype=np.int64).reshape(-1, 6)
+    sequences = int(max((first + -(-n // per) for _, _, n, first, per, _ in rows), default=1))
+    a, b = permutation(sequences, [seed])
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    ranked = cut.join(broadcast_below(offsets, counted), ["length", "task"]).withColumn("rank", (F.col("before") + F.col("place")).cast("long"))
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # lengths and ranks in one sorted key: a rank is below 2 ** 48
@@ -228,9 +224,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         for batch in batches:
             row = table[np.searchsorted(keys, (batch["length"].to_numpy() << 48) + batch["rank"].to_numpy(), side="right") - 1]
             nth = batch["rank"].to_numpy() - row[:, 1]
-            yield batch.drop(columns="rank").assign(sequence_id=row[:, 3] + nth // row[:, 4], offset=row[:, 5] + nth % row[:, 4] * row[:, 0])
+            sequence = (a * (row[:, 3] + nth // row[:, 4]) + b) % sequences
+            yield batch.drop(columns="rank").assign(sequence_id=sequence, offset=row[:, 5] + nth % row[:, 4] * row[:, 0])
 
-    columns = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    columns = ["id", "piece", "start", "length", "ids_crc32", "row_id", *["ids"] * with_ids]
     kinds = dict(ranked.dtypes)
     placed = ranked.select(*columns, "rank").mapInPandas(locate, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", sequence_id long, offset long")
-    return placed.withColumnRenamed("id", id_col)
+    named = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row_id", *["ids"] * with_ids]
+    return placed.select(F.col("id").alias(id_col), *named)

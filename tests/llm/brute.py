@@ -1,5 +1,7 @@
 """Plain versions of what the operators compute, shared by tests."""
 
+import hashlib
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,3 +52,28 @@ def brute_ids(texts):
 
     tokenizer = Tokenizer.from_file(vocabulary_path())
     return [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+
+
+def brute_mix(rows, block_words=8192, seed=0):
+    """number of the row -> words taken of it, from rows (id, text, source), by going through sources word by word."""
+    from lodeframe.llm.mixing import BLOCKS, MOST, WEIGHTS, targets
+
+    md5 = lambda *x: hashlib.md5(":".join(map(str, x)).encode()).hexdigest()
+    sizes = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    ranks = [md5(seed, "" if i is None else i, hashlib.md5((t or "").encode()).hexdigest()) for i, t, _ in rows]
+    order = sorted({x for *_, x in rows}, key=lambda x: (x is None, x or ""))
+    totals = [sum(n for n, r in zip(sizes, rows, strict=True) if r[2] == x) for x in order]
+    per_block = max(block_words, math.ceil(sum(sizes) / BLOCKS))
+    taken = [0] * len(rows)
+    for s, (x, total, target) in enumerate(zip(order, totals, targets(totals, [WEIGHTS[k % 3] for k in range(len(order))]), strict=True)):
+        blocks, left = {}, math.floor(target + 0.5)
+        for k, r in enumerate(rows):
+            if r[2] == x:
+                blocks.setdefault(int(ranks[k][:12], 16) % max(1, math.ceil(total / per_block)), []).append(k)
+        for _ in range(MOST):
+            for b in sorted(blocks, key=lambda b: (md5(seed, s, b), b)):
+                for k in sorted(blocks[b], key=lambda k: (ranks[k], rows[k][0] or 0, sizes[k])):
+                    n = min(sizes[k], left)
+                    taken[k] += n
+                    left -= n
+    return taken

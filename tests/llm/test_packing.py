@@ -5,7 +5,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from lodeframe.llm.packing import CAPACITY, group_sizes, pack, piece_starts, plan, vocabulary_path
+from brute import brute_ids
+from lodeframe.llm import token_ids
+from lodeframe.llm.packing import CAPACITY, _places, group_sizes, pack, piece_starts, plan, vocabulary_path
+from lodeframe.llm.token_ids import TokenIds
 
 
 def check_plan(counts, capacity=CAPACITY):
@@ -48,13 +51,6 @@ def test_piece_starts():
     assert piece_starts(2049) == [0, 1] and piece_starts(5000) == [0, 904, 2952]
 
 
-def brute_ids(texts):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(vocabulary_path())
-    return [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
-
-
 def test_pieces_and_places(spark):
     rows = [(1, "Hello world"), (2, None), (3, ""), (4, "Täglich grüßt. 'tis 12345\n\n  x\u00a0y 日本 " * 900), (5, "Hello world"), (6, " \t "), (7, "a" * 5000)]
     docs = spark.createDataFrame([(i, t, 0, "z") for i, t in rows], "doc_id long, text string, length int, rank string")
@@ -95,19 +91,52 @@ def test_repeated_rows_and_empty_table(spark):
     assert pack(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", "plain", "ümlaut", "a  b\n\n c", "don't 12 34", "\u3000全角", "🙂" * 3, "\x00\x7f"])
-def test_both_libraries_give_the_same_ids(text):
-    from lodeframe.llm.packing import _encoder
+ODD = ["", "plain", "ümlaut", "a  b\n\n c", "don't 12 34", "\u3000全角", "🙂" * 3, "\x00\x7f", "a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|>\n\n y<|endoftext|><|endoftext|> ", "x <|endoftext|> y", "<|endoftext|", " a", "a ", "a\nb", "a \nb", "\n", "a\x1c b"]
+
+
+def test_ids_are_those_of_the_tokenizer():
+    encode = TokenIds(vocabulary_path())
+    for texts in (ODD, ODD[::-1]):  # the second time with words remembered
+        assert [x.tolist() for x in encode(texts)] == [ids[:-1] for ids in brute_ids(texts)]
+    assert encode(["a<|endoftext|>b"])[0].tolist() == [64, 50256, 65]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "Z", " ", "\n", "\t", "'", "s", "é", "\u00a0", "\x1c", "1", "²", ".", "你", "\r", "<|endoftext|>"]), max_size=12).map("".join), max_size=8))
+def test_ids_of_any_white_space(texts):
+    assert [x.tolist() for x in TOKENS[0](texts)] == [ids[:-1] for ids in brute_ids(texts)]
+
+
+TOKENS = [TokenIds(vocabulary_path())]
+
+
+def test_forgotten_words_change_nothing(monkeypatch):
+    monkeypatch.setattr(token_ids, "HELD", 40)
+    monkeypatch.setattr(token_ids, "TOGETHER", 3)
+    texts = [f"word{k} and word{k % 7}\nline {k}" for k in range(60)]
+    assert [x.tolist() for x in TokenIds(vocabulary_path())(texts)] == [ids[:-1] for ids in brute_ids(texts)]
+
 
-    assert _encoder(vocabulary_path())([text])[0].tolist() == brute_ids([text])[0][:-1]
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "ab "])
+def test_very_long_runs(spark, unit):
+    text = unit * (2_000_000 // len(unit))
+    out = pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    ids = brute_ids([text])[0]
+    starts = piece_starts(len(ids))
+    assert {(r.start, r.length) for r in out} == set(zip(starts, np.diff([*starts, len(ids)]).tolist(), strict=True))
+    assert {r.start: r.ids_crc32 for r in out} == {a: zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes()) for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)}
 
 
-@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|>\n\n y<|endoftext|><|endoftext|> ", "<|endoftext|", "<|ENDOFTEXT|>"])
-def test_both_libraries_match_added_tokens(text, tmp_path):
-    import shutil
+def test_copies_are_told_apart(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 1500), (1, "a b c " * 1500), (1, "a b c " * 900)], "doc_id long, text string").repartition(3)
+    out = pack(docs).collect()
+    assert len({(r.row_id, r.piece) for r in out}) == len(out) and len({r.row_id for r in out}) == 3
+    for row in {r.row_id for r in out}:
+        own = sorted((r.piece, r.start, r.length) for r in out if r.row_id == row)
+        assert [s for _, s, _ in own] == piece_starts(sum(n for *_, n in own))
 
-    from lodeframe.llm.packing import _encoder
 
-    alone = shutil.copy(vocabulary_path(), tmp_path / "vocabulary.json")  # no ranks beside it: the other library
-    for path in (vocabulary_path(), str(alone)):
-        assert _encoder(path)([text])[0].tolist() == brute_ids([text])[0][:-1]
+def test_places_count_equal_lengths():
+    seen = np.zeros(10, dtype=np.int64)
+    assert _places(np.array([3, 5, 3, 3]), seen).tolist() == [0, 0, 1, 2] and _places(np.array([5, 3]), seen).tolist() == [1, 3]
+    assert _places(np.array([], dtype=np.int64), seen).tolist() == []
