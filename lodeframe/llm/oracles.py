@@ -75,29 +75,63 @@ SELECT s.doc_id, len(s.own)::BIGINT AS n_shingles, coalesce(component_id, s.doc_
 FROM sets s LEFT JOIN class c ON len(s.own) > 0 AND s.own = c.own LEFT JOIN component ON c.class_id = component.id
 """
 
+
+
+def _tree(shards: int = 16, seed: int = 0) -> str:
+    """CTEs n0, n1, ... of the nodes' block counts by source, from quotas(s, cnt) down to leaves(shard, s, cnt)."""
+    out, level, n = "n0 AS (SELECT 0 AS first, s, cnt FROM quotas)", 0, shards
+    while n > 1:
+        half = n // 2
+        out += f""",
+e{level} AS (
+  SELECT first, s, row_number() OVER (PARTITION BY first ORDER BY md5('{seed}:' || first || ':{n}:' || s || ':' || k), s) <= (count(*) OVER (PARTITION BY first)) * {half} // {n} AS goes_left
+  FROM n{level}, unnest(range(cnt)) AS u(k)),
+n{level + 1} AS (
+  SELECT first, s, count(*) FILTER (goes_left) AS cnt FROM e{level} GROUP BY ALL
+  UNION ALL SELECT first + {half}, s, count(*) FILTER (NOT goes_left) FROM e{level} GROUP BY ALL)"""
+        level, n = level + 1, half
+    return out + f", leaves AS (SELECT first AS shard, s, cnt FROM n{level})"
+
+
 OP9 = rf"""
-WITH docs AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+WITH docs AS (
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || md5({_TEXT})) AS rank FROM documents),
 source_sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 weighted AS (
   SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight,
-    row_number() OVER (ORDER BY source NULLS LAST) AS k FROM source_sizes),
+    row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s FROM source_sizes),
 ordered AS (
   SELECT *, 2 * source_size AS cap,
     1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0) AS words_left,
     sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weight_left
-  FROM weighted WINDOW before AS (ORDER BY (2 * source_size)::DOUBLE / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  FROM weighted WINDOW before AS (ORDER BY (2 * source_size)::DOUBLE / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 capped AS (SELECT *, cap * weight_left <= weight * words_left AS full_source FROM ordered),
 rest AS (
   SELECT 1.5::DOUBLE * sum(source_size) - coalesce(sum(cap) FILTER (full_source), 0) AS words_left,
-    sum(weight) - coalesce(sum(weight) FILTER (full_source), 0) AS weight_left FROM capped),
-targets AS (
-  SELECT source, source_size, CASE WHEN full_source THEN cap::DOUBLE ELSE weight * rest.words_left / rest.weight_left END AS target FROM capped, rest),
+    sum(weight) - coalesce(sum(weight) FILTER (full_source), 0) AS weight_left,
+    greatest(8192, ceil(sum(source_size) / 65536))::BIGINT AS per_block FROM capped),
+sources AS (
+  SELECT source, s, source_size, CASE WHEN full_source THEN cap::DOUBLE ELSE weight * rest.words_left / rest.weight_left END AS target,
+    floor(CASE WHEN full_source THEN cap::DOUBLE ELSE weight * rest.words_left / rest.weight_left END + 0.5)::BIGINT AS words,
+    greatest(1, ceil(source_size / per_block))::BIGINT AS blocks FROM capped, rest),
 placed AS (
-  SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS words,
-    (sum(size) OVER (PARTITION BY d.source ORDER BY md5('0:' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
-  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size)))::BIGINT AS taken FROM placed
+  SELECT d.*, t.* EXCLUDE (source), ('0x' || substr(rank, 1, 12))::BIGINT % blocks AS block FROM docs d JOIN sources t ON d.source IS NOT DISTINCT FROM t.source),
+in_blocks AS (SELECT s, any_value(words) AS words, block, sum(size)::BIGINT AS w FROM placed GROUP BY s, block HAVING sum(size) > 0),
+queued AS (
+  SELECT s, block, w, words, copy, row_number() OVER o - 1 AS t, (sum(w) OVER o - w)::BIGINT AS start FROM in_blocks, unnest([0, 1]) AS u(copy)
+  WINDOW o AS (PARTITION BY s ORDER BY copy, md5('0:' || s || ':' || block), block ROWS UNBOUNDED PRECEDING)),
+tickets AS (SELECT *, least(w, words - start) AS lim FROM queued WHERE start < words),
+quotas AS (SELECT s, count(*) AS cnt FROM tickets GROUP BY s),
+{_tree()},
+bounds AS (SELECT s, shard, sum(cnt) OVER (PARTITION BY s ORDER BY shard) - cnt AS lo, sum(cnt) OVER (PARTITION BY s ORDER BY shard) AS hi FROM leaves),
+drawn AS (SELECT s, block, copy, shard, lim, lim < w AS part FROM tickets JOIN bounds b USING (s) WHERE t >= lo AND t < hi),
+spots AS (SELECT *, (sum(size) OVER (PARTITION BY s, block ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM placed),
+taking AS (
+  SELECT p.*, copy, shard, CASE WHEN shard IS NULL THEN 0 WHEN part THEN greatest(0, least(size, lim - start)) ELSE size END AS taken
+  FROM spots p LEFT JOIN drawn d ON p.s = d.s AND p.block = d.block)
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, sum(taken)::BIGINT AS taken,
+  coalesce(string_agg(copy || ':' || shard, ',' ORDER BY copy) FILTER (taken > 0), '') AS shards
+FROM taking GROUP BY doc_id, rank
 """
 
 # bytes are pairs of hex digits here: window i has the digits from 2 i - 1 on

@@ -56,7 +56,9 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    plan = mix_plan(read(spark, sf_dir, "documents"))
+    shards = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["copy"].cast("string"), d["shard"].cast("string"))), ",")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import numpy as np
 
-from lodeframe.llm.mixing import mix, mix_plan, split_quotas, targets
+from brute import brute_mix
+from lodeframe.llm import mixing
+from lodeframe.llm.mixing import draw_blocks, mix, mix_plan, split_quotas, targets
 
 
 def test_targets_reshare_the_excess():
@@ -44,6 +46,44 @@ def test_plan(spark):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def test_taken_matches_brute_force(spark):
+    for block_words in (64, 8192):
+        out = {r.doc_id: r.taken for r in mix_plan(spark.createDataFrame(ROWS, "doc_id long, text string, source string"), block_words=block_words).collect()}
+        assert out == dict(zip([i for i, *_ in ROWS], brute_mix(ROWS, block_words), strict=True))
+
+
+def test_drawn_blocks_are_disjoint_and_use_up_the_quotas():
+    words = [{b: 10 + b % 3 for b in range(40)}, {0: 5}, {}, {b: 7 for b in range(9)}]
+    wanted = [600, 3, 0, 63]
+    drawn = draw_blocks(words, wanted, 5, seed=1)
+    assert len({(s, b, copy) for s, b, copy, *_ in drawn}) == len(drawn)
+    assert [sum(limit for s, *_, limit in drawn if s == k) for k in range(4)] == wanted
+    quotas = [sum(s == k for s, *_ in drawn) for k in range(4)]
+    leaves = split_quotas(quotas, 5, seed=1)
+    assert all(sum(s == k and shard == j for s, _, _, shard, _ in drawn) == leaves[j, k] for k in range(4) for j in range(5))
+    assert sum(limit < words[s][b] for s, b, _, _, limit in drawn) <= 3
+
+
+def test_what_no_leaf_draws_is_not_taken(spark, monkeypatch):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    taken = lambda: sum(r.taken for r in mix_plan(docs, shards=4, block_words=64).collect())
+    whole, tree = taken(), mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: tree(*a) * np.array([[1], [1], [0], [1]]))
+    assert 0 < taken() < whole
+
+
+def test_mixed_rows_lie_by_shard_and_order(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_WORDS", 100)
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in ROWS], "doc_id long, text string, source string, mix_shard int, Mix_Order int, mix_partition int")
+    out = mix(docs, shards=3, block_words=32)
+    assert out.columns[6:] == ["_mix_shard", "_mix_order", "_mix_copy"]
+    lists = out.rdd.glom().map(lambda rows: [(r._mix_shard, r._mix_order) for r in rows]).collect()
+    whole = [x for rows in lists for x in rows]
+    assert len(lists) > 3 and whole == sorted(whole) and len({s for s, _ in whole}) == 3
+    copies = [(r.doc_id, r._mix_copy) for r in out.collect()]
+    assert len(set(copies)) == len(copies)
+
+
 def test_mix_rows(spark):
     docs = spark.createDataFrame([(i, t, s, 1) for i, t, s in ROWS], "doc_id long, text string, source string, row int")
     out = mix(docs, shards=3, block_words=32).collect()
