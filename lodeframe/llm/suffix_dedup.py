@@ -11,9 +11,9 @@ the same document. The steps:
 4. A key with very many runs is spread over several shards; what each of them holds first is then merged in sorted lists
    by binary search.
 
-Defined cases: a null text is empty; texts shorter than WINDOW bytes lose nothing; a null id comes before all others;
-rows with equal id and text are one document, rows with equal id and other text are ordered by a hash of it; an empty
-table gives an empty result.
+Defined cases: a null text is empty; texts shorter than WINDOW bytes lose nothing; very long texts are hashed in chunks;
+a null id comes before all others; rows with equal id and text are one document, rows with equal id and other text are
+ordered by a hash of it; columns of docs other than the two named are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +25,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, frames, runs, slim, slot_filter, slot_hit, stored
+from .common import checkpoint, frames, runs, slim, slot_filter, stored
 
 WINDOW, GRAM = 100, 24
 #: Window starts that are hashed at once, so that a very long text needs no more memory.
 CHUNK = 1 << 16
-#: Bits of the filter of repeated keys that every task gets: 4 MB. When it fills up it lets more through, to the exact join.
-KEY_BITS = 1 << 25
+#: Least and most bits of the filter of repeated keys that every task gets: 4 and 32 MB, about eight bits a key in between.
+#: Beyond that it lets more through, to the exact join.
+LEAST_BITS, MOST_BITS = 1 << 25, 1 << 28
 #: Runs of a shard, about, and most runs of one key in a shard.
 SHARD_RUNS, SPREAD_RUNS = 1500, 4096
 
@@ -205,11 +206,14 @@ def repeated_keys(docs: DataFrame) -> DataFrame:
 
 
 def _key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for each slot that a repeated key falls in; at most KEY_BITS / 64 rows reach the driver."""
-    slot = F.pmod(F.col("key"), F.lit(KEY_BITS))
+    """A bit for each slot that a repeated key falls in; at most MOST_BITS / 64 rows reach the driver."""
+    n, bits = keys.count(), LEAST_BITS
+    while bits < min(8 * n, MOST_BITS):
+        bits *= 2
+    slot = F.pmod(F.col("key"), F.lit(bits))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
     words = keys.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    flags = np.zeros(KEY_BITS // 64, dtype=np.int64)
+    flags = np.zeros(bits // 64, dtype=np.int64)
     flags[words["word"]] = words["bits"]
     return flags.view(np.uint8)
 
@@ -223,7 +227,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     def of(batch: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
         for doc_id, tag, body in zip(batch["id"].to_numpy(), batch["tag"].to_numpy(), batch["body"], strict=True):
             key, whole, start, windows, again = window_runs(body)
-            slot = (key & np.uint64(KEY_BITS - 1)).astype(np.int64)
+            slot = (key & np.uint64(8 * len(flags.value) - 1)).astype(np.int64)
             hit = np.flatnonzero((flags.value[slot >> 3] >> (slot & 7)) & 1)
             yield {"key": key[hit].view(np.int64), "hash": whole[hit].view(np.int64), "windows": windows[hit], "id": np.full(len(hit), doc_id), "tag": np.full(len(hit), tag), "start": start[hit], "again": again[hit]}
 
@@ -237,7 +241,7 @@ def _with_bodies(docs: DataFrame, picked: DataFrame) -> DataFrame:
     """picked (id, tag, start, windows, shard, spread) with the bytes of each run; only texts that are needed are moved."""
     fields = ["start", "windows", "shard", "spread"]
     wanted = checkpoint(picked.groupBy("id", "tag").agg(*[F.collect_list(c).alias(c) for c in fields]))
-    texts = docs.filter(slot_hit(slot_filter(wanted, "id", "tag"), F.col("id"), F.col("tag"))).dropDuplicates(["id", "tag"]).join(wanted, ["id", "tag"])
+    texts = docs.filter(slot_filter(wanted, "id", "tag").hit(F.col("id"), F.col("tag"))).dropDuplicates(["id", "tag"]).join(wanted, ["id", "tag"])
 
     def of(batch: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
         for doc_id, tag, body, *own in zip(batch["id"].to_numpy(), batch["tag"].to_numpy(), batch["body"], *(batch[c] for c in fields), strict=True):
@@ -345,8 +349,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of docs: id_col, n_bytes, n_removed, spans (array of a, b), kept (the bytes that are left)."""
     bodies = _documents(docs, id_col, text_col)
     spans = checkpoint(repeated_spans(bodies).groupBy("id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
-    flags = slot_filter(spans, "id", "tag")
-    hit = slot_hit(flags, F.col("id"), F.col("tag"))
+    hit = slot_filter(spans, "id", "tag").hit(F.col("id"), F.col("tag"))
     shape = "array<struct<a:long,b:long>>"
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

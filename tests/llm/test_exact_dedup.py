@@ -31,6 +31,15 @@ def test_hash_only_where_a_group_survives(spark):
     assert {0, 1, 3, 5, 7, 8, 9} <= hashed and 4 not in hashed
 
 
+def test_verdicts_and_drops_agree_on_odd_ids(spark):
+    rows = [(None, "a"), (2, " a".strip()), (None, "b"), (None, "b"), (3, "c"), (3, "c"), (4, "c"), (5, "x"), (5, "d"), (1, "d"), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, tag int, hit string")
+    kept = sorted((str(i), str(t)) for (i, t), ok in zip(rows, [0, 1, 1, 1, 1, 1, 0, 1, 0, 1, 0, 1], strict=True) if ok)
+    assert sorted((str(r.doc_id), str(r.text)) for r in drop_copies(docs).collect()) == kept
+    judged = exact_dedup(docs).collect()
+    assert sum(r.kept for r in judged) == len(kept)
+
+
 def test_table_repeats_and_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
