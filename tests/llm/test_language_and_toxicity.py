@@ -41,6 +41,24 @@ def test_languages(spark):
     assert L.predict(asked.limit(0), profiles).count() == 0
 
 
+def test_predictions_match_whole_bundles(spark):
+    """predict() looks products up and takes a bundle's length as that of orthogonal vectors; here bundles are made."""
+    rows = [(k * 10 + i, t, lang) for i, (lang, ts) in enumerate(TEXTS.items()) for k, t in enumerate(ts)]
+    profiles = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    letters = L.letter_vectors()
+    asked = [t for ts in TEXTS.values() for t in ts] + ["the knochen", "ou est le hund", "x", "É", "and " * 20_000, "den den den und"]
+    table = spark.createDataFrame([(k, t, "clash", 1.0) for k, t in enumerate(asked)] * 2, "doc_id long, text string, lang_pred string, score double")
+    out = L.predict(table, profiles).collect()
+    assert len(out) == 2 * len(asked)
+    for r in out:
+        codes, n = np.unique(L.trigrams(asked[r.doc_id]), return_counts=True)
+        own = L.bundle(codes, n.astype(float), letters)
+        products = profiles.prototypes @ own
+        assert abs(products.max() - products[profiles.languages.index(r.lang_pred)]) < 1e-3 * np.linalg.norm(own)
+        cosine = min(1.0, max(0.0, products.max() / np.linalg.norm(own)))
+        assert abs(r.score - cosine) < 0.3
+
+
 def test_held_out_is_crc32(spark):
     rows = spark.range(40).select("id", L.held_out(F.col("id"), 3, 1).alias("h"), X.held_out(F.col("id")).alias("x")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) and r.x == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
@@ -69,22 +87,6 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_automaton_is_edit_distance():
-    rng = np.random.default_rng(0)
-    terms = ["worthless", "disgusting", "stupid", "bad", "awful"]
-    lexicon = X.Lexicon({t: 1.0 for t in terms})
-    edits = {t: (len(t) >= X.ONE_EDIT) + (len(t) >= X.TWO_EDITS) for t in terms}
-    for _ in range(3000):
-        w = list(terms[rng.integers(len(terms))])
-        for _ in range(rng.integers(4)):
-            k = rng.integers(len(w) + 1)
-            w[k : k + rng.integers(2)] = ["abdefw"[rng.integers(6)]] * rng.integers(2)
-        w = "".join(w)
-        # the first letter is not skipped by an insertion
-        best = max((X.EDITED ** edit_distance(w, t) for t in terms if edit_distance(w, t) <= edits[t]), default=0)
-        assert lexicon.match(w) <= best + 1e-9 and (lexicon.match(w) > 0) >= (best > 0 and w[:1] in {t[0] for t in terms} and any(w[:1] == t[0] and edit_distance(w, t) <= edits[t] for t in terms))
-
-
 def test_stems_quotes_and_innocents():
     lexicon = X.Lexicon({"vequ*": 1.0, "stupid": 1.0}, frozenset(["stupit"]))
     assert lexicon.match("vequarium") == 1.0 and lexicon.match("veq") == 0 and lexicon.match("stup1d") == X.EDITED and lexicon.match("stupit") == 0

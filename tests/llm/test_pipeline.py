@@ -1,15 +1,12 @@
 """The pipeline, stage by stage, against plain versions of what each stage decides."""
 
-import hashlib
-import math
 import unicodedata
+from collections import Counter
 
 import corpus_pipeline
-from lodeframe.llm.mixing import WEIGHTS, targets
 from lodeframe.llm.packing import CAPACITY
 
-from brute import brute_counts, brute_ids, brute_near, normal
-from brute import brute_near as brute_near_from
+from brute import brute_counts, brute_ids, brute_mix, brute_near, normal
 
 
 def good(text):
@@ -27,27 +24,11 @@ def firsts(docs, key):
     return list(out.values())
 
 
-def mixed_words(docs):
-    """doc_id -> words taken of it."""
-    sizes = {i: len(t.split()) for i, t, _ in docs}
-    order = sorted({s for *_, s in docs})
-    totals = [sum(sizes[i] for i, _, s in docs if s == x) for x in order]
-    taken = {}
-    for x, total, target in zip(order, totals, targets(totals, [WEIGHTS[k % 3] for k in range(len(order))]), strict=True):
-        left = math.floor(target + 0.5)
-        for _ in range(2):
-            for i in sorted((i for i, _, s in docs if s == x), key=lambda i: (hashlib.md5(f"0:{i}".encode()).hexdigest(), i)):
-                n = min(sizes[i], left)
-                taken[i] = taken.get(i, 0) + n
-                left -= n
-    return {i: n for i, n in taken.items() if n}
-
-
 def test_stages_match_plain_versions(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    near = lambda rows: brute_near([(i, t) for i, t, _ in rows])
+    near = lambda rows: brute_near([(i, t) for i, t, _ in rows], corpus_pipeline.NEAR)
     plain = [
         lambda rows: [d for d in rows if good(d[1])],
         lambda rows: firsts(rows, lambda d: normal(d[1])),
@@ -64,10 +45,12 @@ def test_stages_match_plain_versions(spark, sf_dir, tmp_path):
             words = {}
             for r in docs.collect():
                 words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
-            assert words == mixed_words(rows)
+            assert words == {r[0]: n for r, n in zip(rows, brute_mix(rows), strict=True) if n}
+            assert list(docs.columns) == columns
             tokens = sum(map(len, brute_ids([r.text for r in docs.collect()])))
     pieces = docs.collect()
-    assert sum(r.length for r in pieces) == tokens
+    assert sum(r.length for r in pieces) == tokens == sum(len(r.ids) for r in pieces)
+    assert len({(r.row_id, r.piece) for r in pieces}) == len(pieces)
     ends = {}
     for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == ends.get(r.sequence_id, 0)
@@ -75,14 +58,36 @@ def test_stages_match_plain_versions(spark, sf_dir, tmp_path):
     assert max(ends.values()) <= CAPACITY and len(ends) <= 1.1 * tokens / CAPACITY + 1
 
 
-def test_odd_tables_pass_through(spark, sf_dir):
-    prose = "It was a quiet morning in the old town and nobody had yet opened the shutters of the small houses along the river"
-    kinds = "doc_id long, text string, lang string, source string, n_chars long"
-    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, prose, None, None, 9), (3, prose, None, None, 9), (None, prose + " again", "en", "s", 5)], kinds)
-    for docs in (odd, odd.limit(0)):
-        for name, stage in corpus_pipeline.STAGES:
-            docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), kinds if name != "best_fit_packing" else stage(spark, docs, sf_dir).schema)
-        assert docs.count() >= 0
+PROSE = "It was a quiet morning in the old town and nobody had yet opened the shutters of the small houses along the river"
+
+
+def test_odd_tables_pass_through(spark, sf_dir, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with clashing names."""
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:06}")
+    other = " ".join(word(k) for k in range(60))
+    long = " ".join(word(k) for k in range(200_000))
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "s", 0), (3, PROSE, None, None, 9), (3, PROSE, None, None, 9), (None, PROSE, "en", "s", 5), (None, other, "en", "s", 5), (9, other.replace(" ", " \n"), "en", "s", 7), (8, long, "en", "s", 1),
+    ]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, id long, tag long, size long, rank string, shard int, mix_shard int, words int, whole_row string"
+    docs = spark.createDataFrame([(*r, 1, 2, 3, "r", 4, 5, 6, "x") for r in rows], kinds)
+    stay = [{3: 2, None: 2, 9: 1, 8: 1}, {3: 2, 9: 1, 8: 1}, {3: 2, 9: 1, 8: 1}]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        columns = docs.columns
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if k < 4:
+            assert docs.columns == columns
+        if k < 3:
+            assert Counter(r.doc_id for r in docs.collect()) == stay[k], name
+    assert {r.doc_id for r in docs.collect()} == {3, 9, 8} and sum(r.doc_id == 8 for r in docs.collect()) > 100
+
+
+def test_empty_tables_pass_through(spark, sf_dir):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0 and (out.columns == docs.columns or name == "best_fit_packing")
 
 
 def test_near_dedup_stage_links_from_eighty_percent(spark, sf_dir):
@@ -94,11 +99,6 @@ def test_near_dedup_stage_links_from_eighty_percent(spark, sf_dir):
     assert sorted(r.doc_id for r in out.collect()) == kept[80] != kept[85]
 
 
-def test_stages_match_plain_versions_from_eighty_percent(spark, sf_dir, tmp_path, monkeypatch):
-    monkeypatch.setitem(globals(), "brute_near", lambda rows: brute_near_from(rows, 80))
-    test_stages_match_plain_versions(spark, sf_dir, tmp_path)
-
-
 def test_run_writes_each_stage_and_reads_it_again(spark, sf_dir, monkeypatch):
     sizes = []
     monkeypatch.setattr(corpus_pipeline, "stored", lambda df, keep=corpus_pipeline.stored: sizes.append(1) or keep(df))

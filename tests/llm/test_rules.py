@@ -2,24 +2,11 @@ import re
 
 import pytest
 
+from brute import brute_counts
 from lodeframe.llm import url_filter as U
-from lodeframe.llm.quality import RULES, first_failure, keep_good, ordered_rules, quality_cascade
+from lodeframe.llm.quality import RULES, Rule, first_failure, keep_good, ordered_rules, quality_cascade
 from lodeframe.llm.url_filter import filter_urls, rule_index
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def brute_counts(text):
-    text = text or ""
-    words = WORD.findall(text)
-    windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
-    again = {w for w in windows if windows.count(w) > 1}
-    covered = {k + j for k, w in enumerate(windows) if w in again for j in range(8)}
-    lines = [x for x in text.split("\n") if WORD.search(x)]
-    n = len(words)
-    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), n < 20 or 100 * len(covered) > 30 * n
-
-
 PROSE = "It was a quiet morning in the old town and nobody had yet opened the shutters of the small houses along the river"
 TEXTS = [
     PROSE, None, "", " \n\t", "one two", PROSE + "\n" + PROSE, PROSE.upper(), PROSE.replace(" ", " | "), "a b c d e f g h " * 40,
@@ -39,6 +26,11 @@ def test_order_changes_no_verdict(spark):
     assert {0, 10, 12 - 12} <= kept and not kept & {1, 2, 3, 4, 6, 7, 8, 11, 13}
     assert kept == {r.doc_id for r in quality_cascade(docs, RULES[::-1]).filter("kept").collect()} == {r.doc_id for r in keep_good(docs).collect()}
     assert {r.name for r in ordered_rules(docs, RULES)} == {r.name for r in RULES}
+    from pyspark.sql import functions as F
+
+    slow = Rule("slow", lambda: F.length(F.regexp_replace(F.repeat("text", 50), r"\p{L}", "")) < 0)
+    rare = Rule("rare", lambda: F.lit(False))
+    assert ordered_rules(docs, [slow, rare, RULES[0]])[0].name == "symbols"  # the one that rejects any
     assert quality_cascade(docs.limit(0)).count() == 0 and quality_cascade(docs, []).count() == len(TEXTS)
 
 
@@ -71,7 +63,7 @@ def brute_rule(url):
 
 URLS = [
     "http://a.example.net/en/1", "https://EXAMPLE.net/de/", "http://example.com/de/x?y#z", "http://xexample.com/de/", "http://org/fr/", "https://a.b.org/fr/x", "http://net", "http://net/", "http://net?x=/",
-    "ftp://u:p@h.net:80/", "no scheme", "", None, "http://", "a://b://c.net/", "http://example.net/EN/", "http://example.com/de", "http://É.ORG/fr/a\nb", "http://x.net/" + "y/" * 3000,
+    "ftp://u:p@h.net:80/", "no scheme", "", None, "http://", "a://b://c.net/", "http://example.net/EN/", "http://example.com/de", "http://É.ORG/fr/a\nb", "http://x.net/" + "y/" * 3000, "http://net.foo/x.net\n/y", "http://a\n.net/\n", "http://example.com\n/de/", "HTTP://A.EXAMPLE.COM/de/\u2028x",
 ]
 
 
@@ -87,9 +79,14 @@ def test_urls_match_brute_force(spark, monkeypatch, inline):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, actions.get(rule, "allow"))
 
 
-def test_rules_are_filed_under_their_rarest_token(spark):
+def test_rules_are_filed_under_their_rarest_token(spark, monkeypatch):
     urls = spark.createDataFrame([("example.com", "/de/x"), ("example.com", "/en/"), ("x.com", "/")], "host string, path string")
     index = rule_index(urls, U.RULES)
     assert {t: [r["rule"] for r in rs] for t, rs in index.items()} == {"h:net": ["net/", "example.net/en/"], "p:de": ["example.com/de/"], "h:org": ["org/fr/"]}
     assert filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    asked = spark.createDataFrame([(1, "http://a.b/x/y"), (2, "http://a.b/z")], "page_id long, url string")
+    everywhere = [("block", "", "/x/"), ("allow", "b", "/x/y")] + [("block", f"h{k}", "/") for k in range(5)]
+    for inline in (0, 200):
+        monkeypatch.setattr(U, "INLINE_RULES", inline)
+        assert [r.rule for r in filter_urls(asked, [("block", "", "/z"), *everywhere[1:]]).orderBy("page_id").collect()] == ["b/x/y", None]
     assert [r.verdict for r in filter_urls(spark.createDataFrame([(1, "x://y")], "page_id long, url string"), []).collect()] == ["allow"]
