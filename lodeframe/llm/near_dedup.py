@@ -63,7 +63,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
         return np.empty(0, dtype=np.uint64)
-    if len(_WORD_HASHES) > 500_000:
+    if len(_WORD_HASHES) > 250_000:
         _WORD_HASHES.clear()
     hashes = [_WORD_HASHES.get(t) or _WORD_HASHES.setdefault(t, xxhash.xxh3_64_intdigest(t)) for t in tokens]
     w = np.array(hashes, dtype=np.uint64)

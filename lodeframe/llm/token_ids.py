@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Characters and ids of remembered words, in bytes, beyond which they are forgotten; texts looked at together.
-HELD, TOGETHER = 24_000_000, 500
+HELD, TOGETHER = 14_000_000, 250
 _NEIGHBOURS = re.compile(r"\s\s").search
 
 
