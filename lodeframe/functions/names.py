@@ -71,3 +71,15 @@ def is_class_entry(path: Column) -> Column:
 
 def is_source_entry(path: Column) -> Column:
     return F.rlike(path, F.lit(r"\.(java|kt)$")) & ~base_name(path).isin("module-info.java", "package-info.java")
+
+
+def is_direct_nested(path: Column, outer: Column) -> Column:
+    """Class files of what is nested in the class of entry outer (without .class) itself, not deeper and not anonymous."""
+    tail = F.substring(path, F.length(outer) + 2, F.length(path))
+    return F.startswith(path, F.concat(outer, F.lit("$"))) & F.rlike(tail, F.lit(r"^[A-Za-z_][^$]*\.class$"))
+
+
+def is_cached_jar(path: Column) -> Column:
+    """Files of an artifact cache that can be artifacts: jars that are neither hidden, javadoc nor metadata."""
+    base = base_name(path)
+    return F.endswith(base, F.lit(".jar")) & ~F.endswith(base, F.lit("-javadoc.jar")) & ~F.startswith(base, F.lit("maven-metadata.xml")) & ~F.startswith(base, F.lit("."))

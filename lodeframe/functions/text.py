@@ -6,8 +6,8 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-#: Entries taken as binary by their extension, and the bytes looked through for a zero byte.
-BINARY_EXTENSIONS = (".class", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".jar", ".zip", ".gz", ".so")
+#: Extensions of entries that are taken as binary, and the bytes looked through for a zero byte.
+BINARY_EXTENSIONS = (".class", ".png", ".gif", ".jpg", ".jar", ".so", ".dylib", ".dll", ".kotlin_module", ".kotlin_builtins")
 SNIFFED_BYTES = 8192
 
 
@@ -44,7 +44,8 @@ def doc_summary(comment: Column, limit: int = 180) -> Column:
     """First sentence of a documentation comment: marks and stars go, block tags end it."""
     body = F.regexp_replace(F.regexp_replace(comment, r"\A/\*\*?", ""), r"\*/\z", "")
     bare = F.transform(F.split(body, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*\*?", "")))
-    text = F.trim(F.regexp_replace(F.regexp_extract(F.array_join(bare, "\n"), r"(?s)\A((?:(?!^@).)*)".replace("(?s)", "(?sm)"), 1), r"\s+", " "))
+    told = F.get(F.split(F.array_join(bare, "\n"), "(?m)^@", 2), F.lit(0))
+    text = F.trim(F.regexp_replace(told, r"\s+", " "))
     sentence = F.when(F.contains(text, F.lit(".")), F.concat(F.substring_index(text, ".", 1), F.lit("."))).otherwise(text)
     return truncated(sentence, limit)
 

@@ -12,9 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lodeframe.functions import text as T
 from lodeframe.functions.names import dotted
 
-#: Classes nested deeper than this are not told apart.
-NESTING = 4
-
 _CLASS = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*((?:(?:public|protected|private|internal|static|abstract|final|sealed|non-sealed|open|data|inner|companion|strictfp)\s+)*)(class|interface|enum class|enum|record|@interface|object)\s+([A-Za-z_]\w*)(.*)$"
 _METHOD = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*((?:(?:public|protected|private|internal|static|abstract|final|default|synchronized|native|override|open|suspend|inline|operator|infix)\s+)*)(?:<[^(]*>\s+)?((?:fun|[\w.<>\[\],? ]+?))??\s*\b([A-Za-z_]\w*)\s*\(([^)]*)\)"
 _FIELD = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*((?:(?:public|protected|private|internal|static|final|volatile|transient|const|lateinit|override|open)\s+)*)(val|var|[\w.<>\[\],?]+(?: [\w.<>\[\],?]+)*)\s+([A-Za-z_]\w*)\s*(?::\s*[\w.<>?, ]+)?\s*(?:=.*|;.*)?$"
@@ -48,32 +45,44 @@ def _visibility(modifiers: Column) -> Column:
     return out.otherwise("package")
 
 
+def _depth_of_classes(rows: DataFrame) -> int:
+    """Levels at which rows (code, depth) have classes."""
+    deepest = rows.filter(F.regexp_extract("code", _CLASS, 2) != "").agg(F.max("depth").alias("d")).first().d
+    return 1 if deepest is None else max(1, int(deepest) + 1)
+
+
 def scan_declarations(files: DataFrame) -> DataFrame:
     """(path, fqn, selector, kind, visibility, static, deprecated, signature, params, line_start, line_end, doc_start, javadoc).
 
-    files: (path, text). A class's own row has its name as selector; its members carry its fqn. One window sort a file.
+    files: (path, text). A class's own row has its name as selector; its members carry its fqn. One window sort a file;
+    the depth to which classes are nested is counted first, comments are gathered whole and joined to what follows them.
     """
     order = Window.partitionBy("path").orderBy("n")
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
     ahead = order.rowsBetween(0, Window.unboundedFollowing)
     rows = source_lines(files)
+    nesting = _depth_of_classes(rows)
     package = F.last(F.nullif(F.regexp_extract("code", r"^\s*package\s+([\w.]+)", 1), F.lit("")), ignorenulls=True).over(upto)
     kind = F.regexp_extract("code", _CLASS, 2)
     rows = rows.withColumn("package", package).withColumn("class_kind", kind).withColumn("class_name", F.when(kind != "", F.regexp_extract("code", _CLASS, 3)))
-    for k in range(NESTING):
+    for k in range(nesting):
         rows = rows.withColumn(f"at{k}", F.last(F.when((F.col("depth") == k) & F.col("class_name").isNotNull(), F.struct("n", "class_name", "class_kind")), ignorenulls=True).over(before))
         rows = rows.withColumn(f"end{k}", F.min(F.when(F.col("after") <= k, F.col("n"))).over(ahead))
     # the enclosing classes: one for each smaller depth, each begun after the one around it
-    chain = F.array(*[F.when(F.col("depth") > k, F.col(f"at{k}.class_name")) for k in range(NESTING)])
+    chain = F.array(*[F.when(F.col("depth") > k, F.col(f"at{k}.class_name")) for k in range(nesting)])
     rows = rows.withColumn("outer", F.array_compact(chain))
     real = ~F.col("doc")
-    comment = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("doc"), F.struct("n", "line"))).over(order.rowsBetween(-60, -1))), lambda x: x["line"]), "\n")
-    block = F.regexp_extract(comment, r"(?s)(/\*\*(?:(?!/\*\*).)*)\z", 1)
+    begins = F.col("doc") & F.rlike("line", F.lit(r"^\s*/\*"))
+    rows = rows.withColumn("comment", F.count_if(begins).over(upto))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    comments = rows.filter("doc").groupBy("path", "comment").agg(told.alias("told")).filter(F.rlike("told", F.lit(r"^\s*/\*\*")))
+    comments = comments.select(F.col("path").alias("_path"), F.col("comment").alias("_comment"), F.regexp_replace("told", r"^\s+", "").alias("block"))
     annotated = F.last(F.when(~F.col("doc") & ~F.rlike("code", F.lit(r"^\s*(@.*)?$")), F.col("n")), ignorenulls=True).over(before)
     doc_end = F.last(F.when(F.col("doc"), F.col("n")), ignorenulls=True).over(before)
     own_doc = doc_end > F.coalesce(annotated, F.lit(0))
     deprecated = F.max(F.when(F.rlike("code", F.lit(r"@(java\.lang\.)?Deprecated\b")), F.col("n"))).over(upto) > F.coalesce(annotated, F.lit(0))
-    rows = rows.withColumns({"javadoc": F.when(own_doc & (block != ""), block), "annotated": deprecated, "doc_end": F.when(own_doc, doc_end)})
+    last_comment = F.last(F.when(F.col("doc"), F.col("comment")), ignorenulls=True).over(before)
+    rows = rows.withColumns({"told": F.when(own_doc, last_comment), "annotated": deprecated, "doc_end": F.when(own_doc, doc_end)})
 
     method = F.regexp_extract("code", _METHOD, 3)
     member_depth = F.size("outer") == F.col("depth")
@@ -93,7 +102,8 @@ def scan_declarations(files: DataFrame) -> DataFrame:
         "fqn": F.when(is_class, F.concat_ws(".", F.nullif(prefix, F.lit("")), "class_name")).otherwise(prefix),
         "modifiers": modifiers, "params": F.when(is_method, types),
     }).filter("kind is not null")
-    end = F.when(F.rlike("code", F.lit(r";\s*$")), F.col("n")).otherwise(F.coalesce(F.get(F.array(*[F.col(f"end{k}") for k in range(NESTING)]), F.col("depth").cast("int")), F.col("n")))
+    found = found.join(comments, (F.col("path") == F.col("_path")) & (F.col("told") == F.col("_comment")), "left").withColumnRenamed("block", "javadoc")
+    end = F.when(F.rlike("code", F.lit(r";\s*$")), F.col("n")).otherwise(F.coalesce(F.get(F.array(*[F.col(f"end{k}") for k in range(nesting)]), F.col("depth").cast("int")), F.col("n")))
     signature = F.trim(F.regexp_replace(F.regexp_replace("code", r"\s*(\{.*|;\s*|=.*)$", ""), r"\s+", " "))
     return found.select(
         "path", dotted(F.col("fqn")).alias("fqn"), "selector", "kind", _visibility(F.col("modifiers")).alias("visibility"), F.rlike("modifiers", F.lit(r"\bstatic\b")).alias("static"),

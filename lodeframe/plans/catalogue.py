@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lodeframe.functions import names, text
 from lodeframe.functions.fuzzy import fuzzy_score
 from lodeframe.operators import rank
+from lodeframe.plans import search
+from lodeframe.sources import catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -272,7 +274,7 @@ def glob_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url").filter(text.matches_glob(F.col("url"), "https://*.com/**/*"))
 
 
-@query("""SELECT page_id, regexp_matches(lower(url), '\\.(class|png|jpg|jpeg|gif|ico|jar|zip|gz|so)$') OR contains(substr(html, 1, 8192), chr(0)) AS is_binary
+@query("""SELECT page_id, regexp_matches(lower(url), '\\.(class|png|gif|jpg|jar|so|dylib|dll|kotlin_module|kotlin_builtins)$') OR contains(substr(html, 1, 8192), chr(0)) AS is_binary
     FROM pages""")
 def binary_sniff_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.is_binary(F.col("url"), F.col("html").cast("binary")).alias("is_binary"))
@@ -434,6 +436,152 @@ def miss_negative(spark, sf_dir):
     return hits.unionByName(nothing)
 
 
+
+# -- the searches themselves, over the derived classes ------------------------------------------------------------------
+
+_ARTIFACTS_SQL = "artifacts AS (SELECT row_number() OVER (ORDER BY c) - 1 AS rank, c AS coordinates FROM (SELECT DISTINCT 'acme:' || replace(p_brand, '#', '-') || ':' || p_size % 3 AS c FROM part))"
+_OUTER = "concat('com.acme.', lower(p_type), '.', upper(substr(p_name, 1, 1)), substr(p_name, 2, instr(p_name, ' ') - 2), upper(substr(p_name, instr(p_name, ' ') + 1, 1)), substr(p_name, instr(p_name, ' ') + 2))"
+_CLASSES_SQL = f"""{_ARTIFACTS_SQL}, classes AS (SELECT p_partkey AS ord, 'acme:' || replace(p_brand, '#', '-') || ':' || p_size % 3 AS coordinates, {_OUTER} AS fqn, p_retailprice AS price FROM part)"""
+
+
+def class_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(coordinates, artifact_rank, entry_ord, fqn, source, name): part as the classes of artifacts in a manifest's order."""
+    part = declarations(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), "p_size"), "ord")
+    named = part.select("ord", F.concat(F.lit("acme:"), "coordinates", F.lit(":"), (F.col("p_size") % 3).cast("string")).alias("coordinates"), F.substring_index("fqn", "$", 1).alias("fqn"))
+    ranks = named.select("coordinates").distinct().withColumn("artifact_rank", F.row_number().over(Window.orderBy("coordinates")) - 1)  # one row an artifact
+    source = F.when(F.col("ord") % 4 == 0, "sources").otherwise("binary")
+    return named.join(ranks, "coordinates").select("coordinates", "artifact_rank", F.col("ord").alias("entry_ord"), "fqn", source.alias("source"), F.col("fqn").alias("name"))
+
+
+@query(f"""WITH {_CLASSES_SQL},
+    hit AS (SELECT coordinates, rank, min(ord) AS ord FROM classes JOIN artifacts USING (coordinates) WHERE fqn = 'com.acme.economy.SmallRing' GROUP BY ALL)
+    SELECT first(coordinates ORDER BY rank) AS coordinates, array_to_string((list(coordinates ORDER BY rank))[2:], ',') AS alternatives FROM hit HAVING count(*) > 0""")
+def locate_class(spark, sf_dir):
+    """The artifact that answers for a class, and the later ones that declare it."""
+    return search.locate(class_entries(spark, sf_dir), "com.acme.economy.SmallRing").select("coordinates", F.array_join("alternatives", ",").alias("alternatives"))
+
+
+@query(f"""WITH {_CLASSES_SQL},
+    hits AS (SELECT coordinates, fqn, min(rank) AS rank, min(ord) AS ord, max(ord % 4 = 0) FILTER (true) AS any_source, first(ord % 4 = 0 ORDER BY ord) AS from_source FROM classes JOIN artifacts USING (coordinates)
+      WHERE regexp_replace(fqn, '^.*\\.', '') = 'BlueBolt' GROUP BY ALL),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY rank, ord) AS k FROM hits)
+    SELECT coordinates, fqn, split_part(coordinates, ':', -1) AS version, CASE WHEN from_source THEN 'source' ELSE 'decompiled' END AS provenance,
+      CASE WHEN k <= 24 AND starts_with(fqn, 'com.acme.promo') THEN 'interface' ELSE 'class' END AS kind FROM numbered""")
+def find_class_kinds(spark, sf_dir):
+    """A search with versions, what reading would yield, and the kinds of the first hits from their declarations."""
+    entries = class_entries(spark, sf_dir)
+    kind = F.when(F.startswith("fqn", F.lit("com.acme.promo")), "interface").otherwise("class")
+    declared = entries.select("coordinates", "fqn", F.substring_index("fqn", ".", -1).alias("selector"), kind.alias("kind"), F.col("entry_ord").alias("line_start"))
+    # the query is a whole simple name, so no fuzzy hit is wanted
+    hits = search.find_class(entries, "BlueBolt", limit=0, jvm=True, declarations=declared)
+    return hits.select("coordinates", "fqn", "version", "provenance", "kind")
+
+
+@query(f"""WITH RECURSIVE {_CLASSES_SQL},
+    firsts AS (SELECT coordinates, fqn, min(ord) AS ord FROM classes GROUP BY ALL)
+    SELECT DISTINCT fqn, coordinates, (SELECT count(*) FROM artifacts) AS searched FROM firsts WHERE regexp_replace(fqn, '^.*\\.', '') = 'RedRing'""")
+def miss_suggestions(spark, sf_dir):
+    """A class that is not there: the search for its simple name finds it in other packages."""
+    entries = class_entries(spark, sf_dir).filter("fqn like '%.RedRing'")
+    artifacts = class_entries(spark, sf_dir).select("coordinates").distinct()
+    return search.miss(entries, "org.elsewhere.RedRing", artifacts).select("fqn", "coordinates", "searched")
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, fqn, selector, kind, visibility, params, signature, javadoc, line_start, line_end, doc_start, receiver): orders as members
+    of a class for each customer, with overloads, kinds and comments."""
+    number = F.col("o_orderkey")
+    kind = F.when(number % 5 == 0, "field").when(number % 5 == 1, "constructor").when(number % 5 == 2, "class").otherwise("method")
+    params = F.when(number % 5 >= 3, F.array_repeat(F.lit("java.lang.String"), (number % 3).cast("int")))
+    line = (number % 1000 + 1).cast("int")
+    return table(spark, sf_dir, "orders").select(
+        F.lit("x").alias("path"), F.concat(F.lit("com.acme.Customer"), (F.col("o_custkey") % 50).cast("string")).alias("fqn"), F.concat(F.lit("member"), (number % 7).cast("string")).alias("selector"), kind.alias("kind"),
+        F.when(F.col("o_orderstatus") == "F", "public").otherwise("private").alias("visibility"), params.alias("params"), F.col("o_orderpriority").alias("signature"), F.col("o_orderstatus").alias("javadoc"),
+        line.alias("line_start"), line.alias("line_end"), line.alias("doc_start"), F.when(number % 2 == 0, "kotlin.List").alias("receiver"), number.alias("ord"),
+    )
+
+
+_MEMBERS_SQL = """members AS (SELECT o_orderkey AS ord, 'com.acme.Customer' || o_custkey % 50 AS fqn, 'member' || o_orderkey % 7 AS selector, o_orderkey % 3 AS arity, o_orderkey % 1000 + 1 AS line,
+    CASE o_orderkey % 5 WHEN 0 THEN 'field' WHEN 1 THEN 'constructor' WHEN 2 THEN 'class' ELSE 'method' END AS kind, CASE WHEN o_orderstatus = 'F' THEN 'public' ELSE 'private' END AS visibility,
+    o_orderpriority AS signature, o_orderstatus AS javadoc, o_orderkey % 2 = 0 AS extends FROM orders)"""
+
+
+@query(f"WITH {_MEMBERS_SQL} SELECT ord, fqn, selector, kind, NULL::VARCHAR AS javadoc FROM members WHERE (fqn = 'com.acme.Customer7' OR starts_with(fqn, 'com.acme.Customer7.')) AND kind <> 'field' AND visibility = 'public'")
+def outline_minimal(spark, sf_dir):
+    """The members of a class that the least preset shows, of one visibility."""
+    return search.outline(members(spark, sf_dir), "com.acme.Customer7", "minimal", visibility="public").select("ord", "fqn", "selector", "kind", "javadoc")
+
+
+@query(f"""WITH {_MEMBERS_SQL} SELECT ord, fqn, selector, kind, javadoc FROM members WHERE fqn = 'com.acme.Customer7' AND kind = 'method'""")
+def outline_of_kind(spark, sf_dir):
+    """A kind is a plain filter: the class's own row goes too."""
+    return search.outline(members(spark, sf_dir), "com.acme.Customer7", kind="method").select("ord", "fqn", "selector", "kind", "javadoc")
+
+
+@query(f"""WITH {_MEMBERS_SQL}, own AS (SELECT * FROM members WHERE fqn = 'com.acme.Customer7'),
+    found AS (
+      SELECT 0 AS selector_ord, * FROM own WHERE selector = 'member3' AND kind = 'method' AND arity = 2
+      UNION ALL SELECT 1, * FROM own WHERE selector = 'member4' AND extends)
+    SELECT selector_ord, selector || CASE WHEN kind = 'method' THEN '(' || array_to_string(list_transform(range(arity), lambda i: 'String'), ',') || ')' ELSE '' END AS selector, signature, 0 AS first, 0 AS last FROM found""")
+def read_member_signatures(spark, sf_dir):
+    """Members that selectors name, by parameter types and by receiver, where only signatures are at hand."""
+    rows = members(spark, sf_dir)
+    files = spark.createDataFrame([], "path string, text string")
+    slices, _ = search.read_member(rows, files, "com.acme.Customer7", "#member3(String,java.lang.String), #List.member4", degraded="no source available")
+    return slices.select("selector_ord", "selector", "signature", "first", "last")
+
+
+@query("""WITH arts AS (SELECT s_suppkey, 'g:s' || s_suppkey || ':1' AS coordinates, CASE WHEN s_suppkey % 2 = 0 THEN '/r/' || s_suppkey || '-sources.jar' END AS a, CASE WHEN s_suppkey % 7 = 0 THEN '/src/' || s_suppkey END AS b, '/r/' || s_suppkey || '.jar' AS c FROM supplier),
+    slots AS (SELECT coordinates, 0 AS ord, 'sourcesJar' AS slot, a AS path FROM arts UNION ALL SELECT coordinates, 1, 'sourceDir', b FROM arts UNION ALL SELECT coordinates, 2, 'binaryJar', c FROM arts),
+    there AS (SELECT DISTINCT '/r/' || l_suppkey || '.jar' AS path FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.08 UNION SELECT '/src/' || s_suppkey FROM supplier WHERE s_acctbal > 5000)
+    SELECT coordinates, ord, slot, path, path IN (FROM there) AS exists, NOT bool_or(path IN (FROM there)) OVER (PARTITION BY coordinates) AS all_missing FROM slots WHERE path IS NOT NULL""")
+def where_paths(spark, sf_dir):
+    """What each artifact has, in the fixed order, what of it exists, and artifacts that are gone."""
+    key = F.col("s_suppkey").cast("string")
+    supplier = table(spark, sf_dir, "supplier")
+    arts = supplier.select(F.concat(F.lit("g:s"), key, F.lit(":1")).alias("coordinates"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("/r/"), key, F.lit("-sources.jar"))).alias("sourcesJar"),
+        F.when(F.col("s_suppkey") % 7 == 0, F.concat(F.lit("/src/"), key)).alias("sourceDir"), F.concat(F.lit("/r/"), key, F.lit(".jar")).alias("binaryJar"))
+    sold = table(spark, sf_dir, "lineitem").filter("l_quantity > 49 and l_discount > 0.08").select(F.concat(F.lit("/r/"), F.col("l_suppkey").cast("string"), F.lit(".jar")).alias("path")).distinct()
+    there = sold.unionByName(supplier.filter("s_acctbal > 5000").select(F.concat(F.lit("/src/"), key).alias("path")))
+    return catalog.where(arts, there).select("coordinates", "ord", "slot", "path", "exists", "all_missing")
+
+
+@query("""WITH c AS (SELECT p_type, p_size, CASE p_size % 4 WHEN 0 THEN 'kapt' WHEN 1 THEN 'test' WHEN 2 THEN 'my' ELSE '' END || p_type || CASE p_size % 3 WHEN 0 THEN 'runtimeClasspath' WHEN 1 THEN 'compileClasspath' ELSE 'CompileKapt' END AS name FROM part)
+    SELECT name, CASE WHEN starts_with(name, 'kapt') OR contains(name, 'annotationProcessor') THEN 'annotationProcessor' WHEN contains(name, 'test') THEN 'test' WHEN contains(name, 'compile') THEN 'compile'
+      WHEN contains(name, 'runtime') THEN 'runtime' ELSE 'compile' END AS label, count(*) AS n FROM c GROUP BY ALL""")
+def configuration_labels(spark, sf_dir):
+    size = F.col("p_size")
+    name = F.concat(F.when(size % 4 == 0, "kapt").when(size % 4 == 1, "test").when(size % 4 == 2, "my").otherwise(""), "p_type", F.when(size % 3 == 0, "runtimeClasspath").when(size % 3 == 1, "compileClasspath").otherwise("CompileKapt"))
+    counted = table(spark, sf_dir, "part").groupBy(name.alias("name")).agg(F.count("*").alias("n"))
+    return counted.select("name", catalog.configuration_label(F.col("name")).alias("label"), "n")
+
+
+@query("""SELECT n_name, 'module:' || regexp_replace(r_name || ' ' || n_nationkey, '[^A-Za-z0-9_-]+', '_', 'g') || '-' || substr(sha256('/work/' || r_name || ' ' || n_nationkey), 1, 8) || ':' || CASE WHEN n_nationkey % 4 = 0 THEN 'root' ELSE n_name END AS coordinates
+    FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def module_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    project = F.concat(F.lit("/work/"), "r_name", F.lit(" "), F.col("n_nationkey").cast("string"))
+    label = F.when(F.col("n_nationkey") % 4 == 0, ":").otherwise(F.concat(F.lit(":"), "n_name"))
+    return rows.select("n_name", catalog.module_coordinates(project, label).alias("coordinates"))
+
+
+@query("""WITH lines AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN concat(c_name, chr(9), '(vanished)') ELSE concat(c_name, chr(9), c_custkey, chr(9), c_nationkey) END AS line FROM customer WHERE c_mktsegment = 'BUILDING')
+    SELECT sha256(array_to_string(list_sort(list(line)), chr(10))) AS fingerprint FROM lines""")
+def fingerprint_build_files(spark, sf_dir):
+    """The hash over build files' lines; a project has few, so they are gathered."""
+    size = F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey"))
+    files = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("path"), size.alias("size"), F.col("c_nationkey").alias("mtime"))
+    return catalog.fingerprint(files)
+
+
+@query(f"""WITH {_MEMBERS_SQL}, types AS (SELECT ord, fqn, selector FROM members WHERE kind = 'class'), own AS (SELECT DISTINCT fqn || '.' || selector AS c FROM types WHERE ord % 3 = 0)
+    SELECT ord, fqn, selector FROM types WHERE ord % 3 <> 0 AND fqn || '.' || selector NOT IN (FROM own) UNION ALL SELECT ord, fqn || '.' || selector, selector FROM types WHERE ord % 3 = 0""")
+def shadowed_members(spark, sf_dir):
+    """Member rows go that stand for a class with a row of its own."""
+    types = members(spark, sf_dir).filter("kind = 'class'").select("ord", F.when(F.col("ord") % 3 == 0, F.concat_ws(".", "fqn", "selector")).otherwise(F.col("fqn")).alias("fqn"), "selector", "kind")
+    return search.shadowed(types).select("ord", "fqn", "selector")
+
+
 _COUNTED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages", "conversations", "benchmark", "embeddings"]
 
 

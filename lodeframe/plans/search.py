@@ -5,31 +5,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodeframe.functions import selectors as S, text as T
-from lodeframe.functions.fuzzy import fuzzy_score
-from lodeframe.functions.names import artifact_id, dotted, is_family, simple_name
+from lodeframe.functions.names import artifact_id, dotted, is_family, parent_name, simple_name, version
 from lodeframe.operators import rank
 
 SECTIONS = {"fields": ("field", "property", "enum-constant"), "methods": ("method", "constructor")}
 #: Fixed presets: which sections an outline has.
 PRESETS = {
-    "minimal": {"fields": False, "methods": False, "inner": False, "javadoc": False},
-    "outline": {"fields": True, "methods": True, "inner": True, "javadoc": False},
-    "full": {"fields": True, "methods": True, "inner": True, "javadoc": True},
+    "minimal": {"imports": False, "fields": False, "methods": True, "inner": True, "javadoc": False},
+    "outline": {"imports": True, "fields": True, "methods": True, "inner": True, "javadoc": True},
+    "full": {"imports": True, "fields": True, "methods": True, "inner": True, "javadoc": True},
 }
+#: Hits whose kind is looked up in their declarations; the others are given as classes.
+KIND_CAP = 24
 RESOURCE_LIMIT = 524_288
 MISS_NOTE = "not found in resolved artifacts; remote artifact search is a planned extension"
 
 
-def find_class(entries: DataFrame, query: str, limit: int = rank.NAME_LIMIT, jvm: bool = False) -> DataFrame:
+def listing(artifacts: DataFrame, entries: DataFrame, existing: DataFrame) -> DataFrame:
+    """(coordinates, artifact_rank, backing, source and entries' columns): each artifact's entries in the first of its
+    binaryJar, sourcesJar and sourceDir that existing (path) has; entries (archive, any more) of other backings drop out."""
+    slots = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(n).alias("source"), F.col(c).alias("path")) for k, (c, n) in enumerate((("binaryJar", "binary"), ("sourcesJar", "sources"), ("sourceDir", "sourceDir")))])
+    each = artifacts.select("coordinates", "artifact_rank", F.explode(slots).alias("b")).select("coordinates", "artifact_rank", "b.*")
+    there = each.join(existing.select("path").distinct(), "path", "left_semi")
+    backing = there.groupBy("coordinates", "artifact_rank").agg(F.min(F.struct("ord", "source", "path")).alias("b"))
+    return backing.select("coordinates", "artifact_rank", F.col("b.path").alias("backing"), F.col("b.source").alias("source")).join(entries.drop("source"), F.col("backing") == F.col("archive"))
+
+
+def promised(artifacts_have: tuple[Column, Column, Column], jvm: bool) -> Column:
+    """What reading a hit whole would yield, by the artifact's sourcesJar, sourceDir and binaryJar."""
+    sources_jar, source_dir, binary_jar = artifacts_have
+    return F.when(sources_jar.isNotNull() | source_dir.isNotNull(), "source").when(binary_jar.isNotNull() & F.lit(jvm), "decompiled").otherwise("signature")
+
+
+def with_kinds(hits: DataFrame, declarations: DataFrame, order: list[Column | str], cap: int = KIND_CAP) -> DataFrame:
+    """hits (coordinates, fqn, any more) with kind: of the first cap in order, that of their own declaration; class else."""
+    first = hits.orderBy(*order).limit(cap).select("coordinates", "fqn")
+    own = declarations.select(F.col("coordinates").alias("_c"), F.col("fqn").alias("_f"), "selector", F.col("kind").alias("_kind"), "line_start")
+    met = first.join(own, (F.col("coordinates") == F.col("_c")) & (F.col("selector") == simple_name(F.col("fqn"))) & is_family(F.col("_f"), F.col("fqn")))
+    kinds = met.groupBy("coordinates", "fqn").agg(F.min(F.struct("line_start", "_kind")).getField("_kind").alias("kind"))
+    return hits.join(kinds, ["coordinates", "fqn"], "left").withColumn("kind", F.coalesce("kind", F.lit("class")))
+
+
+def find_class(entries: DataFrame, query: str, limit: int = rank.NAME_LIMIT, jvm: bool = False, artifacts: DataFrame | None = None, declarations: DataFrame | None = None) -> DataFrame:
     """Classes of entries (coordinates, artifact_rank, entry_ord, fqn, source) that query names.
 
     Exact, trailing-segment and simple-name hits are all kept, then the best `limit` fuzzy ones; a class of an artifact
-    is listed once, under its best tier. No content is read.
+    is listed once, under its best tier. No content is read but that of the first KIND_CAP hits, whose kinds come from
+    declarations if these are given; with artifacts, provenance is what their backings promise.
     """
+    order = ["tier", F.desc("score"), "artifact_rank", "entry_ord"]
     hits = rank.tiered_search(entries, "fqn", query, ["artifact_rank", "entry_ord"], limit)
-    once = rank.first_wins(hits.withColumn("name", dotted(F.col("fqn"))), ["coordinates", "name"], ["tier", F.desc("score"), "artifact_rank", "entry_ord"])
-    promise = F.when(F.col("source") == "sources", "source").otherwise("decompiled" if jvm else "signature")
-    return once.select("coordinates", F.col("name").alias("fqn"), "tier", "score", promise.alias("provenance"), "artifact_rank", "entry_ord").orderBy("tier", F.desc("score"), "artifact_rank", "entry_ord")
+    once = rank.first_wins(hits.withColumn("name", dotted(F.col("fqn"))), ["coordinates", "name"], order)
+    promise = F.when(F.col("source") != "binary", "source").otherwise("decompiled" if jvm else "signature")
+    if artifacts is not None:
+        once = once.join(artifacts.select("coordinates", "sourcesJar", "sourceDir", "binaryJar"), "coordinates", "left")
+        promise = promised((F.col("sourcesJar"), F.col("sourceDir"), F.col("binaryJar")), jvm)
+    found = once.select("coordinates", F.col("name").alias("fqn"), version(F.col("coordinates")).alias("version"), "tier", "score", promise.alias("provenance"), "artifact_rank", "entry_ord")
+    known = with_kinds(found, declarations, order) if declarations is not None else found.withColumn("kind", F.lit("class"))
+    return known.orderBy(*order)
+
+
+def source_entry(entries: DataFrame, fqn: str) -> DataFrame:
+    """(coordinates, name): the source entry of a class in each artifact: its path with .java or .kt, else the only entry
+    that ends with it; several that do are no answer."""
+    path = fqn.replace("$", ".").replace(".", "/")
+    fits = [(F.col("name") == path + e, k, True) for k, e in enumerate((".java", ".kt"))] + [(F.endswith("name", F.lit(f"/{path}{e}")), 2 + k, False) for k, e in enumerate((".java", ".kt"))]
+    level = F.coalesce(*[F.when(holds, F.lit(k)) for holds, k, _ in fits])
+    met = entries.withColumn("level", level).filter("level is not null").groupBy("coordinates", "level").agg(F.count("*").alias("n"), F.min("name").alias("name"))
+    best = met.groupBy("coordinates").agg(F.min(F.struct("level", "n", "name")).alias("b")).select("coordinates", "b.*")
+    return best.filter("level < 2 or n = 1").select("coordinates", "name")
+
+
+def records(artifacts: DataFrame, files: DataFrame, coordinates: str | None = None) -> DataFrame:
+    """Declarations with the coordinates and artifact_rank of their artifact, out of files (archive, path, text) of its
+    sourceDir, else its sourcesJar; of one artifact only if coordinates are given, so no other is read."""
+    from lodeframe.operators.declarations import scan_declarations
+
+    wanted = artifacts.filter(F.col("coordinates") == coordinates) if coordinates else artifacts
+    backing = wanted.select("coordinates", "artifact_rank", F.coalesce("sourceDir", "sourcesJar").alias("archive")).filter("archive is not null")
+    own = files.join(backing, "archive")
+    mark = F.concat_ws("\n", "coordinates", "path")
+    found = scan_declarations(own.select(mark.alias("path"), "text"))
+    split = F.split("path", "\n", 2)
+    return found.withColumn("coordinates", split[0]).withColumn("path", split[1]).join(backing.select("coordinates", "artifact_rank"), "coordinates")
 
 
 def locate(entries: DataFrame, fqn: str) -> DataFrame:
@@ -43,39 +101,138 @@ def locate(entries: DataFrame, fqn: str) -> DataFrame:
 
 
 def outline(declarations: DataFrame, fqn: str, preset: str = "outline", sections: dict[str, bool] | None = None, kind: str | None = None, visibility: str | None = None) -> DataFrame:
-    """Declarations of a class and what is nested in it, by sections; the class's own row is never left out."""
+    """Declarations of a class and what is nested in it: kind and visibility are plain filters, sections leave out all of
+    their kind but never the class's own row."""
     on = PRESETS[preset] | (sections or {})
     rows = declarations.filter(is_family(F.col("fqn"), F.lit(fqn)))
     target = dotted(F.col("fqn")) == dotted(F.lit(fqn))
-    root = target & (F.col("selector") == simple_name(F.lit(fqn))) & ~F.col("kind").isin(*SECTIONS["methods"], *SECTIONS["fields"])
     keep: Column = F.lit(True)
     for section, kinds in SECTIONS.items():
         keep &= F.lit(on[section]) | ~F.col("kind").isin(*kinds)
     keep &= F.lit(on["inner"]) | target
     for column, wanted in (("kind", kind), ("visibility", visibility)):
         if wanted:
-            keep &= F.col(column) == wanted
-    return rows.filter(root | keep).withColumn("javadoc", F.when(F.lit(on["javadoc"]), F.col("javadoc"))).orderBy("path", "line_start")
+            rows = rows.filter(F.col(column) == wanted)
+    return rows.filter(keep).withColumn("javadoc", F.when(F.lit(on["javadoc"]), F.col("javadoc"))).orderBy("path", "line_start")
+
+
+def imports(files: DataFrame, preset: str = "outline", sections: dict[str, bool] | None = None) -> DataFrame:
+    """(path, imports) of files (path, text) in their order, where the section is on and there are any."""
+    on = (PRESETS[preset] | (sections or {}))["imports"]
+    found = F.regexp_extract_all("text", F.lit(r"(?m)^\s*import\s+([\w.*]+(?:\s+as\s+\w+)?|static\s+[\w.*]+)\s*;?\s*$"), F.lit(1))
+    return files.select("path", found.alias("imports")).filter(F.lit(on) & (F.size("imports") > 0))
+
+
+def disambiguated(name: Column, params: Column) -> Column:
+    """name(T1,T2) by simple type names; the bare name of what takes no parameters list."""
+    plain = F.transform(params, lambda p: F.substring_index(F.regexp_replace(p, r"\s+", ""), ".", -1))
+    return F.when(params.isNull(), name).otherwise(F.concat(name, F.lit("("), F.array_join(plain, ","), F.lit(")")))
+
+
+def degrade_reason(kind: Column, no_decompile: Column, failure: Column, detail: Column) -> Column:
+    """Why a member is served as its signature; failure and detail of an attempt to decompile are null if there was none."""
+    out = F.when(F.coalesce(no_decompile, F.lit(False)) | (kind == "jdk"), "jdk: decompilation out of scope")
+    out = out.when(failure == "no-jvm", "no-jvm (decompile unavailable)")
+    return out.when(failure.isNotNull(), F.concat(F.lit("decompile failed"), F.coalesce(F.concat(F.lit(": "), detail), F.lit("")))).otherwise("no source available")
+
+
+def signature_text(declarations: DataFrame, note: str) -> DataFrame:
+    """(fqn, content): what is read of a class without source: the note, then all signatures in order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", "line_start", "signature"))), lambda x: x["signature"])
+    return declarations.groupBy("fqn").agg(F.concat_ws("\n", F.lit(note), F.array_join(ordered, "\n")).alias("content"))
+
+
+def merged_notes(*notes: Column) -> Column:
+    """Arrays of notes as one, each note once, in the order of their first place; nulls are left out."""
+    empty = F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(F.concat(*[F.coalesce(n, empty) for n in notes])))
+
+
+def answer(rows: DataFrame, stale: bool, *notes: Column) -> DataFrame:
+    """rows with stale and degraded, as every answer has them."""
+    served = F.array(F.lit("stale index served")) if stale else F.array().cast("array<string>")
+    return rows.withColumn("stale", F.lit(stale)).withColumn("degraded", merged_notes(served, *notes))
+
+
+def warning_lines(notes: Column) -> Column:
+    """What is printed of notes: the first, and how many more there are."""
+    once = F.array_distinct(notes)
+    more = F.when(F.size(once) > 1, F.concat(F.lit("warning: +"), (F.size(once) - 1).cast("string"), F.lit(" more (see: status)")))
+    return F.array_compact(F.array(F.when(F.size(once) > 0, F.concat(F.lit("warning: "), F.get(once, F.lit(0)))), more))
+
 
+def as_json(rows: DataFrame) -> DataFrame:
+    """Rows as JSON lines with all their fields; nulls are absent."""
+    return rows.select(F.to_json(F.struct("*")).alias("value"))
 
-def read_member(declarations: DataFrame, files: DataFrame, fqn: str, wanted: str) -> tuple[DataFrame, DataFrame]:
-    """(slices, misses): the lines of each member that the selectors name, comment included; selectors without a match."""
-    spark, asked = declarations.sparkSession, S.parse_list(wanted)
+
+#: Columns that each command prints.
+PRINTED = {
+    "find-class": ["fqn", "kind", "coordinates", "provenance"], "search-symbols": ["fqn", "selector", "kind", "signature"], "where": ["slot", "path", "exists"],
+    "read-resource": ["name", "size", "note"], "status": ["resolvedAt", "artifact_count", "stale"], "resolve": ["coordinates", "kind", "configuration"],
+}
+
+
+def printed(command: str, rows: DataFrame) -> DataFrame:
+    return table_text(rows, PRINTED[command])
+
+
+def unknown_command(commands: DataFrame, given: str) -> DataFrame:
+    """One row that says so, with the nearest of commands (name) if any is near."""
+    near = rank.closest(commands, "name", given, 1).agg(F.max("name").alias("near"))
+    hint = F.coalesce(F.concat(F.lit(" — did you mean '"), "near", F.lit("'?")), F.lit(""))
+    return near.select(F.concat(F.lit(f"unknown command '{given}'"), hint).alias("message"))
+
+
+def line_range(text: str) -> tuple[int, int]:
+    """from:to as two whole numbers from 1 on."""
+    ends = text.split(":")
+    if len(ends) != 2 or not all(e.isascii() and e.isdigit() and int(e) > 0 for e in ends) or int(ends[0]) > int(ends[1]):
+        raise ValueError(f"a range is from:to, not {text!r}")
+    return int(ends[0]), int(ends[1])
+
+
+def shadowed(declarations: DataFrame) -> DataFrame:
+    """declarations without the member rows that stand for a class which has a row of its own, fqn.selector."""
+    is_type = ~F.col("kind").isin(*SECTIONS["methods"], *SECTIONS["fields"])
+    own = F.col("selector") == simple_name(F.col("fqn"))
+    classes = declarations.filter(is_type & own).select(F.col("fqn").alias("_class")).distinct()
+    members = declarations.filter(is_type & ~own).join(classes, F.concat_ws(".", "fqn", "selector") == F.col("_class"), "left_anti")
+    return declarations.filter(~is_type | own).unionByName(members)
+
+
+def with_parents(classes: DataFrame) -> DataFrame:
+    """classes (fqn, any more) with parent: the class each is nested in, null at the root."""
+    known = classes.select(F.col("fqn").alias("parent")).distinct()
+    return classes.join(known, parent_name(F.col("fqn")) == F.col("parent"), "left")
+
+
+def read_member(declarations: DataFrame, files: DataFrame, fqn: str, wanted: str, degraded: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(slices, misses): the lines of each member that the selectors name, comment included; what was missed, and why.
+
+    With degraded, the reason why there is no source, members are given as their signatures, at line 0, and each selector
+    that finds any is a miss too.
+    """
+    spark, raw = declarations.sparkSession, S.split_top_level(wanted)
+    asked = S.parse_list(wanted)
     own = declarations.filter(dotted(F.col("fqn")) == dotted(F.lit(fqn)))
+    receiver = F.col("receiver") if "receiver" in declarations.columns else F.lit(None).cast("string")
     found = None
     for k, selector in enumerate(asked):
-        one = own.filter(S.matches(selector, F.col("selector"), F.col("params"), F.lit(None).cast("string"))).withColumn("selector_ord", F.lit(k))
+        one = own.filter(S.matches(selector, F.col("selector"), F.col("params"), receiver)).withColumn("selector_ord", F.lit(k))
         found = one if found is None else found.unionByName(one)
-    texts = found.join(files.select("path", T.lines(F.col("text")).alias("_lines")), "path")
+    texts = found.join(files.select("path", T.lines(F.col("text")).alias("_lines")), "path", "left")
+    pseudo = F.lit(degraded is not None) | F.col("line_start").isNull() | F.col("line_end").isNull() | F.col("_lines").isNull()
     start = F.coalesce("doc_start", "line_start")
-    slices = texts.select("selector_ord", "selector", "signature", start.alias("first"), F.col("line_end").alias("last"), F.slice("_lines", start, F.col("line_end") - start + 1).alias("lines")).orderBy("selector_ord", "first")
-    numbered = spark.createDataFrame(list(enumerate(wanted_texts(wanted))), "selector_ord int, asked string")
-    misses = numbered.join(found.select("selector_ord").distinct(), "selector_ord", "left_anti").withColumn("reason", F.lit("no matching declaration"))
-    return slices, misses
-
-
-def wanted_texts(wanted: str) -> list[str]:
-    return S.split_top_level(wanted)
+    slices = texts.select(
+        "selector_ord", disambiguated(F.col("selector"), F.col("params")).alias("selector"), "signature", F.when(pseudo, 0).otherwise(start).alias("first"), F.when(pseudo, 0).otherwise(F.col("line_end")).alias("last"),
+        F.when(pseudo, F.array("signature")).otherwise(F.slice("_lines", start, F.col("line_end") - start + 1)).alias("lines"),
+        F.when(~pseudo & (F.col("doc_start") < F.col("line_start")), F.slice("_lines", F.col("doc_start"), F.col("line_start") - F.col("doc_start"))).alias("javadoc"),
+    ).orderBy("selector_ord", "first")
+    numbered = spark.createDataFrame(list(enumerate(raw)), "selector_ord int, asked string")
+    hit = found.select("selector_ord").distinct().withColumn("hit", F.lit(True))
+    reasons = numbered.join(hit, "selector_ord", "left").withColumn("reason", F.when(F.col("hit").isNull(), "no matching declaration").otherwise(F.lit(degraded)))
+    return slices, reasons.filter("reason is not null").select("selector_ord", "asked", "reason")
 
 
 def read_source(files: DataFrame, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -126,12 +283,12 @@ def search_symbols(declarations: DataFrame, query: str, kind: str | None = None,
     return hits.select("fqn", "selector", "kind", T.truncated(F.col("signature")).alias("signature"), "tier", "score", "line_start").orderBy("tier", F.desc("score"), "line_start")
 
 
-def miss(names: DataFrame, query: str, searched: DataFrame) -> DataFrame:
-    """What to say when nothing was hit: near names by the simple name of query, else one row that says so."""
-    simple = query.replace("$", ".").rsplit(".", 1)[-1]
-    scored = names.withColumn("score", fuzzy_score(F.lit(simple), simple_name(F.col("fqn")))).filter("score is not null")
-    near = scored.orderBy(F.desc("score"), "fqn").limit(5).select("fqn", F.lit(None).cast("string").alias("note"))
-    nothing = near.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(None).cast("string").alias("fqn"), F.lit(MISS_NOTE).alias("note"))
+def miss(entries: DataFrame, query: str, searched: DataFrame) -> DataFrame:
+    """What to say when nothing was hit: the whole search for the simple name of query; if that finds nothing either, one
+    row that says so. searched: how many artifacts were."""
+    hits = find_class(entries, query.replace("$", ".").rsplit(".", 1)[-1])
+    near = hits.select("fqn", "coordinates", F.lit(None).cast("string").alias("note"))
+    nothing = near.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(None).cast("string").alias("fqn"), F.lit(None).cast("string").alias("coordinates"), F.lit(MISS_NOTE).alias("note"))
     return near.unionByName(nothing).crossJoin(F.broadcast(searched.agg(F.count("*").alias("searched"))))
 
 
@@ -154,5 +311,3 @@ def table_text(rows: DataFrame, columns: list[str], cell: int = 60, shown: int =
     widths = clip.agg(*[F.greatest(F.lit(1), F.max(F.length(c))).alias(f"_{c}") for c in columns])
     padded = [F.rpad(c, F.col(f"_{c}"), F.lit(" ")) for c in columns[:-1]] + [F.col(columns[-1])]
     return clip.crossJoin(F.broadcast(widths)).select(F.concat_ws("  ", *padded).alias("line"))
-
-

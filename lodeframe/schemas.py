@@ -6,8 +6,3 @@ ARTIFACT = "struct<coordinates:string,configuration:string,kind:string,binaryJar
 MANIFEST = f"version int, resolvedAt string, dependencySetHash string, artifacts array<{ARTIFACT}>"
 ENTRY = "archive string, entry_ord long, name string, csize long, usize long, method int, crc long, is_dir boolean, error string"
 DUMP = "configurations array<struct<name:string,dependencies:array<struct<coordinates:string,kind:string,path:string>>,error:string>>, sources map<string,string>"
-
-#: Fixed values, in the order that ranks them.
-KINDS = ["class", "interface", "enum", "record", "annotation", "object", "method", "constructor", "field", "property", "enum-constant"]
-VISIBILITIES = ["public", "protected", "package", "private"]
-PROVENANCES = ["source", "decompiled", "signature"]

@@ -7,7 +7,9 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from lodeframe.functions.names import is_cached_jar
 from lodeframe.functions.text import version_key
+from lodeframe.operators.rank import first_nonempty, first_wins
 from lodeframe.schemas import ARTIFACT, DUMP, MANIFEST, MANIFEST_VERSION
 
 BEGIN, END = "<<<DEPENDENCIES", "DEPENDENCIES>>>"
@@ -35,31 +37,100 @@ def artifacts(manifest: DataFrame) -> DataFrame:
 
 
 def configuration_label(name: Column) -> Column:
-    """Label of a build configuration's name; the order of the cases matters."""
-    low = F.lower(name)
+    """Label of a build configuration's name; case matters, and so does the order of the cases."""
+    holds = lambda word: F.contains(name, F.lit(word))
     return (
-        F.when(F.contains(low, F.lit("kapt")) | F.contains(low, F.lit("annotationprocessor")), "annotationProcessor")
-        .when(F.contains(low, F.lit("test")), "test")
-        .when(F.contains(low, F.lit("compile")), "compile")
-        .when(F.contains(low, F.lit("runtime")), "runtime")
-        .otherwise("compile")
-    )
+        F.when(F.startswith(name, F.lit("kapt")) | holds("annotationProcessor"), "annotationProcessor")
+        .when(holds("test"), "test").when(holds("compile"), "compile").when(holds("runtime"), "runtime").otherwise("compile")
+    )
 
 
-def first_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_rn = 1").drop("_rn")
+def module_coordinates(project: Column, label: Column) -> Column:
+    """module:<namespace>:<label>: the namespace, the folder's name and a hash of its path, parts builds with equal labels."""
+    name = F.regexp_replace(F.substring_index(project, "/", -1), r"[^A-Za-z0-9_-]+", "_")
+    namespace = F.concat(F.when(name == "", "root").otherwise(name), F.lit("-"), F.substring(F.sha2(project.cast("binary"), 256), 1, 8))
+    bare = F.regexp_replace(label, "^:", "")
+    return F.concat(F.lit("module:"), namespace, F.lit(":"), F.when(bare == "", "root").otherwise(bare))
 
 
-def from_dump(output: DataFrame) -> DataFrame:
-    """Artifacts of a build's output (value): the JSON between the marks; sources join by coordinates, first wins."""
+def from_dump(output: DataFrame, project: str) -> DataFrame:
+    """Artifacts of a build's output (value): the JSON between the marks; sources join by coordinates, first wins. Modules
+    have coordinates of their project and no configuration."""
     found = output.select(F.from_json(F.regexp_extract("value", rf"(?s){BEGIN}(.*?){END}", 1), DUMP).alias("d")).filter("d is not null")
     configurations = found.select("d.sources", F.posexplode("d.configurations").alias("c_ord", "c"))
     deps = configurations.select("sources", "c_ord", F.col("c.name").alias("configuration"), F.posexplode("c.dependencies").alias("d_ord", "dep"))
+    module, given, path = F.col("dep.kind") == "module", F.col("dep.coordinates"), F.col("dep.path")
     rows = deps.select(
-        "c_ord", "d_ord", F.col("dep.coordinates").alias("coordinates"), configuration_label(F.col("configuration")).alias("configuration"), F.col("dep.kind").alias("kind"),
-        F.when(F.col("dep.kind") != "module", F.col("dep.path")).alias("binaryJar"), F.element_at("sources", F.col("dep.coordinates")).alias("sourcesJar"), F.when(F.col("dep.kind") == "module", F.col("dep.path")).alias("sourceDir"),
+        "c_ord", "d_ord", F.when(module, module_coordinates(F.lit(project), given)).otherwise(given).alias("coordinates"),
+        F.when(~module, configuration_label(F.col("configuration"))).alias("configuration"), F.when(module, "module").otherwise("external").alias("kind"),
+        F.when(~module, path).alias("binaryJar"), F.when(~module, F.element_at("sources", given)).alias("sourcesJar"), F.when(module, path).alias("sourceDir"),
     )
-    return first_of(rows, "coordinates", ["c_ord", "d_ord"])
+    return first_wins(rows, ["coordinates"], ["c_ord", "d_ord"])
+
+
+def with_sibling_sources(arts: DataFrame, existing: DataFrame) -> DataFrame:
+    """arts (binaryJar, any more) with sourcesJar: the -sources.jar beside the binary one, if existing (path) has it."""
+    beside = F.regexp_replace("binaryJar", r"\.jar$", "-sources.jar")
+    there = existing.select(F.col("path").alias("sourcesJar")).distinct()
+    return arts.drop("sourcesJar").join(there, beside == F.col("sourcesJar"), "left")
+
+
+def module_dirs(modules: DataFrame, produced: DataFrame) -> DataFrame:
+    """modules (dir) with is_output: whether produced (path, of class paths) names their target/classes, whatever the case."""
+    outputs = produced.select(F.lower(F.regexp_replace("path", r"\\\\", "/")).alias("_output")).distinct()
+    return modules.join(outputs, F.lower(F.concat("dir", F.lit("/target/classes"))) == F.col("_output"), "left").withColumn("is_output", F.col("_output").isNotNull()).drop("_output")
+
+
+def partial_note(modules: DataFrame) -> DataFrame:
+    """One row (note) that names the modules (dir, is_output) without an output, or none: a reactor that failed in part."""
+    missing = modules.filter(~F.col("is_output")).agg(F.array_join(F.array_sort(F.collect_list("dir")), ", ").alias("all"), F.count("*").alias("n"))
+    return missing.filter("n > 0").select(F.concat(F.lit("modules failed to resolve: "), "all").alias("note"))
+
+
+def jdk_artifact(releases: DataFrame, existing: DataFrame) -> DataFrame:
+    """The pseudo-artifact of each JDK folder (home, release: the text of its release file, or null) that has a src.zip."""
+    version = F.coalesce(F.nullif(F.regexp_extract("release", r'(?m)^JAVA_VERSION="([^"]+)"', 1), F.lit("")), F.substring_index("home", "/", -1))
+    rows = releases.select(F.concat(F.lit("jdk:"), version).alias("coordinates"), F.lit("jdk").alias("configuration"), F.lit("jdk").alias("kind"), F.lit(True).alias("noDecompile"), F.concat("home", F.lit("/lib/src.zip")).alias("sourcesJar"))
+    return rows.join(existing.select(F.col("path").alias("sourcesJar")).distinct(), "sourcesJar", "left_semi").select(*rows.columns)
+
+
+#: Build files of a project's root, those of its folders, and the marks of a build system.
+ROOT_BUILD_FILES = ("build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "gradle.properties", "gradle/libs.versions.toml", "gradle.lockfile", "gradlew", "pom.xml", "mvnw")
+FOLDER_BUILD_FILES = ("pom.xml", "build.gradle", "build.gradle.kts")
+GRADLE_MARKS = ("settings.gradle", "settings.gradle.kts", "build.gradle", "build.gradle.kts", "gradlew", "gradlew.bat")
+
+
+def is_build_file(path: Column) -> Column:
+    """Whether a path, relative to the project, counts for the fingerprint."""
+    return path.isin(*ROOT_BUILD_FILES) | ((F.size(F.split(path, "/")) == 2) & F.substring_index(path, "/", -1).isin(*FOLDER_BUILD_FILES))
+
+
+def build_systems(files: DataFrame) -> DataFrame:
+    """One row, an array of the build systems that files (path, relative) show, in the order they are asked."""
+    shows = lambda paths: F.coalesce(F.bool_or(F.col("path").isin(*paths)), F.lit(False))
+    return files.agg(F.array_compact(F.array(F.when(shows(GRADLE_MARKS), "gradle"), F.when(shows(("pom.xml",)), "maven"))).alias("systems"))
+
+
+def resolve(systems: list[tuple[str, DataFrame, str | None]], caches: DataFrame, jdk: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(artifacts, notes): those of the first system (name, artifacts, why it failed) that has any, else those of the caches;
+    the JDK comes last; of equal coordinates the first wins. notes: one row for each system that gave none."""
+    columns = ["coordinates", "configuration", "kind", "binaryJar", "sourcesJar", "sourceDir", "noDecompile"]
+
+    def shaped(df: DataFrame) -> DataFrame:
+        return df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("boolean" if c == "noDecompile" else "string")).alias(c) for c in columns])
+
+    ranked = [shaped(df).withColumn("ord", F.monotonically_increasing_id()) for _, df, _ in systems] + [shaped(caches).withColumn("ord", F.monotonically_increasing_id())]
+    chosen = first_nonempty(ranked)
+    if jdk is not None:
+        chosen = chosen.unionByName(shaped(jdk).withColumns({"ord": F.lit(0).cast("long"), "priority": F.lit(len(ranked))}))
+    notes = None
+    for k, (name, df, reason) in enumerate(systems):
+        none = df.agg(F.count("*").alias("n")).filter("n = 0")
+        one = none.select(F.lit(k).alias("ord"), F.lit(name).alias("system"), F.lit(reason or "no-artifacts").alias("reason"))
+        notes = one if notes is None else notes.unionByName(one)
+    if notes is None:
+        notes = caches.sparkSession.createDataFrame([], "ord int, system string, reason string")
+    return first_wins(chosen, ["coordinates"], ["priority", "ord"]).orderBy("priority", "ord").drop("priority", "ord"), notes
 
 
 def from_classpath(lines: DataFrame, repository: str) -> DataFrame:
@@ -74,15 +145,18 @@ def from_classpath(lines: DataFrame, repository: str) -> DataFrame:
     artifact, version, file = F.element_at("parts", -3), F.element_at("parts", -2), F.element_at("parts", -1)
     named = rows.filter(file == F.concat(artifact, F.lit("-"), version, F.lit(".jar")))
     group = F.array_join(F.slice("parts", F.lit(1), F.size("parts") - 3), ".")
-    return first_of(named.select("ord", F.concat_ws(":", group, artifact, version).alias("coordinates"), F.col("path").alias("binaryJar")), "coordinates", ["ord"])
+    return first_wins(named.select("ord", F.concat_ws(":", group, artifact, version).alias("coordinates"), F.col("path").alias("binaryJar")), ["coordinates"], ["ord"])
 
 
 def scan_caches(spark: SparkSession, maven: str | None, gradle: str | None, budget: int = SCAN_BUDGET) -> DataFrame:
-    """Artifacts of cache folders by file names alone, newest version of each, with what else was seen and a warning."""
+    """Artifacts of cache folders by file names alone, newest version of each, with what else was seen and a warning.
+
+    At most budget files are looked at, in order; scan_warning() tells whether there were more.
+    """
     found = None
     for root, (path, pattern) in enumerate(((maven, r"(.+)/([^/]+)/([^/]+)/\2-\3(-sources)?\.jar$"), (gradle, r"([^/]+)/([^/]+)/([^/]+)/[0-9a-f]+/\2-\3(-sources)?\.jar$"))):
         if path:
-            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jar").load(path).select("path")
+            files = cached_files(spark, path).filter(is_cached_jar(F.col("path")))
             inside = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), "^" + path.rstrip("/") + "/", "")
             group = F.translate(F.regexp_extract(inside, pattern, 1), "/", ".")
             one = files.filter(F.rlike(inside, F.lit("^" + pattern))).select(F.lit(root).alias("root"), group.alias("g"), F.regexp_extract(inside, pattern, 2).alias("a"), F.regexp_extract(inside, pattern, 3).alias("v"), (F.regexp_extract(inside, pattern, 4) != "").alias("sources"), "path")
@@ -98,9 +172,22 @@ def scan_caches(spark: SparkSession, maven: str | None, gradle: str | None, budg
     return every.select(coordinates.alias("coordinates"), F.lit("cache-scan").alias("kind"), best["binaryJar"].alias("binaryJar"), best["sourcesJar"].alias("sourcesJar"), warning.alias("warning"))
 
 
+def cached_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+
+
+def scan_warning(spark: SparkSession, roots: list[str], budget: int = SCAN_BUDGET) -> DataFrame:
+    """One row (warning) if the cache folders hold more files than a scan looks at."""
+    counts = None
+    for path in roots:
+        one = cached_files(spark, path).agg(F.count("*").alias("n"))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.agg(F.sum("n").alias("n")).filter(F.col("n") > budget).select(F.lit(f"cache-scan-truncated:{budget}").alias("warning"))
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
-    """One row: hash over the sorted lines `path, size, mtime` of build files."""
-    line = F.concat_ws("\t", "path", F.col("size").cast("string"), F.col("mtime").cast("string"))
+    """One row: hash over the sorted lines `path, size, mtime` of build files; a file without a size has vanished."""
+    line = F.when(F.col("size").isNull(), F.concat("path", F.lit("\t(vanished)"))).otherwise(F.concat_ws("\t", "path", F.col("size").cast("string"), F.col("mtime").cast("string")))
     return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("fingerprint"))
 
 
@@ -124,6 +211,3 @@ def is_stale(manifest: DataFrame, fingerprint_now: str, existing: DataFrame) ->
     gone = paths(artifacts(manifest)).join(existing.select("path"), "path", "left_anti").limit(1)
     return not (changed.isEmpty() and gone.isEmpty())
 
-
-def empty_artifacts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], f"a {ARTIFACT}").select("a.*")
