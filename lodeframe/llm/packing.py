@@ -211,24 +211,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     counted = checkpoint(cut.groupBy("length", "task").agg(F.count("*").alias("n")))
     counts = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     rows = sorted(plan(counts, capacity))
-    table = np.asarray(rows, dtype=np.int64).reshape(-1, 6)
     sequences = int(max((first + -(-n // per) for _, _, n, first, per, _ in rows), default=1))
     a, b = permutation(sequences, [seed])
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     ranked = cut.join(broadcast_below(offsets, counted), ["length", "task"]).withColumn("rank", (F.col("before") + F.col("place")).cast("long"))
 
-    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # lengths and ranks in one sorted key: a rank is below 2 ** 48
-        keys = (table[:, 0] << 48) + table[:, 1]
-        for batch in batches:
-            row = table[np.searchsorted(keys, (batch["length"].to_numpy() << 48) + batch["rank"].to_numpy(), side="right") - 1]
-            nth = batch["rank"].to_numpy() - row[:, 1]
-            sequence = (a * (row[:, 3] + nth // row[:, 4]) + b) % sequences
-            yield batch.drop(columns="rank").assign(sequence_id=sequence, offset=row[:, 5] + nth % row[:, 4] * row[:, 0])
-
-    columns = ["id", "piece", "start", "length", "ids_crc32", "row_id", *["ids"] * with_ids]
-    kinds = dict(ranked.dtypes)
-    placed = ranked.select(*columns, "rank").mapInPandas(locate, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", sequence_id long, offset long")
-    named = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row_id", *["ids"] * with_ids]
-    return placed.select(F.col("id").alias(id_col), *named)
+    schema = "of_length long, first_rank long, n long, first_sequence long, per long, spot long"
+    runs = docs.sparkSession.createDataFrame(rows, schema)  # as many rows as the plan has, which the capacity bounds
+    nth = F.col("rank") - F.col("first_rank")
+    meets = (F.col("length") == F.col("of_length")) & (nth >= 0) & (nth < F.col("n"))
+    sequence = F.expr(f"({a} * (first_sequence + (rank - first_rank) div per) + {b}) % {sequences}")
+    placed = ranked.join(F.broadcast(runs), meets).select("id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), (F.col("spot") + nth % F.col("per") * F.col("length")).alias("offset"), "row_id", *["ids"] * with_ids)
+    return placed.withColumnRenamed("id", id_col)
