@@ -3,10 +3,13 @@
 The lexicon is learned from labelled documents: words, and stems of words, that toxic documents have and others have
 not. All terms form one trie; a word is run through the automaton whose states are sets of (trie node, edits so far),
 made as they are needed, so a misspelled term is caught in one pass over its letters, whichever of them are wrong. Hits inside quotation marks, or
-near words of reporting, count less. A logistic model on the summed hits gives the score.
+near words of reporting, count less; which words report is learned in any language, from those that stand near hits in
+clean documents, besides the English ones given. A logistic model on the summed hits gives the score.
 
 Defined cases: an empty or null text scores as one without hits; if no label or only one class was seen, every score is
-the prior 0; rows whose label is null teach nothing; an empty table gives an empty result.
+the prior 0; rows whose label is null teach nothing; of hits of equal weight the last term by name is taken, which
+changes no score; repeated rows are scored each for itself; very long texts are read whole; columns of docs other than the
+two named are left alone, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -25,13 +28,14 @@ from .common import checkpoint, slim
 
 #: Most labelled rows of a class that are learned from, chosen by a hash of their ids.
 TRAIN_PER_CLASS = 10_000
-#: Least share of toxic documents that have a term, least share of toxic among the documents that have it, most terms.
-SUPPORT, PRECISION, TERMS = 0.004, 0.97, 2000
+#: Least share of toxic documents that have a term, least share of toxic among the documents that have it. The first bounds
+#: the terms: there are at most 1 / SUPPORT as many as a toxic document has on average.
+SUPPORT, PRECISION = 0.004, 0.97
 #: Most likely that a term which has nothing to do with toxicity is in toxic documents alone.
 CHANCE = 1e-6
 #: Lengths of stems; a term is allowed one edit from MIN_EDIT letters on and a second from MAX_EDIT on.
 STEMS, ONE_EDIT, TWO_EDITS = range(4, 9), 5, 10
-#: Words on either side of a hit that are looked at for words of reporting.
+#: Words on either side of a hit that are looked at for words of reporting, and those given beforehand.
 WINDOW = 6
 REPORTING = frozenset("said says wrote writes quote quoted quotes called word term means definition".split())
 QUOTED, EDITED = 0.3, 0.7
@@ -51,6 +55,7 @@ class Lexicon:
     innocent: frozenset[str] = frozenset()
     #: (term, edits) -> weight of its misspellings, where it is not the term's own times EDITED for each edit.
     near: dict[tuple[str, int], float] = field(default_factory=dict)
+    reporting: frozenset[str] = REPORTING
     _sets: list = field(default_factory=list, repr=False)
     _seen: dict = field(default_factory=dict, repr=False)
 
@@ -156,10 +161,16 @@ class Lexicon:
                 total += weight * self._context(low, words, k, m.start())
         return total, 100 * total / len(words)
 
-    @staticmethod
-    def _context(low: str, words: list[str], k: int, at: int) -> float:
+    def neighbours(self, text: str | None) -> set[str]:
+        """Words within WINDOW words of a hit that counts; none of them is one."""
+        words = TOKEN.findall((text or "").lower())
+        hits = {w for w in set(words) if self.match(w)}
+        near = (words[max(0, k - WINDOW) : k + WINDOW + 1] for k, w in enumerate(words) if w in hits) if hits else ()
+        return set().union(*near) - hits
+
+    def _context(self, low: str, words: list[str], k: int, at: int) -> float:
         line = low[low.rfind("\n", 0, at) + 1 : at]
-        if len(_QUOTE_MARKS.findall(line)) % 2 or REPORTING & set(words[max(0, k - WINDOW) : k + WINDOW + 1]):
+        if len(_QUOTE_MARKS.findall(line)) % 2 or self.reporting & set(words[max(0, k - WINDOW) : k + WINDOW + 1]):
             return QUOTED
         return 1.0
 
@@ -184,8 +195,8 @@ def _terms_of(text: str | None) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
-def learn_lexicon(rows: DataFrame, support: float = SUPPORT, precision: float = PRECISION, terms: int = TERMS) -> Lexicon:
-    """Terms by document counts in the two classes; only terms that pass, at most `terms`, reach the driver."""
+def learn_lexicon(rows: DataFrame, support: float = SUPPORT, precision: float = PRECISION) -> Lexicon:
+    """Terms by document counts in the two classes; only terms that pass reach the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         toxic, other = Counter(), Counter()
@@ -201,11 +212,12 @@ def learn_lexicon(rows: DataFrame, support: float = SUPPORT, precision: float =
     ratio = F.col("toxic") / sizes[1] / (F.col("toxic") / sizes[1] + F.col("other") / sizes[0])
     counted = rows.mapInPandas(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     by_chance = math.log(CHANCE) / math.log(sizes[1] / (sizes[0] + sizes[1]))
-    passed = counted.filter((F.col("toxic") >= max(by_chance, support * sizes[1])) & (ratio >= precision)).select("term", ratio.alias("weight"), "toxic")
-    best = {r.term: r.weight for r in passed.orderBy(F.desc("toxic"), "term").limit(terms).collect()}
+    passed = counted.filter((F.col("toxic") >= max(by_chance, support * sizes[1])) & (ratio >= precision)).select("term", ratio.alias("weight"))
+    best = {r.term: r.weight for r in passed.orderBy("term").collect()}
     # a term is implied by a shorter stem that passed, and a stem by its one whole word
     implied = lambda t: any(t[:n] + "*" in best for n in range(1, len(t.rstrip("*"))))
-    return _weighed(rows, Lexicon({t: w for t, w in best.items() if not implied(t)}), frozenset(best), sizes, precision)
+    weighed = _weighed(rows, Lexicon({t: w for t, w in best.items() if not implied(t)}), frozenset(best), sizes, precision)
+    return replace(weighed, reporting=REPORTING | _learned_reporting(rows, weighed, precision))
 
 
 def _weighed(rows: DataFrame, lexicon: Lexicon, passed: frozenset[str], sizes: dict[int, int], precision: float) -> Lexicon:
@@ -240,6 +252,28 @@ def _weighed(rows: DataFrame, lexicon: Lexicon, passed: frozenset[str], sizes: d
     return Lexicon(lexicon.terms, frozenset(innocent), near)
 
 
+def _learned_reporting(rows: DataFrame, lexicon: Lexicon, precision: float) -> frozenset[str]:
+    """Words that stand near hits in clean documents and hardly ever in toxic ones, more often than by chance."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        toxic, other = Counter(), Counter()
+        for batch in batches:
+            for text, label in zip(batch["text"], batch["label"], strict=True):
+                if near := lexicon.neighbours(text):
+                    (toxic if label else other).update(near | {""})  # "" counts the documents, no word is empty
+        out = [(w, toxic[w], other[w]) for w in toxic | other]
+        yield pd.DataFrame(out, columns=["word", "toxic", "other"])
+
+    counted = checkpoint(rows.mapInPandas(count, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
+    whole = counted.filter("word = ''").first()
+    if whole is None or not whole.toxic or not whole.other:
+        return frozenset()
+    by_chance = math.log(CHANCE) / math.log(whole.other / (whole.toxic + whole.other))
+    clean = F.col("other") / whole.other / (F.col("other") / whole.other + F.col("toxic") / whole.toxic)
+    passed = counted.filter((F.col("word") != "") & (F.col("other") >= by_chance) & (clean >= precision))
+    return frozenset(r.word for r in passed.select("word").collect())
+
+
 @dataclass
 class Model:
     lexicon: Lexicon

@@ -147,3 +147,27 @@ def test_automaton_is_edit_distance_from_the_first_letter_on():
 
 def test_misspellings_weigh_as_their_rate():
     assert X.Lexicon({"stupid": 1.0}, near={("stupid", 1): 0.25}).match("xstupid") == 0.25
+
+
+def test_reporting_words_are_learned_in_any_language(spark):
+    toxic = [(f"you are stupid w{i}" if i < 30 else f"nothing w{i}", 1) for i in range(40)]
+    clean = [(f"er zitiert stupid x{i}" if i < 12 else f"alles gut x{i}", 0) for i in range(800)]
+    lexicon = X.learn_lexicon(spark.createDataFrame(toxic + clean, "text string, label int"))
+    assert {"er", "zitiert"} <= lexicon.reporting - X.REPORTING and not {"you", "are", "stupid", "alles"} & lexicon.reporting
+    plain, reported = lexicon.features("das ist stupid")[0], lexicon.features("er zitiert das stupid")[0]
+    assert plain > 0 and reported == X.QUOTED * plain
+    assert lexicon.neighbours(None) == lexicon.neighbours("alles gut") == set()
+    assert lexicon.neighbours("a b c d e f g stupid h") == set("bcdefgh")
+
+
+def test_toxicity_of_odd_tables(spark):
+    """Repeated rows, ties, very long texts and columns with the names of the result's."""
+    model = X.Model(X.Lexicon({"stupid": 1.0, "stup*": 1.0}), (-3.0, 4.0, 1.0))
+    long = "fine words " * 200_000 + "stupid"
+    rows = [(1, "you stupid", 9.0, "x"), (1, "you stupid", 9.0, "x"), (2, long, 9.0, "x"), (None, "", 9.0, "x"), (3, None, None, None)]
+    got = X.score(spark.createDataFrame(rows, "doc_id long, text string, score double, id string"), model)
+    assert got.columns == ["doc_id", "score", "predicted"]
+    found = sorted((r.doc_id or 0, r.score) for r in got.collect())
+    assert [d for d, _ in found] == [0, 1, 1, 2, 3] and found[1] == found[2]
+    assert found == sorted((d or 0, model.score(t)) for d, t, *_ in rows)
+    assert found[3][1] > found[0][1] == found[4][1]  # the hit at the end of the long text counts
