@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, toxicity
+from . import bpe, hard_negatives, language_id, toxicity
 from .common import read
 from .exact_dedup import exact_dedup
 from .mixing import mix_plan
@@ -65,7 +65,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_toxicity, op4_url_filter, op5_quality_rules, op6_exact_dedup, op7_best_fit_packing, op8_minhash_near_dedup, op9_source_mixing, op10_sharding)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
+    digits = F.array_join(F.transform("ids", lambda k: k.cast("string")), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = hard_negatives.relabelled(hard_negatives.points(read(spark, sf_dir, "embeddings")))
+    return hard_negatives.mine(points, F.col("id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_toxicity, op4_url_filter, op5_quality_rules, op6_exact_dedup, op7_best_fit_packing, op8_minhash_near_dedup, op9_source_mixing, op10_sharding, op11_bpe, op13_hard_negatives)}
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -77,3 +77,21 @@ def brute_mix(rows, block_words=8192, seed=0):
                     taken[k] += n
                     left -= n
     return taken
+
+
+def brute_negatives(rows, positives=5, negatives=10):
+    """Sorted rows (anchor, positive, rank, negative, scores) out of rows (vec_id, embedding, label), all pairs compared."""
+    kept = []
+    for i, v, label in rows:
+        if i is None or v is None or label is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        kept.append((i, (label + 1) % 10 if i % 7 == 0 else label, [math.floor(256 * float(x)) for x in v]))
+    out = []
+    for at, (i, label, v) in enumerate(kept):
+        if i % 100:
+            continue
+        scored = [(-sum(a * b for a, b in zip(v, w, strict=False)), j, other) for k, (j, other, w) in enumerate(kept) if k != at]
+        for minus, p, _ in sorted(x for x in scored if x[2] == label)[:positives]:
+            fits = sorted(x for x in scored if x[2] != label and 30 * -minus <= 100 * -x[0] <= 90 * -minus)[:negatives]
+            out += [(i, p, r, j, -minus, -s) for r, (s, j, _) in enumerate(fits, 1)]
+    return sorted(out)
