@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, hard_negatives, language_id, toxicity
+from . import bpe, conversations, hard_negatives, language_id, toxicity
 from .common import read
 from .exact_dedup import exact_dedup
 from .mixing import mix_plan
@@ -71,12 +71,18 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report, _, digests = conversations.repair(conversations.damaged(read(spark, sf_dir, "conversations")))
+    digests = digests.withColumnRenamed("conv_id", "_id")
+    return report.join(digests, F.col("conv_id").eqNullSafe(F.col("_id"))).drop("_id")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = hard_negatives.relabelled(hard_negatives.points(read(spark, sf_dir, "embeddings")))
     return hard_negatives.mine(points, F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_toxicity, op4_url_filter, op5_quality_rules, op6_exact_dedup, op7_best_fit_packing, op8_minhash_near_dedup, op9_source_mixing, op10_sharding, op11_bpe, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_toxicity, op4_url_filter, op5_quality_rules, op6_exact_dedup, op7_best_fit_packing, op8_minhash_near_dedup, op9_source_mixing, op10_sharding, op11_bpe, op12_conversation_repair, op13_hard_negatives)}
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
