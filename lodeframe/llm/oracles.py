@@ -161,3 +161,83 @@ ORACLE_SQL = {
     "op8_minhash_near_dedup": OP8,
     "op9_source_mixing": OP9,
 }
+
+
+_WS = r"\x20\x09-\x0D"
+
+
+def _plus(cell: str, cost: str, letters: str) -> str:
+    """A cell of op12, eight digits of cost and an audit, with more of both; null stays null."""
+    return f"lpad(CAST(CAST(substr({cell}, 1, 8) AS INTEGER) + {cost} AS VARCHAR), 8, '0') || substr({cell}, 9) || '{letters}'"
+
+
+def _kept(state: str, initial: str) -> str:
+    """What a row does to a cell that leads on by this initial: it stays if it has it, else its role is changed."""
+    kept, changed = _plus(state, "late", "K"), _plus(state, "late + 2", "R")
+    return f"CASE WHEN gone THEN NULL WHEN initial = '{initial}' THEN {kept} ELSE {changed} END"
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(k) + 1), lambda i: [ascii(substr(k, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 20"""
+_INSERTED = f"""least(f2, {_plus("f0", "2", "I")}, {_plus("f1", "2", "I")}, {_plus("f3", "2", "I")}) AS g2,
+  least(f3, {_plus("f2", "2", "I")}, {_plus("f0", "4", "II")}, {_plus("f1", "4", "II")}) AS g3"""
+_FAULTS = "count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate, count_if(cut AND NOT again AND NOT blank) AS truncated"
+
+ORACLE_SQL["op12_conversation_repair"] = f"""
+WITH RECURSIVE keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} AS kind FROM keyed),
+hit AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, regexp_extract(text, '([^{_WS}])[{_WS}]*$', 1) AS ending FROM hit),
+seen AS (
+  SELECT *, left(role, 1) AS initial, ending = '' AS blank, ending NOT IN ('.', '!', '?') AS cut, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) NOT IN ('su', 'ua', 'au') AS broken
+  FROM placed),
+row_faults AS (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 1 ELSE 0 END AS late FROM seen),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, {_FAULTS}, count_if(broken) AS illegal
+  FROM row_faults GROUP BY conv_id),
+ways(conv_id, pos, f0, f1, f2, f3) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '00000000', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM conversations
+  UNION ALL
+  SELECT conv_id, pos, {_plus("g0", "3", "D")},
+    least({_plus("g1", "3", "D")}, CASE WHEN NOT gone AND initial = 's' THEN {_plus("g0", "late", "K")} END),
+    least({_plus("g2", "3", "D")}, {_kept("g0", "u")}, {_kept("g1", "u")}, {_kept("g3", "u")}),
+    least({_plus("g3", "3", "D")}, {_kept("g2", "a")})
+  FROM (SELECT r.conv_id, r.pos, r.initial, r.gone, r.late, w.f0 AS g0, w.f1 AS g1, {_INSERTED}
+        FROM ways w JOIN row_faults r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.pos = w.pos + 1)),
+ends AS (
+  SELECT w.conv_id, least(f0, f3, {_plus("f2", "2", "I")}, {_plus("f0", "4", "II")}, {_plus("f1", "4", "II")}) AS best
+  FROM ways w LEFT JOIN counted c ON w.conv_id IS NOT DISTINCT FROM c.conv_id WHERE w.pos = coalesce(c.n, 0)),
+audits AS (SELECT conv_id, CAST(substr(best, 1, 8) AS BIGINT) AS cost, substr(best, 9) AS audit FROM ends),
+letters AS (
+  SELECT conv_id, i, substr(audit, i, 1) AS letter, length(replace(substr(audit, 1, i), 'I', '')) AS pos, length(replace(substr(audit, 1, i), 'D', '')) AS place
+  FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS i FROM audits)),
+met AS (SELECT l.*, r.role, r.text FROM letters l LEFT JOIN row_faults r ON l.conv_id IS NOT DISTINCT FROM r.conv_id AND l.pos = r.pos WHERE l.letter <> 'D'),
+turned AS (SELECT *, place - max(CASE WHEN place = 1 AND letter = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS nth FROM met),
+said AS (
+  SELECT conv_id, i, CASE WHEN letter = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END AS line FROM turned),
+whole AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY i) AS body FROM said GROUP BY conv_id)
+SELECT a.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+  coalesce(c.illegal, 0) AS illegal, a.cost, a.audit, sha256(coalesce(w.body, '')) AS repaired_sha256
+FROM audits a LEFT JOIN counted c ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN whole w ON a.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+ORACLE_SQL["op13_hard_negatives"] = """
+WITH fine AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+each AS (SELECT *, row_number() OVER () AS row_no FROM fine),
+scored AS (
+  SELECT a.row_no, a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(coalesce(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT) AS score
+  FROM each a JOIN each b ON a.vec_id % 100 = 0 AND a.row_no <> b.row_no),
+positives AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, other) AS nth FROM scored WHERE same QUALIFY nth <= 5)
+SELECT p.anchor_id, p.other AS positive_id, CAST(row_number() OVER (PARTITION BY p.row_no, p.nth ORDER BY s.score DESC, s.other) AS INTEGER) AS rank,
+  s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON p.row_no = s.row_no AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
