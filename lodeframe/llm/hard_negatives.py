@@ -35,8 +35,10 @@ BLOCK_NUMBERS, LEAST_ROWS = 1 << 19, 256
 LEAF, CHILDREN = 32, 48
 #: The radius of children is that of their parent by this, if so few children suffice.
 BASE = 2.0
-#: Anchors that meet a block at a time.
-TOGETHER = 8192
+#: Anchors that meet a block in one task, and those that descend a tree together.
+TOGETHER, GROUP = 8192, 256
+#: No id: the greatest number, so that real ids come first.
+MISSING = np.iinfo(np.int64).max
 
 
 def points(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", scale: int = 256) -> DataFrame:
@@ -49,11 +51,13 @@ def points(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
 
 
 class CoverTree:
-    """A block of candidates: their ids, tags, copies and vectors in the order of leaves, and the nodes above them."""
+    """A block of candidates: their ids, tags and vectors in the order of leaves, and the nodes above them."""
 
-    def __init__(self, ids: np.ndarray, tags: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.tags, self.copies, vectors = ids[order], tags[order], copies[order], vectors[order]
+    def __init__(self, ids: np.ndarray, tags: np.ndarray, copies: np.ndarray, vectors: np.ndarray, most: int) -> None:
+        """A row that is there more than `most` times counts as so many."""
+        order = np.repeat(np.argsort(ids, kind="stable"), np.minimum(copies, most)[np.argsort(ids, kind="stable")])
+        self.ids, self.tags, vectors = ids[order], tags[order], vectors[order]
+        self.first = np.concatenate(([True], order[1:] != order[:-1]))[: len(order)]
         self.exact = bool(len(vectors) == 0 or float(np.abs(vectors).max(initial=0)) ** 2 * vectors.shape[1] < 2**52)
         self.vectors = vectors.astype(np.float64) if self.exact else vectors
         plain = vectors.astype(np.float64)
@@ -67,7 +71,7 @@ class CoverTree:
         self.centres = self.vectors[self.centre]
         self.radii = np.array(self.radius) * (1 + 1e-9) + 1e-6
         final = np.array(self._leaves, dtype=np.int64)
-        self.ids, self.tags, self.copies, self.vectors = self.ids[final], self.tags[final], self.copies[final], self.vectors[final]
+        self.ids, self.tags, self.first, self.vectors = self.ids[final], self.tags[final], self.first[final], self.vectors[final]
         del self._augmented, self._leaves
 
     def _node(self, centre: int, radius: float) -> int:
@@ -107,54 +111,63 @@ class CoverTree:
                 waiting.append((child, own[m], to[m]))
             self.children[node] = (start, len(self.centre))
 
-    def products(self, anchors: np.ndarray) -> np.ndarray:
-        """Exact products of anchors with the centres of all nodes, a row an anchor."""
-        return anchors @ self.centres.T if self.exact else anchors.astype(np.int64) @ self.centres.T
+    def search(self, anchors: np.ndarray, who: tuple[np.ndarray, np.ndarray], low: np.ndarray, high: np.ndarray, k: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the first k candidates, by score and then id, in each window of each anchor; ids are MISSING where
+        there are fewer.
 
-    def search(self, anchor: np.ndarray, near: np.ndarray, low: float, high: float, k: int, skip: tuple[int, int] | None, met: dict[int, np.ndarray]) -> list[tuple[int, int]]:
-        """(score, id) of the first k candidates with low <= score <= high, greatest first, then by id.
-
-        near: products with the centres; skip: the id and tag of a row that counts once less; met: products of leaves
-        that the anchor has come to in other windows.
+        low, high: by anchor and window. The nodes that any window still needs are visited, the greatest bound first; a leaf's
+        products are taken for the anchors with such a window, all at once. who: ids and tags of the anchors, which with
+        leave_out are no candidates themselves.
         """
-        if not len(self.centre) or low > high:
-            return []
-        length = math.sqrt(float((anchor.astype(np.float64) ** 2).sum()))
-        reach = length * self.radii + np.abs(near) * 1e-12
+        n, windows = low.shape
+        none = -np.inf if self.exact else np.iinfo(np.int64).min
+        best = np.full((n, windows, k), none, dtype=self.vectors.dtype)
+        best_ids = np.full((n, windows, k), MISSING, dtype=np.int64)
+        self.visited = 0
+        if not len(self.centre) or not n:
+            return best, best_ids
+        near = (anchors @ self.centres.T).astype(np.float64)
+        reach = np.sqrt((anchors.astype(np.float64) ** 2).sum(axis=1))[:, None] * self.radii + np.abs(near) * 1e-12
         upper, lower = near + reach, near - reach
-        best: list[tuple[int, int]] = []  # smallest first: (score, -id)
-        heap = [(-min(upper[0], high), 0)] if upper[0] >= low and lower[0] <= high else []
+
+        def needed(node: int) -> np.ndarray:
+            floor = np.maximum(low, best[:, :, -1])
+            return (upper[:, node, None] >= floor) & (lower[:, node, None] <= high) & (low <= high)
+
+        def entry(node: int, need: np.ndarray) -> tuple[float, int]:
+            return -float(np.where(need, np.minimum(upper[:, node, None], high), -np.inf).max()), node
+
+        heap = [entry(0, needed(0))]
         while heap:
-            bound, node = heapq.heappop(heap)
-            if len(best) == k and -bound < best[0][0]:
-                break
+            node = heapq.heappop(heap)[1]
+            need = needed(node)  # what has been found meanwhile counts
+            if not need.any():
+                continue
             a, b = self.children[node]
+            for child in range(a, b):
+                if (more := need & needed(child)).any():
+                    heapq.heappush(heap, entry(child, more))
             if b > a:
-                floor = max(low, best[0][0]) if len(best) == k else low
-                for child in (np.flatnonzero((upper[a:b] >= floor) & (lower[a:b] <= high)) + a).tolist():
-                    heapq.heappush(heap, (-min(upper[child], high), child))
                 continue
             a, b = self.span[node]
-            if node not in met:
-                met[node] = (self.vectors[a:b] @ anchor).astype(np.int64)
-            scores = met[node]
-            floor = max(low, best[0][0]) if len(best) == k else low
-            fit = np.flatnonzero((scores >= floor) & (scores <= high))
-            if len(fit) > k:
-                fit = fit[np.lexsort((self.ids[a + fit], -scores[fit]))]
-            taken = 0
-            for at in fit.tolist():
-                copies = int(self.copies[a + at]) - (skip is not None and (int(self.ids[a + at]), int(self.tags[a + at])) == skip)
-                row = (int(scores[at]), -int(self.ids[a + at]))
-                for _ in range(min(copies, k)):
-                    if len(best) < k:
-                        heapq.heappush(best, row)
-                    elif row > best[0]:
-                        heapq.heapreplace(best, row)
-                taken += copies > 0
-                if taken >= k and len(fit) > k:
-                    break  # sorted, so k rows of this leaf are enough
-        return [(s, -i) for s, i in sorted(best, key=lambda r: (-r[0], -r[1]))]
+            self.visited += 1
+            asked = np.flatnonzero(need.any(axis=1))
+            scores = anchors[asked] @ self.vectors[a:b].T
+            here = np.ones(scores.shape, dtype=bool)
+            if leave_out:
+                here = ~((self.ids[a:b] == who[0][asked][:, None]) & (self.tags[a:b] == who[1][asked][:, None]) & self.first[a:b])
+            for w in range(windows):
+                floor = np.maximum(low[asked, w], best[asked, w, -1])
+                fit = here & (scores >= floor[:, None]) & (scores <= high[asked, w][:, None]) & need[asked, w][:, None]
+                rows = np.flatnonzero(fit.any(axis=1))
+                if not len(rows):
+                    continue
+                at = asked[rows]
+                both = np.concatenate([best[at, w], np.where(fit[rows], scores[rows], none)], axis=1)
+                ids = np.concatenate([best_ids[at, w], np.where(fit[rows], self.ids[a:b], MISSING)], axis=1)
+                order = np.lexsort((ids, -both if self.exact else np.invert(both)), axis=-1)[:, :k]
+                best[at, w], best_ids[at, w] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+        return best, best_ids
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -166,11 +179,11 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return out
 
 
-def _trees(rows: DataFrame) -> DataFrame:
+def _trees(rows: DataFrame, most: int) -> DataFrame:
     """(label, chunk, tree): a tree for each label and chunk of rows (id, tag, label, copies, vector, chunk)."""
 
     def build(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        tree = CoverTree(block["id"].to_numpy(), block["tag"].to_numpy(), block["copies"].to_numpy(), _matrix(block["vector"]))
+        tree = CoverTree(block["id"].to_numpy(), block["tag"].to_numpy(), block["copies"].to_numpy(), _matrix(block["vector"]), most)
         return pd.DataFrame({"label": [key[0]], "chunk": [key[1]], "tree": [pickle.dumps(tree, protocol=5)]})
 
     kind = rows.schema["label"].dataType.simpleString()
@@ -183,29 +196,36 @@ def _descend(trees: DataFrame, anchors: DataFrame, own: bool, k: int, percent: t
     or of other labels. The nth window is percent of its top, or has no ends. A band and shard is one task's work, of bounded size."""
 
     def search(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
+        out: list[pd.DataFrame] = []
         if len(held) and len(asked):
-            vectors, labels = _matrix(asked["vector"]), asked["label"].to_numpy()
+            vectors, labels, ids, tags = _matrix(asked["vector"]), asked["label"].to_numpy(), asked["id"].to_numpy(), asked["tag"].to_numpy()
+            sizes = [len(n) for n in asked["nths"]]
+            nths, tops = (np.zeros((len(asked), max(sizes)), dtype=np.int64) for _ in range(2))
+            real = np.arange(max(sizes)) < np.array(sizes)[:, None]
+            for name, to in (("nths", nths), ("tops", tops)):
+                to[real] = np.concatenate(asked[name].to_list())
+            if percent:
+                bounds = [[(-(-t * percent[0] // 100), t * percent[1] // 100) for t in own] for own in tops.tolist()]
+                low, high = (np.array([[x[k] for x in own] for own in bounds], dtype=np.int64) for k in range(2))
+            else:
+                low, high = np.full(tops.shape, np.iinfo(np.int64).min), np.full(tops.shape, np.iinfo(np.int64).max)
+            low, high = np.where(real, low, 1), np.where(real, high, 0)
             small = float(np.abs(vectors).max(initial=0))
             for label, body in zip(held["label"], held["tree"], strict=True):
                 tree: CoverTree = pickle.loads(body)
                 width = tree.vectors.shape[1]
-                exact = tree.exact and small * float(np.abs(tree.vectors).max(initial=0)) * width < 2**52
-                if tree.exact and not exact:
+                if tree.exact and small * float(np.abs(tree.vectors).max(initial=0)) * width >= 2**52:
                     tree.vectors, tree.centres, tree.exact = tree.vectors.astype(np.int64), tree.centres.astype(np.int64), False
                 mine = np.flatnonzero((labels == label) == own)
-                fitted = np.zeros((len(mine), width), dtype=np.float64 if exact else np.int64)
+                fitted = np.zeros((len(mine), width), dtype=tree.vectors.dtype)
                 fitted[:, : vectors.shape[1]] = vectors[mine][:, :width]
-                for start in range(0, len(mine), 256):
-                    part = fitted[start : start + 256]
-                    near = tree.products(part)
-                    for row, at in enumerate(mine[start : start + 256].tolist()):
-                        who, tag, met = int(asked["id"].iat[at]), int(asked["tag"].iat[at]), {}
-                        for nth, top in zip(asked["nths"].iat[at].tolist(), asked["tops"].iat[at].tolist(), strict=True):
-                            low, high = (-(-top * percent[0] // 100), top * percent[1] // 100) if percent else (-math.inf, math.inf)
-                            found = tree.search(part[row], near[row], low, high, k, (who, tag) if own else None, met)
-                            out += [(who, tag, nth, score, other) for score, other in found]
-        return pd.DataFrame(out, columns=["id", "tag", "nth", "score", "other"]).astype("int64")
+                for start in range(0, len(mine), GROUP):
+                    at = mine[start : start + GROUP]
+                    kind = np.float64 if tree.exact else np.int64
+                    scores, others = tree.search(fitted[start : start + GROUP], (ids[at], tags[at]), low[at].astype(kind), high[at].astype(kind), k, own)
+                    row, window, _ = found = np.nonzero(others != MISSING)
+                    out.append(pd.DataFrame({"id": ids[at][row], "tag": tags[at][row], "nth": nths[at][row, window], "score": scores[found].astype(np.int64), "other": others[found]}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("id", "tag", "nth", "score", "other")})
 
     return trees.groupBy("shard", "band").cogroup(anchors.groupBy("shard", "band")).applyInPandas(search, "id long, tag long, nth long, score long, other long")
 
@@ -224,7 +244,7 @@ def mine(points: DataFrame, is_anchor: Column, positives: int = 5, negatives: in
     per_block = F.greatest(F.lit(LEAST_ROWS), F.lit(BLOCK_NUMBERS) / F.greatest("width", F.lit(1)))
     chunks = counts.select("label", F.ceil(F.col("n") / per_block).alias("chunks"))
     rows = stored(tagged.join(broadcast_below(chunks), "label").withColumn("chunk", F.pmod(F.xxhash64("id", "tag"), F.col("chunks"))))
-    trees = stored(_trees(rows))
+    trees = stored(_trees(rows, max(positives, negatives) + 1))
     shards = max(1, trees.count())
     shard = F.pmod(F.xxhash64("label", "chunk"), F.lit(shards))
     anchors = rows.filter(is_anchor)

@@ -44,7 +44,7 @@ def test_ties_copies_nulls_and_odd_lengths(spark, monkeypatch):
 def test_trees_bound_what_they_hold():
     rng = np.random.default_rng(1)
     vectors = np.rint(rng.normal(size=(900, 8)) * 60 + rng.integers(0, 5, size=(900, 1)) * 100).astype(np.int64)
-    tree = H.CoverTree(np.arange(900), np.arange(900), np.ones(900, dtype=np.int64), vectors)
+    tree = H.CoverTree(np.arange(900), np.arange(900), np.ones(900, dtype=np.int64), vectors, 11)
     assert sorted(tree.ids.tolist()) == list(range(900))
 
     def below(node):
@@ -56,18 +56,18 @@ def test_trees_bound_what_they_hold():
     for node in range(len(tree.radii)):
         centre = np.append(tree.centres[node], np.sqrt(longest - (tree.centres[node] ** 2).sum()))
         assert np.sqrt(((lift[below(node)] - centre) ** 2).sum(axis=1)).max() <= tree.radii[node]
-    visited = []
+    leaves, visited = sum(b == a for a, b in tree.children), []
     for q in vectors[:40]:
-        met = {}
-        near = tree.products(q[None].astype(float))[0]
         scores = vectors @ q
         high = int(np.sort(scores)[600])
-        got = tree.search(q, near, high - 5000, high, 5, None, met)
-        want = sorted((-int(s), k) for k, s in enumerate(scores) if high - 5000 <= s <= high)[:5]
-        assert got == [(-s, k) for s, k in want]
-        visited.append(len(met))
-    leaves = sum(b == a for a, b in tree.children)
-    assert np.mean(visited) < leaves  # some are left out
+        low, top = np.array([[high - 5000.0, -np.inf, 1.0]]), np.array([[float(high), np.inf, 0.0]])
+        best, ids = tree.search(q[None].astype(float), (np.array([0]), np.array([0])), low, top, 5, False)
+        for w in range(3):
+            want = sorted((-int(s), k) for k, s in enumerate(scores) if low[0, w] <= s <= top[0, w])[:5]
+            assert [(-int(s), k) for s, k in zip(best[0, w], ids[0, w], strict=True) if k != H.MISSING] == want
+        tree.search(q[None].astype(float), (np.array([0]), np.array([0])), low[:, 1:2], top[:, 1:2], 5, False)
+        visited.append(tree.visited)
+    assert np.mean(visited) < leaves / 2  # most are left out
 
 
 def test_large_components_are_exact(spark):
