@@ -1,8 +1,12 @@
-"""Declarations of source files as rows, by windows over their lines.
+"""Declarations of source files as rows, out of their statements.
 
-Each line is a row. Comments and the insides of strings are blanked, a running sum of braces gives every line its depth,
-and a declaration is a line of the right shape at the depth of its class's members. It is a scan of one line at a time:
-declarations that a formatter would print on one line, which is what the searches need, not a grammar.
+A statement at the depth of a class's members is a type, a member, or both (a Kotlin class with properties in its header);
+what it declares is read off its header by regular expressions, after folds have parted parameters and declarators outside
+of brackets. Which block a statement stands in, and where the block it opens is closed, is the last and the next row of
+that depth in its file; classes get their full names by one fold over a file's classes.
+
+Not found: what stands inside blocks that are no types (local classes, bodies of enum constants), and members of a file
+after a bracket that is never closed.
 """
 
 from __future__ import annotations
@@ -10,103 +14,334 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodeframe.functions import text as T
-from lodeframe.functions.names import dotted
+from lodeframe.functions.brackets import in_parentheses, split_top_level
+
+from .statements import DEPRECATED, DOC, newlines, statements
+
+#: Words that may stand before a declaration, and words that begin a statement which is none.
+_JAVA_WORDS = "public|protected|private|static|abstract|final|native|synchronized|transient|volatile|strictfp|default|sealed|non-sealed"
+_KOTLIN_WORDS = "public|protected|private|internal|open|abstract|final|sealed|data|inner|companion|inline|value|annotation|enum|override|lateinit|const|suspend|operator|infix|tailrec|external|expect|actual|vararg|noinline|crossinline"
+_OTHERS = "return|throw|new|else|if|for|while|do|switch|case|try|catch|finally|break|continue|assert|yield|package|import|super|this"
+_MARKS = f"{DOC}{DEPRECATED}"
+_ANGLES = r"<(?:[^<>]|<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>)*>"
+_KOTLIN_NAME = r"(`[^`]+`|[A-Za-z_]\w*)"
+#: What a Kotlin function or property belongs to, with its dot.
+_OWNER = rf"(?:((?:\([^()]*\)|[\w.]+(?:{_ANGLES})?)\??)\s*\.\s*)?"
+
+MEMBERS = (
+    "array<struct<selector: string, kind: string, words: array<string>, visibility: string, signature: string, params: array<string>, receiver: string,"
+    " line: int, last: int, marks: int, deprecated: boolean, of_own: boolean>>"
+)
+
+
+def tight(text: Column) -> Column:
+    """text with blanks only between words, and after ? before a word."""
+    bare = F.regexp_replace(F.trim(F.regexp_replace(text, rf"[\s{_MARKS}]+", " ")), r"\s*([^\w\s$?`])\s*", "$1")
+    return F.regexp_replace(F.regexp_replace(bare, r"\s*\?\s*", "?"), r"\?(?=[\w$])", "? ")
+
+
+def kotlin_tight(text: Column) -> Column:
+    """text with blanks between words, after commas and colons and around arrows."""
+    bare = F.regexp_replace(F.trim(F.regexp_replace(text, rf"[\s{_MARKS}]+", " ")), r"\s*([^\w\s`])\s*", "$1")
+    spaced = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r",(?![),])", ", "), r"(?<=\w):", " :"), r":(?![),])", ": ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(spaced, "->", " -> "), r"\( -> ", "(-> "), r"\bsuspend\(", "suspend (")
+
+
+def _spaced(*parts: Column) -> Column:
+    """Parts that are neither null nor empty, with blanks between them."""
+    return F.array_join(F.array_remove(F.array_compact(F.array(*parts)), ""), " ")
+
+
+def _without_name(param: Column) -> Column:
+    """The type of a parameter as Java writes it: modifiers and the name go, brackets after the name stay."""
+    bare = tight(F.regexp_replace(param, rf"\b(?:{_JAVA_WORDS})\b\s", " "))
+    named = F.regexp_extract(bare, r"^(.*[\w$].*?)(?<=[\s>\]?.])[A-Za-z_$][\w$]*((?:\[\])*)$", 1)
+    return F.when(named != "", F.concat(F.trim(named), F.regexp_extract(bare, r"((?:\[\])*)$", 1))).otherwise(bare)
+
+
+def java_params(body: Column) -> Column:
+    """Types of a parameter list as it is written."""
+    return F.array_remove(F.transform(split_top_level(body), _without_name), "")
+
+
+def kotlin_params(body: Column) -> Column:
+    """Types of a Kotlin parameter list; vararg and its like stay with them."""
+    bare = F.transform(split_top_level(body), lambda p: F.regexp_replace(p, rf"[\s{_MARKS}]+", " "))
+    words = F.transform(bare, lambda p: F.struct(p.alias("p"), F.array_join(F.regexp_extract_all(F.regexp_extract(p, r"^([^:]*):", 1), F.lit(r"\b(vararg|noinline|crossinline)\b"), F.lit(1)), " ").alias("w")))
+    typed = F.transform(words, lambda x: _spaced(x["w"], kotlin_tight(F.regexp_replace(F.regexp_extract(x["p"], r"(?s)^[^:]*:(.*)$", 1), r"(?s)(?<![=!<>])=(?!=).*$", ""))))
+    return F.array_remove(typed, "")
+
+
+def _located(parts: Column, line: Column) -> Column:
+    """Of each part of a statement that begins on line: part, the line of its first word, marks up to it, the line of its end."""
+    def place(p: Column, k: Column) -> Column:
+        earlier = F.array_join(F.slice(parts, F.lit(1), k), ",")
+        lead = F.regexp_extract(p, rf"^([\s{_MARKS}]*)", 1)
+        first = line + newlines(earlier) + F.when(k > 0, newlines(lead)).otherwise(0)
+        return F.struct(p.alias("part"), first.cast("int").alias("line"), (_docs_in(earlier) + _docs_in(lead)).cast("int").alias("marks"), F.contains(lead, F.lit(DOC)).alias("told"),
+                        F.contains(lead, F.lit(DEPRECATED)).alias("deprecated"), (line + newlines(F.concat(earlier, p))).cast("int").alias("last"))
+
+    return F.transform(parts, place)
+
+
+
+def _docs_in(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(DOC), F.lit("")))
+
+
+def _member(selector: Column, kind: Column | str, words: Column, visibility: Column, signature: Column, params: Column | None = None, receiver: Column | None = None, line: Column | None = None, last: Column | None = None, marks: Column | None = None, deprecated: Column | None = None, of_own: bool = False) -> Column:
+    none = lambda kind: F.lit(None).cast(kind)
+    fields = {
+        "selector": selector, "kind": F.lit(kind) if isinstance(kind, str) else kind, "words": words, "visibility": visibility, "signature": signature, "params": none("array<string>") if params is None else params,
+        "receiver": none("string") if receiver is None else receiver, "line": F.col("line_start") if line is None else line, "last": none("int") if last is None else last,
+        "marks": F.col("marks") if marks is None else marks, "deprecated": F.col("deprecated") if deprecated is None else deprecated, "of_own": F.lit(of_own),
+    }
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
 
-_CLASS = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*((?:(?:public|protected|private|internal|static|abstract|final|sealed|non-sealed|open|data|inner|companion|strictfp)\s+)*)(class|interface|enum class|enum|record|@interface|object)\s+([A-Za-z_]\w*)(.*)$"
-_METHOD = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*((?:(?:public|protected|private|internal|static|abstract|final|default|synchronized|native|override|open|suspend|inline|operator|infix)\s+)*)(?:<[^(]*>\s+)?((?:fun|[\w.<>\[\],? ]+?))??\s*\b([A-Za-z_]\w*)\s*\(([^)]*)\)"
-_FIELD = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*((?:(?:public|protected|private|internal|static|final|volatile|transient|const|lateinit|override|open)\s+)*)(val|var|[\w.<>\[\],?]+(?: [\w.<>\[\],?]+)*)\s+([A-Za-z_]\w*)\s*(?::\s*[\w.<>?, ]+)?\s*(?:=.*|;.*)?$"
-_CONTROL = ("if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "when", "try", "do", "super", "this", "assert", "synchronized")
 
+def _headers(rows: DataFrame) -> DataFrame:
+    """rows of statements() with words (modifiers), rest (their code without them), and what a type declaration names."""
+    k = F.col("kotlin")
+    lead = lambda words: rf"(?s)^([\s{_MARKS}]*(?:(?:{words})\b(?!\s*[(=.:])[\s{_MARKS}]*)*)(.*)$"
+    head = lambda n: F.when(k, F.regexp_extract("code", lead(_KOTLIN_WORDS + "|fun(?=[\\s]+interface\\b)"), n)).otherwise(F.regexp_extract("code", lead(_JAVA_WORDS), n))
+    words = F.when(k, F.regexp_extract_all("header", F.lit(rf"\b({_KOTLIN_WORDS}|fun)\b"), F.lit(1))).otherwise(F.regexp_extract_all("header", F.lit(rf"(non-sealed|\b(?:{_JAVA_WORDS})\b)"), F.lit(1)))
+    split = rows.withColumns({"header": head(1), "rest": F.trim(head(2))}).withColumns({"words": words, "marks": _docs_in(F.regexp_extract("code", rf"^([\s{_MARKS}]*)", 1))})
+    java = r"^(class|interface|enum|record|@\s*interface)\s+([A-Za-z_$][\w$]*)"
+    kotlin = rf"^(class|interface|object)\b(?:\s*{_KOTLIN_NAME})?"
+    kind, name = F.when(k, F.regexp_extract("rest", kotlin, 1)).otherwise(F.regexp_extract("rest", java, 1)), F.when(k, F.regexp_extract("rest", kotlin, 2)).otherwise(F.regexp_extract("rest", java, 2))
+    known = split.withColumns({"word": F.nullif(F.regexp_replace(kind, r"\s", ""), F.lit("")), "name": name})
+    named = known.withColumn("name", F.when((F.col("word") == "object") & F.col("name").isin("", "companion") & F.array_contains("words", "companion"), "Companion").otherwise(F.replace("name", F.lit("`"), F.lit(""))))
+    record = (F.col("word") != "record") | F.rlike("rest", F.lit(r"^record\s+[\w$]+\s*[(<]"))
+    is_type = F.col("word").isNotNull() & (F.col("name") != "") & record & F.when(k, F.lit(True)).otherwise(F.coalesce(F.col("ends") == "{", F.lit(False)))
+    shown = F.when(F.col("word") == "@interface", "annotation").when(F.col("word") == "object", "object").when(k & F.array_contains("words", "annotation"), "annotation").when(k & F.array_contains("words", "enum"), "enum").otherwise(F.col("word"))
+    before_call = F.regexp_extract("code", r"(?s)^([^(=]*)", 1)
+    return named.withColumns({"type_kind": F.when(is_type, shown), "deprecated": F.contains(before_call, F.lit(DEPRECATED))})
 
-def _braces(code: Column, mark: str) -> Column:
-    return F.length(code) - F.length(F.replace(code, F.lit(mark), F.lit("")))
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows of _headers() with the statement that opens the block around each (around), the line on which the block is
+    closed that it opens itself (closed), the two statements after it in the same block (following), and the last before it
+    that does not begin with a comma (led)."""
+    at = lambda level, role: F.struct(F.lit(role).alias("role"), (F.col("depth") + level).alias("level"))
+    events = rows.withColumn("event", F.explode(F.array_compact(F.array(at(0, "own"), F.when(F.col("ends") == "{", at(1, "open")), F.when(F.col("ends") == "}", at(-1, "close")))))).select("*", "event.*").drop("event")
+    order = Window.partitionBy("path", "level").orderBy("id")
+    upto, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    is_own = F.col("role") == "own"
+    met = events.withColumns({
+        "around": F.last(F.when(F.col("role") == "open", F.col("id")), ignorenulls=True).over(upto), "closed": F.first(F.when(F.col("role") == "close", F.col("line_end")), ignorenulls=True).over(after),
+    }).filter(is_own)
+    sibling = Window.partitionBy("path", "level", "around").orderBy("id")
+    end = F.when(F.col("ends") == "{", F.col("closed")).otherwise(F.coalesce(F.when(F.col("ends") == ";", F.col("line_end")), "line_last", "line_end"))
+    nxt = F.struct(F.trim(F.col("rest")).alias("rest"), end.alias("end"), F.col("ends"))
+    told = F.when((F.trim(F.col("rest")) != "") | ~F.col("kotlin"), nxt)
+    following = F.slice(F.collect_list(told).over(sibling.rowsBetween(1, 6)), 1, 2)
+    led = F.last(F.when(~F.startswith(F.trim(F.col("rest")), F.lit(",")) & (F.trim(F.col("rest")) != ""), F.struct("code", "words")), ignorenulls=True).over(sibling.rowsBetween(Window.unboundedPreceding, -1))
+    return met.withColumns({"following": following, "led": led}).drop("role", "level")
 
-def source_lines(files: DataFrame) -> DataFrame:
-    """(path, n, line, code, doc, depth, after): files (path, text) by line, with what is code and what is a comment."""
-    lines = files.select("path", F.posexplode(T.lines(F.col("text"))).alias("i", "line")).withColumn("n", F.col("i") + 1)
-    bare = F.regexp_replace(F.regexp_replace("line", r'"(?:\\.|[^"\\])*"', '""'), r"'(?:\\.|[^'\\])'", "''")
-    order = Window.partitionBy("path").orderBy("n")
-    opened = F.size(F.split(bare, r"/\*")) - F.size(F.split(bare, r"\*/"))
-    marked = lines.withColumn("bare", bare).withColumn("opened", opened)
-    marked = marked.withColumn("inside", F.coalesce(F.sum("opened").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0)
-    outside = F.regexp_replace(F.regexp_replace(F.regexp_replace("bare", r"/\*.*?\*/", ""), r"/\*.*$", ""), r"//.*$", "")
-    code = F.when(F.col("inside"), F.when(F.contains("bare", F.lit("*/")), F.regexp_replace("bare", r"^.*?\*/", "")).otherwise("")).otherwise(outside)
-    coded = marked.withColumn("code", code).withColumn("change", _braces(F.col("code"), "{") - _braces(F.col("code"), "}"))
-    after = F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    doc = F.col("inside") | F.rlike("bare", F.lit(r"^\s*/\*"))
-    return coded.withColumn("after", after).withColumn("depth", F.col("after") - F.col("change")).select("path", "n", "line", "code", doc.alias("doc"), "depth", "after")
 
+def _named_types(rows: DataFrame) -> DataFrame:
+    """(path, id, fqn, kind, name, params) of the types among rows that no block but types' encloses."""
+    package = F.max(F.when(F.rlike("rest", F.lit(r"^package\b")) & (F.col("depth") == 0), F.regexp_replace(F.regexp_extract("rest", r"^package\s+([^;]+)", 1), r"[\s`]", "")))
+    header = in_parentheses(F.regexp_replace("rest", rf"(?s)^\w+\s+[\w$]+\s*(?:{_ANGLES})?", ""))["body"]
+    record = F.when(F.col("type_kind") == "record", java_params(header))
+    every = F.array_sort(F.collect_list(F.when(F.col("type_kind").isNotNull(), F.struct("id", "depth", "around", "name", F.col("type_kind").alias("kind"), record.alias("params")))))
+    files = rows.groupBy("path").agg(package.alias("package"), every.alias("types"))
+    start = F.array().cast("array<struct<id: bigint, fqn: string, kind: string, name: string, params: array<string>>>")
 
-def _visibility(modifiers: Column) -> Column:
-    out = F
-    for v in ("public", "protected", "private"):
-        out = out.when(F.contains(modifiers, F.lit(v)), v)
-    return out.otherwise("package")
+    def step(known: Column, t: Column) -> Column:
+        outer = F.element_at(F.filter(known, lambda o: o["id"] == t["around"]), 1)
+        fqn = F.when(t["depth"] == 0, F.concat_ws(".", "package", t["name"])).when(F.size(F.filter(known, lambda o: o["id"] == t["around"])) > 0, F.concat_ws(".", outer["fqn"], t["name"]))
+        return F.when(fqn.isNull(), known).otherwise(F.concat(known, F.array(F.struct(t["id"].alias("id"), fqn.alias("fqn"), t["kind"].alias("kind"), t["name"].alias("name"), t["params"].alias("params")))))
 
+    folded = files.withColumn("known", F.aggregate("types", start, step))
+    return folded.select("path", F.coalesce("package", F.lit("")).alias("package"), F.explode_outer("known").alias("t")).select("path", "package", "t.*")
 
-def _depth_of_classes(rows: DataFrame) -> int:
-    """Levels at which rows (code, depth) have classes."""
-    deepest = rows.filter(F.regexp_extract("code", _CLASS, 2) != "").agg(F.max("depth").alias("d")).first().d
-    return 1 if deepest is None else max(1, int(deepest) + 1)
+
+def _field_type(code: Column) -> Column:
+    """The type of the declarators of a statement's code; empty if it has none."""
+    first = F.regexp_replace(F.regexp_replace(code, rf"(?s)^[\s{_MARKS}]*(?:(?:{_JAVA_WORDS})\b[\s{_MARKS}]*)*", ""), r"(?s)=.*$", "")
+    one = F.regexp_replace(first, rf"(?s)^((?:[^<>,]|{_ANGLES})*),.*$", "$1")
+    kind = F.trim(F.regexp_extract(tight(one), r"^(.*[\w$>\]?])\s?(?<=[\s>\]])[A-Za-z_$][\w$]*(?:\[\])*$", 1))
+    return F.when(F.rlike(kind, F.lit(r"^[A-Za-z_$][\w$.<>\[\],?& ]*$")) & ~F.rlike(kind, F.lit(rf"^(?:{_OTHERS})\b")), kind).otherwise("")
+
+
+def _with_parts(rows: DataFrame) -> DataFrame:
+    """rows with what their members are made of, each computed once: what stands in parentheses, the types of parameters,
+    and declarators with their places."""
+    rest, k, is_type = F.col("rest"), F.col("kotlin"), F.col("type_kind").isNotNull()
+    after_name = F.regexp_replace(rest, rf"(?s)^\w+\s*(?:{_KOTLIN_NAME})?\s*(?:{_ANGLES})?\s*(?:(?:public|private|protected|internal)\s+)*(?:constructor\b)?", "")
+    header = F.when(F.rlike(after_name, F.lit(r"^\s*\(")), in_parentheses(after_name))
+    signed = F.trim(F.regexp_replace(rest, rf"(?s)^(?:fun|val|var)\s*(?:{_ANGLES})?\s*", ""))
+    call = in_parentheses(F.substring(F.col("signed"), F.length(F.regexp_extract("signed", rf"(?s)^{_OWNER}{_KOTLIN_NAME}\s*", 0)) + 1, 1 << 30))
+    record = in_parentheses(F.regexp_replace(rest, rf"(?s)^\w+\s+[\w$]+\s*(?:{_ANGLES})?", ""))
+    inner = F.when(k & is_type, header).when(k & F.rlike(rest, F.lit(r"^fun\b")), call).when(k & F.rlike(rest, F.lit(r"^constructor\b")), in_parentheses(rest))
+    inner = inner.when(~k & is_type & (F.col("type_kind") == "record"), record).when(~k & ~is_type & F.rlike(rest, F.lit(r"(?s)^[^(=]*\(")), in_parentheses(rest))
+    parted = rows.withColumn("signed", F.when(k, signed)).withColumn("inner", inner)
+    begins = F.col("line_start") - newlines(F.regexp_extract("code", rf"^([\s{_MARKS}]*)", 1))
+    in_header = F.col("line_start") + newlines(F.regexp_replace(F.regexp_extract("code", r"(?s)^([^(]*\()", 1), rf"^[\s{_MARKS}]*", ""))
+    listing = (F.col("outer_kind") == "enum") & ~F.col("listed")
+    is_list = ~is_type & (listing | (~k & F.col("outer_kind").isNotNull() & F.col("inner").isNull()))
+    typed = parted.withColumns({
+        "params": F.when(F.col("inner").isNotNull(), F.when(k, kotlin_params(F.col("inner.body"))).otherwise(java_params(F.col("inner.body")))),
+        "parts": F.when(is_list, split_top_level(F.col("code"))).when(k & is_type, split_top_level(F.col("inner.body"))),
+        "field_type": F.when(is_list & ~k, _field_type(F.when(F.startswith(F.trim(rest), F.lit(",")), F.col("led.code")).otherwise(F.col("code")))),
+    })
+    return typed.withColumn("parts", _located(F.col("parts"), F.when(is_list, begins).otherwise(in_header)))
+
+
+def _java_members() -> Column:
+    """What a statement in a Java type declares."""
+    outer, rest, words, params = F.col("outer_name"), F.col("rest"), F.col("words"), F.col("params")
+    visibility_of = lambda w: F.coalesce(*[F.when(F.array_contains(w, v), v) for v in ("public", "protected", "private")], F.lit("package"))
+    visibility, mods = visibility_of(words), F.array_join(words, " ")
+    type_params = F.regexp_extract(rest, rf"(?s)^(?:@\s*)?\w+\s+[\w$]+\s*({_ANGLES})", 1)
+    record = F.when(F.size(params) > 0, F.concat(F.lit("("), F.array_join(params, ","), F.lit(")"))).otherwise("")
+    a_type = _member(F.col("name"), F.col("type_kind"), words, visibility, _spaced(mods, F.concat(F.col("word"), F.lit(" "), F.col("name"), tight(type_params), record)), of_own=True)
+
+    head = F.regexp_extract(rest, r"(?s)^([^(=]*)\(", 1)
+    called = F.regexp_extract(head, r"(?s)([A-Za-z_$][\w$]*)\s*$", 1)
+    returned = tight(F.regexp_extract(head, r"(?s)^(.*?)[A-Za-z_$][\w$]*\s*$", 1))
+    generic = F.regexp_extract(returned, rf"^({_ANGLES})", 1)
+    result = F.trim(F.substring(returned, F.length(generic) + 1, 1 << 30))
+    listed = F.concat(called, F.lit("("), F.array_join(params, ","), F.lit(")"))
+    typed = F.rlike(result, F.lit(r"^[A-Za-z_$][\w$.<>\[\],?& ]*$")) & ~F.rlike(result, F.lit(rf"^(?:{_OTHERS})\b"))
+    method = _member(called, "method", words, visibility, _spaced(mods, generic, F.concat(result, F.lit(" "), listed)), params)
+    constructor = _member(called, "constructor", words, visibility, _spaced(mods, listed), params)
+    own_params = F.coalesce("outer_params", F.array().cast("array<string>"))
+    compact = _member(outer, "constructor", words, visibility, _spaced(mods, F.concat(outer, F.lit("("), F.array_join(own_params, ","), F.lit(")"))), own_params)
+
+    parts, goes_on, before = F.col("parts"), F.startswith(F.trim(rest), F.lit(",")), F.startswith(F.get("following", F.lit(0))["rest"], F.lit(","))
+    end = F.when(F.col("ends") == "{", F.when(F.coalesce(before, F.lit(False)), F.col("closed")).otherwise(F.get("following", F.lit(0))["end"])).otherwise(F.col("line_end"))
+    of = F.when(goes_on, F.col("led.words")).otherwise(words)
+    lead = rf"(?s)^[\s{_MARKS}]*(?:(?:{_JAVA_WORDS})\b[\s{_MARKS}]*)*"
+
+    def field(p: Column, k: Column) -> Column:
+        first = (k == 0) & ~goes_on
+        named = tight(F.regexp_replace(F.when(first, F.regexp_replace(p["part"], lead, "")).otherwise(p["part"]), r"(?s)=.*$", ""))
+        name, dims = F.regexp_extract(named, r"([A-Za-z_$][\w$]*)(?:\[\])*$", 1), F.regexp_extract(named, r"((?:\[\])*)$", 1)
+        return _member(name, "field", of, visibility_of(of), _spaced(F.array_join(of, " "), F.col("field_type"), F.concat(name, dims)), line=F.when(first, F.col("line_start")).otherwise(p["line"]), last=F.when(k == F.size(parts) - 1, end).otherwise(p["last"]).cast("int"))
+
+    fields = F.filter(F.transform(parts, field), lambda m: m["selector"] != "")
+    constant = F.regexp_extract(F.trim(F.regexp_replace(F.get(parts, F.lit(0))["part"], f"[{_MARKS}]", "")), r"(?s)^\s*([A-Za-z_$][\w$]*)\s*(?:\(.*)?$", 1)
+    is_constants = (F.col("outer_kind") == "enum") & ~F.col("listed") & ((constant != "") | goes_on)
+    none = F.array().cast(MEMBERS)
+    out = F.when(F.col("type_kind").isNotNull(), F.array(a_type)).when(F.col("outer_kind").isNull(), none).when(is_constants, _constants(parts, end))
+    out = out.when((F.col("outer_kind") == "record") & (F.trim(rest) == outer) & (F.col("ends") == "{"), F.array(compact))
+    out = out.when((called != "") & (returned == "") & (called == outer), F.array(constructor)).when((called != "") & typed, F.array(method))
+    return out.when((called == "") & (F.col("field_type") != ""), fields).otherwise(none)
+
+
+def _constants(parts: Column, end: Column) -> Column:
+    """Enum constants of a statement's parts."""
+
+    def constant(p: Column, k: Column) -> Column:
+        name = F.regexp_extract(F.regexp_replace(p["part"], f"[{_MARKS}]", ""), r"^\s*([A-Za-z_$][\w$]*)", 1)
+        last = F.when(k == F.size(parts) - 1, F.coalesce(F.when(F.col("ends").isin("{", ";"), end), F.col("line_last"))).otherwise(p["last"])
+        return _member(name, "enum-constant", F.array().cast("array<string>"), F.lit("public"), name, line=F.greatest(p["line"], F.col("line_start")).cast("int"), last=last.cast("int"), marks=F.when(p["told"], p["marks"]).otherwise(0), deprecated=p["deprecated"])
+
+    return F.filter(F.transform(parts, constant), lambda m: m["selector"] != "")
+
+
+def _kotlin_members() -> Column:
+    """What a statement in a Kotlin type, or at the top of a Kotlin file, declares."""
+    rest, words, params, signed = F.col("rest"), F.col("words"), F.col("params"), F.col("signed")
+    visibility_of = lambda w: F.coalesce(*[F.when(F.array_contains(w, v), out) for v, out in (("protected", "protected"), ("private", "private"), ("internal", "package"))], F.lit("public"))
+    visibility, shown = visibility_of(words), F.array_join(F.array_except(words, F.array(F.lit("public"))), " ")
+    type_params = F.regexp_extract(rest, rf"(?s)^\w+\s+[\w`]+\s*({_ANGLES})", 1)
+    header = F.coalesce(F.concat(F.lit("("), F.array_join(params, ","), F.lit(")")), F.lit(""))
+    named = F.when((F.col("name") == "Companion") & ~F.rlike(rest, F.lit(r"^object\s+Companion\b")), "").otherwise(F.concat(F.lit(" "), F.col("name")))
+    a_type = _member(F.col("name"), F.col("type_kind"), words, visibility, _spaced(shown, F.concat(F.col("word"), named, kotlin_tight(type_params), header)), of_own=True)
+    property_form = rf"(?s)^[\s{_MARKS}]*((?:(?:{_KOTLIN_WORDS})\s+)*)(val|var)\s+{_KOTLIN_NAME}\s*:(.*)$"
+
+    def in_header(p: Column) -> Column:
+        mods = F.regexp_extract_all(F.regexp_extract(p["part"], property_form, 1), F.lit(r"(\w+)"), F.lit(1))
+        name = F.replace(F.regexp_extract(p["part"], property_form, 3), F.lit("`"), F.lit(""))
+        kind = kotlin_tight(F.regexp_replace(F.regexp_extract(p["part"], property_form, 4), r"(?s)=.*$", ""))
+        return _member(name, "property", mods, visibility_of(mods), _spaced(F.array_join(mods, " "), F.regexp_extract(p["part"], property_form, 2), F.concat(name, F.lit(": "), kind)), line=p["line"], last=p["last"], marks=F.lit(0), deprecated=p["deprecated"], of_own=True)
+
+    properties = F.coalesce(F.transform(F.filter("parts", lambda p: F.rlike(p["part"], F.lit(property_form))), in_header), F.array().cast(MEMBERS))
+
+    generic = kotlin_tight(F.regexp_extract(rest, rf"(?s)^(?:fun|val|var)\s*({_ANGLES})", 1))
+    fun = rf"(?s)^{_OWNER}{_KOTLIN_NAME}\s*\("
+    receiver, name = F.nullif(kotlin_tight(F.regexp_extract(signed, fun, 1)), F.lit("")), F.replace(F.regexp_extract(signed, fun, 2), F.lit("`"), F.lit(""))
+    returned = kotlin_tight(F.regexp_extract(F.col("inner.rest"), r"(?s)^\s*:\s*(.*?)\s*(?:(?<![=!<>])=(?!=).*|\bwhere\b.*)?$", 1))
+    result = F.when(returned != "", F.concat(F.lit(": "), returned)).otherwise("")
+    method = _member(name, "method", words, visibility, _spaced(shown, F.lit("fun"), generic, F.concat(F.coalesce(F.concat(receiver, F.lit(".")), F.lit("")), name, F.lit("("), F.array_join(params, ", "), F.lit(")"), result)), params, receiver)
+    own = rf"(?s)^{_OWNER}{_KOTLIN_NAME}\s*(?::\s*(.*?))?\s*(?:(?<![=!<>])=(?!=).*|\bby\b.*|\b(?:get|set)\s*\(.*)?$"
+    held = F.replace(F.regexp_extract(signed, own, 2), F.lit("`"), F.lit(""))
+    of, kind = F.nullif(kotlin_tight(F.regexp_extract(signed, own, 1)), F.lit("")), kotlin_tight(F.regexp_extract(signed, own, 3))
+    accessor = F.lit(r"^(?:get|set)\b")
+    f0, f1 = F.get("following", F.lit(0)), F.get("following", F.lit(1))
+    with_accessors = F.when(F.rlike(f0["rest"], accessor) & F.rlike(f1["rest"], accessor), f1["end"]).when(F.rlike(f0["rest"], accessor), f0["end"])
+    a_property = _member(held, "property", words, visibility, _spaced(shown, F.regexp_extract(rest, "^(val|var)", 1), generic, F.concat(F.coalesce(F.concat(of, F.lit(".")), F.lit("")), held, F.when(kind != "", F.concat(F.lit(": "), kind)).otherwise(""))), receiver=of, last=with_accessors.cast("int"))
+    constructor = _member(F.col("outer_name"), "constructor", words, visibility, _spaced(shown, F.concat(F.lit("constructor("), F.array_join(params, ", "), F.lit(")"))), params)
+    init = _member(F.col("outer_name"), "constructor", words, visibility, F.lit("init"), F.array().cast("array<string>"))
+    is_entries = (F.col("outer_kind") == "enum") & ~F.col("listed") & ~F.rlike(rest, F.lit(r"^(?:fun|val|var|init|constructor|class|interface|object)\b")) & F.rlike(rest, F.lit(r"^(?:[A-Za-z_]\w*|,)"))
+    member_of = F.col("outer_kind").isNotNull()
+    out = F.when(F.col("type_kind").isNotNull(), F.concat(F.array(a_type), properties)).when(is_entries, _constants(F.col("parts"), F.col("line_end")))
+    out = out.when(F.rlike(rest, F.lit(r"^fun\b")) & (name != ""), F.array(method)).when(F.rlike(rest, F.lit(r"^(?:val|var)\b")) & (held != ""), F.array(a_property))
+    out = out.when(member_of & F.rlike(rest, F.lit(r"^constructor\s*\(")), F.array(constructor)).when(member_of & F.rlike(rest, F.lit(r"^init\s*$")) & (F.col("ends") == "{"), F.array(init))
+    return out.otherwise(F.array().cast(MEMBERS))
 
 
 def scan_declarations(files: DataFrame) -> DataFrame:
-    """(path, fqn, selector, kind, visibility, static, deprecated, signature, params, line_start, line_end, doc_start, javadoc).
+    """(path, fqn, selector, kind, visibility, static, deprecated, signature, params, receiver, line_start, line_end,
+    doc_start, javadoc).
 
-    files: (path, text). A class's own row has its name as selector; its members carry its fqn. One window sort a file;
-    the depth to which classes are nested is counted first, comments are gathered whole and joined to what follows them.
+    files: (path, text); `.kt` and `.kts` are Kotlin, all else is Java. A type's own row has its name as selector; its
+    members carry its fqn. Functions and properties at the top of a Kotlin file are static members of a class that is
+    named after it. A null text is empty; a file that is given twice has its rows twice under one path.
     """
-    order = Window.partitionBy("path").orderBy("n")
-    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
-    rows = source_lines(files)
-    nesting = _depth_of_classes(rows)
-    package = F.last(F.nullif(F.regexp_extract("code", r"^\s*package\s+([\w.]+)", 1), F.lit("")), ignorenulls=True).over(upto)
-    kind = F.regexp_extract("code", _CLASS, 2)
-    rows = rows.withColumn("package", package).withColumn("class_kind", kind).withColumn("class_name", F.when(kind != "", F.regexp_extract("code", _CLASS, 3)))
-    for k in range(nesting):
-        rows = rows.withColumn(f"at{k}", F.last(F.when((F.col("depth") == k) & F.col("class_name").isNotNull(), F.struct("n", "class_name", "class_kind")), ignorenulls=True).over(before))
-        rows = rows.withColumn(f"end{k}", F.min(F.when(F.col("after") <= k, F.col("n"))).over(ahead))
-    # the enclosing classes: one for each smaller depth, each begun after the one around it
-    chain = F.array(*[F.when(F.col("depth") > k, F.col(f"at{k}.class_name")) for k in range(nesting)])
-    rows = rows.withColumn("outer", F.array_compact(chain))
-    real = ~F.col("doc")
-    begins = F.col("doc") & F.rlike("line", F.lit(r"^\s*/\*"))
-    rows = rows.withColumn("comment", F.count_if(begins).over(upto))
-    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    comments = rows.filter("doc").groupBy("path", "comment").agg(told.alias("told")).filter(F.rlike("told", F.lit(r"^\s*/\*\*")))
-    comments = comments.select(F.col("path").alias("_path"), F.col("comment").alias("_comment"), F.regexp_replace("told", r"^\s+", "").alias("block"))
-    annotated = F.last(F.when(~F.col("doc") & ~F.rlike("code", F.lit(r"^\s*(@.*)?$")), F.col("n")), ignorenulls=True).over(before)
-    doc_end = F.last(F.when(F.col("doc"), F.col("n")), ignorenulls=True).over(before)
-    own_doc = doc_end > F.coalesce(annotated, F.lit(0))
-    deprecated = F.max(F.when(F.rlike("code", F.lit(r"@(java\.lang\.)?Deprecated\b")), F.col("n"))).over(upto) > F.coalesce(annotated, F.lit(0))
-    last_comment = F.last(F.when(F.col("doc"), F.col("comment")), ignorenulls=True).over(before)
-    rows = rows.withColumns({"told": F.when(own_doc, last_comment), "annotated": deprecated, "doc_end": F.when(own_doc, doc_end)})
-
-    method = F.regexp_extract("code", _METHOD, 3)
-    member_depth = F.size("outer") == F.col("depth")
-    is_class = real & F.col("class_name").isNotNull() & (member_depth | (F.size("outer") == F.col("depth")))
-    is_method = real & F.col("class_name").isNull() & member_depth & (F.size("outer") > 0) & (method != "") & ~method.isin(*_CONTROL) & ~F.rlike("code", F.lit(r"^\s*(return|new|throw|else|@)\b|=[^>]*\(.*$|^\s*\."))
-    field = F.regexp_extract("code", _FIELD, 3)
-    is_field = real & F.col("class_name").isNull() & member_depth & (F.size("outer") > 0) & ~is_method & (field != "") & F.rlike("code", F.lit(r";\s*$|^\s*(?:\w+\s+)*(?:val|var)\b")) & ~F.rlike("code", F.lit(r"^\s*(return|import|package|throw|break|continue)\b"))
-    inner = F.element_at("outer", -1)
-    modifiers = F.when(is_class, F.regexp_extract("code", _CLASS, 1)).when(is_method, F.regexp_extract("code", _METHOD, 1)).otherwise(F.regexp_extract("code", _FIELD, 1))
-    class_kind = F.when(F.col("class_kind") == "@interface", "annotation").when(F.col("class_kind") == "enum class", "enum").otherwise(F.col("class_kind"))
-    prefix = F.concat_ws(".", F.array_compact(F.array("package")), "outer")
-    written = F.filter(F.transform(F.split(F.regexp_extract("code", _METHOD, 4), r",(?![^<]*>)"), lambda p: F.trim(p)), lambda p: p != "")
-    types = F.transform(written, lambda p: F.when(F.contains(p, F.lit(":")), F.trim(F.substring_index(p, ":", -1))).otherwise(F.regexp_replace(F.regexp_replace(p, r"^(?:final\s+|@\w+\s+)+", ""), r"\s+\w+$", "")))
-    found = rows.withColumns({
-        "kind": F.when(is_class, class_kind).when(is_method, F.when(method == inner, "constructor").otherwise("method")).when(is_field, F.when(F.rlike("code", F.lit(r"\b(val|var)\b")), "property").otherwise("field")),
-        "selector": F.when(is_class, F.col("class_name")).when(is_method, method).when(is_field, field),
-        "fqn": F.when(is_class, F.concat_ws(".", F.nullif(prefix, F.lit("")), "class_name")).otherwise(prefix),
-        "modifiers": modifiers, "params": F.when(is_method, types),
-    }).filter("kind is not null")
-    found = found.join(comments, (F.col("path") == F.col("_path")) & (F.col("told") == F.col("_comment")), "left").withColumnRenamed("block", "javadoc")
-    end = F.when(F.rlike("code", F.lit(r";\s*$")), F.col("n")).otherwise(F.coalesce(F.get(F.array(*[F.col(f"end{k}") for k in range(nesting)]), F.col("depth").cast("int")), F.col("n")))
-    signature = F.trim(F.regexp_replace(F.regexp_replace("code", r"\s*(\{.*|;\s*|=.*)$", ""), r"\s+", " "))
-    return found.select(
-        "path", dotted(F.col("fqn")).alias("fqn"), "selector", "kind", _visibility(F.col("modifiers")).alias("visibility"), F.rlike("modifiers", F.lit(r"\bstatic\b")).alias("static"),
-        (F.coalesce("annotated", F.lit(False)) | F.coalesce(T.has_deprecated_tag(F.col("javadoc")), F.lit(False))).alias("deprecated"), signature.alias("signature"), "params",
-        F.col("n").cast("int").alias("line_start"), end.cast("int").alias("line_end"), (F.col("doc_end") - F.size(F.split("javadoc", "\n")) + 1).cast("int").alias("doc_start"), "javadoc",
+    rows = _in_blocks(_headers(statements(files)))
+    types = _named_types(rows)
+    outer = types.select("path", "package", F.col("id").alias("around"), F.col("fqn").alias("outer_fqn"), F.col("kind").alias("outer_kind"), F.col("name").alias("outer_name"), F.col("params").alias("outer_params"))
+    own = types.select("path", "id", F.col("fqn").alias("own_fqn"))
+    base = F.regexp_replace(F.regexp_extract("path", r"([^/]*)\z", 1), r"(?i)\.kts?\z", "")
+    facade = F.concat(F.when(F.regexp_replace(base, r"\W", "_") == "", "File").otherwise(F.regexp_replace(base, r"[^A-Za-z0-9_]", "_")), F.lit("Kt"))
+    packages = types.select("path", "package").distinct().withColumnRenamed("package", "of_package")
+    met = rows.filter(F.trim(F.col("rest")) != "").join(outer.drop("package"), ["path", "around"], "left").join(own, ["path", "id"], "left").join(packages, "path", "left")
+    # a type whose block is none of a known type's is left out, and so is what stands in any other block
+    reached = F.when(F.col("type_kind").isNotNull(), F.col("own_fqn").isNotNull()).otherwise(F.col("outer_fqn").isNotNull() | (F.col("kotlin") & (F.col("depth") == 0)))
+    order = Window.partitionBy("path", "around").orderBy("id")
+    listed = F.coalesce(F.max(F.col("ends") == ";").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    known = _with_parts(met.filter(reached).withColumn("listed", listed))
+    each = known.withColumn("m", F.explode(F.when(F.col("kotlin"), _kotlin_members()).otherwise(_java_members())))
+    end = F.coalesce("m.last", F.when(F.col("ends") == "{", F.coalesce("closed", "line_end")), F.when(F.col("ends") == ";", F.col("line_end")), "line_last")
+    doc = F.when(F.col("m.marks") > 0, F.get("docs", F.col("m.marks") - 1))
+    top = F.col("kotlin") & F.col("outer_fqn").isNull() & ~F.col("m.of_own")
+    fqn = F.when(F.col("m.of_own"), F.col("own_fqn")).otherwise(F.coalesce("outer_fqn", F.concat_ws(".", F.nullif("of_package", F.lit("")), facade)))
+    is_type = F.col("m.of_own") & F.col("type_kind").isNotNull() & (F.col("m.selector") == F.col("name")) & (F.col("m.kind") == F.col("type_kind"))
+    in_interface = is_type & F.col("outer_kind").isin("interface", "annotation")
+    static = F.array_contains("m.words", "static") | (F.col("m.kind") == "enum-constant") | top | in_interface | F.array_contains("m.words", "companion") | (~F.col("m.of_own") & (F.col("outer_kind") == "object") & (F.col("m.kind") != "constructor"))
+    found = each.select(
+        "path", fqn.alias("fqn"), F.col("m.selector").alias("selector"), F.col("m.kind").alias("kind"), F.col("m.visibility").alias("visibility"), F.coalesce(static, F.lit(False)).alias("static"),
+        (F.col("m.deprecated") | F.coalesce(T.has_deprecated_tag(doc["text"]), F.lit(False))).alias("deprecated"), F.col("m.signature").alias("signature"), F.col("m.params").alias("params"), F.col("m.receiver").alias("receiver"),
+        F.col("m.line").cast("int").alias("line_start"), end.cast("int").alias("line_end"), doc["line"].cast("int").alias("doc_start"), doc["text"].alias("javadoc"), top.alias("top"),
     )
+    return _with_facades(found)
+
+
+def _with_facades(found: DataFrame) -> DataFrame:
+    """found with a row for each class that holds what stands at the top of a Kotlin file; drops top."""
+    span = Window.partitionBy("path", "fqn")
+    marked = found.withColumns({"first": F.when(F.col("top"), F.row_number().over(span.orderBy(F.col("top").desc(), "line_start", "selector")) == 1), "low": F.min(F.when(F.col("top"), F.col("line_start"))).over(span), "high": F.max(F.when(F.col("top"), F.col("line_end"))).over(span)})
+    name = F.element_at(F.split("fqn", r"\."), -1)
+    facade = F.struct(
+        name.alias("selector"), F.lit("class").alias("kind"), F.lit("public").alias("visibility"), F.lit(False).alias("static"), F.lit(False).alias("deprecated"), F.concat(F.lit("class "), name).alias("signature"),
+        F.lit(None).cast("array<string>").alias("params"), F.lit(None).cast("string").alias("receiver"), F.col("low").alias("line_start"), F.col("high").alias("line_end"), F.lit(None).cast("int").alias("doc_start"), F.lit(None).cast("string").alias("javadoc"),
+    )
+    own = F.struct("selector", "kind", "visibility", "static", "deprecated", "signature", "params", "receiver", "line_start", "line_end", "doc_start", "javadoc")
+    return marked.withColumn("d", F.explode(F.when(F.coalesce(F.col("first"), F.lit(False)), F.array(facade, own)).otherwise(F.array(own)))).select("path", "fqn", "d.*")
+
+
+def scan_problems(files: DataFrame) -> DataFrame:
+    """(path, problem) of files (path, text) whose blocks are not balanced: one is closed that is not open, or one is never
+    closed; the first of each file's."""
+    rows = statements(files)
+    twice = F.min(F.when((F.col("ends") == "}") & (F.col("depth") == 0), F.col("line_end")))
+    last = F.max_by(F.struct("depth", "ends"), "id")
+    by_file = rows.groupBy("path").agg(last.alias("at"), twice.alias("twice"), F.max(F.when(F.col("ends") == "{", F.col("line_end"))).alias("open"))
+    left = F.col("at.depth") + F.when(F.col("at.ends") == "{", 1).when(F.col("at.ends") == "}", -1).otherwise(0)
+    problem = F.when(F.col("twice").isNotNull(), F.concat(F.lit("unbalanced braces at line "), F.col("twice").cast("string"), F.lit(": nothing is open to be closed")))
+    problem = problem.when(left > 0, F.concat(F.lit("unbalanced braces at line "), F.col("open").cast("string"), F.lit(": block is never closed")))
+    return by_file.select("path", problem.alias("problem")).filter("problem is not null")
