@@ -9,7 +9,7 @@ _PIECES = r"(?s)->|[<>]=|\s[<>]\s|[(<\[{]|[)>\]}]|,|[^-(<\[{)>\]},=\s]++|."
 _ROUND = r"(?s)[()]|[^()]++"
 
 
-def split_top_level(text: Column) -> Column:
+def split_top_level(text: Column | str) -> Column:
     """Array of the parts of text between commas that no bracket encloses, as they stand; an empty text is one part."""
     start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("parts"), F.lit("").alias("part"))
 

@@ -47,6 +47,39 @@ def tiered_search(names: DataFrame, name: str, query: str, order: list[str], lim
     return sure.unionByName(fuzzy)
 
 
+def letters(name: Column) -> Column:
+    """The lower-case letters and digits of a name as bits of a long; other characters share one bit."""
+    low = F.lower(name)
+    known = "abcdefghijklmnopqrstuvwxyz0123456789"
+    held = [F.when(F.contains(low, F.lit(c)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, c in enumerate(known)]
+    out = F.when(F.rlike(low, F.lit("[^a-z0-9]")), F.lit(1 << len(known))).otherwise(F.lit(0)).cast("long")
+    for bit in held:
+        out = out.bitwiseOR(bit)
+    return out
+
+
+def search_many(names: DataFrame, name: str, queries: DataFrame, query: str, order: list[str], limit: int = NAME_LIMIT) -> DataFrame:
+    """The best `limit` fuzzy hits of every query (queries: query, any more) among names, with score and rn.
+
+    A name is tried only if it holds all letters of the query: names lie under each letter they hold, queries under the one
+    that the fewest names hold, so a query meets no other names; of these the letters as bits drop more before the fold over
+    positions is taken, and each task keeps `limit` hits a query. Queries without a letter or digit meet nothing but under
+    the mark for other characters; an empty or null query has no hits.
+    """
+    known = "abcdefghijklmnopqrstuvwxyz0123456789"
+    marked = names.withColumn("_has", letters(F.col(name)))
+    split = lambda has: F.filter(F.sequence(F.lit(0), F.lit(len(known))), lambda k: F.call_function("getbit", has, k) == 1)
+    under = marked.withColumn("_letter", F.explode(split(F.col("_has"))))
+    counts = under.groupBy("_letter").agg(F.count("*").alias("_n"))  # a row a letter
+    wanted = queries.filter(F.length(query) > 0).withColumn("_wants", letters(F.col(query))).withColumn("_q", F.monotonically_increasing_id())
+    rarest = wanted.select("_q", F.explode(split(F.col("_wants"))).alias("_letter")).join(F.broadcast(counts), "_letter", "left")
+    one = rarest.groupBy("_q").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), "_letter")).getField("_letter").alias("_letter"))
+    asked = wanted.join(one, "_q").drop("_q")
+    met = asked.join(under, "_letter").filter(F.col("_wants").bitwiseAND(F.col("_has")) == F.col("_wants"))
+    scored = met.withColumn("score", fuzzy_score(F.col(query), F.col(name))).filter("score is not null").drop("_letter", "_has", "_wants")
+    return top_per_key(scored, [query], [F.desc("score"), *order], limit)
+
+
 def member_search(members: DataFrame, name: str, query: str, order: list[str], limit: int = MEMBER_LIMIT) -> DataFrame:
     """Best `limit` members by tier (equal, prefix, else), score and order; the tiers mind case, the score does not."""
     n, q = F.col(name), F.lit(query)

@@ -65,17 +65,6 @@ def find_class(entries: DataFrame, query: str, limit: int = rank.NAME_LIMIT, jvm
     return known.orderBy(*order)
 
 
-def source_entry(entries: DataFrame, fqn: str) -> DataFrame:
-    """(coordinates, name): the source entry of a class in each artifact: its path with .java or .kt, else the only entry
-    that ends with it; several that do are no answer."""
-    path = fqn.replace("$", ".").replace(".", "/")
-    fits = [(F.col("name") == path + e, k, True) for k, e in enumerate((".java", ".kt"))] + [(F.endswith("name", F.lit(f"/{path}{e}")), 2 + k, False) for k, e in enumerate((".java", ".kt"))]
-    level = F.coalesce(*[F.when(holds, F.lit(k)) for holds, k, _ in fits])
-    met = entries.withColumn("level", level).filter("level is not null").groupBy("coordinates", "level").agg(F.count("*").alias("n"), F.min("name").alias("name"))
-    best = met.groupBy("coordinates").agg(F.min(F.struct("level", "n", "name")).alias("b")).select("coordinates", "b.*")
-    return best.filter("level < 2 or n = 1").select("coordinates", "name")
-
-
 def records(artifacts: DataFrame, files: DataFrame, coordinates: str | None = None) -> DataFrame:
     """Declarations with the coordinates and artifact_rank of their artifact, out of files (archive, path, text) of its
     sourceDir, else its sourcesJar; of one artifact only if coordinates are given, so no other is read."""
@@ -90,6 +79,27 @@ def records(artifacts: DataFrame, files: DataFrame, coordinates: str | None = No
     return found.withColumn("coordinates", split[0]).withColumn("path", split[1]).join(backing.select("coordinates", "artifact_rank"), "coordinates")
 
 
+def artifact_records(artifacts: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, notes): what records() gives, and a row (coordinates, provenance, failed, unreadable) for every artifact
+    (coordinates, artifact_rank, binaryJar, sourcesJar, sourceDir): how many of its files (archive, path, text, and error
+    where the text could not be read) failed, with the first three problems in the order of paths."""
+    from lodeframe.operators.declarations import scan_problems
+
+    backing = artifacts.select("coordinates", F.coalesce("sourceDir", "sourcesJar").alias("archive"))
+    own = files.join(backing.filter("archive is not null"), "archive")
+    mark = F.concat_ws("\n", "coordinates", "path")
+    parsed = scan_problems(own.filter("text is not null").select(mark.alias("path"), "text")).select(F.split("path", "\n", 2).alias("p"), "problem")
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    unread = own.filter("text is null").select("coordinates", "path", F.coalesce(error, F.lit("no text")).alias("problem"))
+    wrong = parsed.select(F.col("p")[0].alias("coordinates"), F.col("p")[1].alias("path"), "problem").unionByName(unread)
+    three = rank.top_per_key(wrong, ["coordinates"], ["path"], 3).groupBy("coordinates").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "problem"))), lambda x: x["problem"]).alias("shown"))
+    counted = wrong.groupBy("coordinates").agg(F.count("*").alias("failed")).join(three, "coordinates")
+    note = F.concat(F.col("failed").cast("string"), F.lit(" entries failed to parse ("), F.array_join("shown", ", "), F.lit(")"))
+    provenance = F.when(F.col("archive").isNotNull(), "source").otherwise("signature")
+    notes = backing.join(counted, "coordinates", "left").select("coordinates", provenance.alias("provenance"), F.coalesce("failed", F.lit(0)).alias("failed"), note.alias("unreadable"))
+    return records(artifacts, files.filter("text is not null").select("archive", "path", "text")), notes
+
+
 def locate(entries: DataFrame, fqn: str) -> DataFrame:
     """The artifact that answers for a class, with the later ones that declare it as alternatives; no row if none does."""
     exact = entries.filter(dotted(F.col("fqn")) == dotted(F.lit(fqn)))
@@ -117,10 +127,16 @@ def outline(declarations: DataFrame, fqn: str, preset: str = "outline", sections
 
 
 def imports(files: DataFrame, preset: str = "outline", sections: dict[str, bool] | None = None) -> DataFrame:
-    """(path, imports) of files (path, text) in their order, where the section is on and there are any."""
+    """(path, imports) of files (path, text): import statements as they are written, in their order, where the section is on
+    and there are any. Comments and strings hold none."""
+    from lodeframe.operators.statements import statements
+
     on = (PRESETS[preset] | (sections or {}))["imports"]
-    found = F.regexp_extract_all("text", F.lit(r"(?m)^\s*import\s+([\w.*]+(?:\s+as\s+\w+)?|static\s+[\w.*]+)\s*;?\s*$"), F.lit(1))
-    return files.select("path", found.alias("imports")).filter(F.lit(on) & (F.size("imports") > 0))
+    rest = F.trim(F.regexp_replace("code", r"[\s\uE000\uE001]+", " "))
+    written = F.regexp_replace(rest, r"\s*([.*])\s*", "$1")
+    rows = statements(files).filter((F.col("depth") == 0) & F.rlike(rest, F.lit(r"^import\s"))).select("path", "id", F.concat(written, F.when(F.col("ends") == ";", ";").otherwise("")).alias("line"))
+    found = rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]).alias("imports"))
+    return found.filter(F.lit(on))
 
 
 def disambiguated(name: Column, params: Column) -> Column:
@@ -207,32 +223,42 @@ def with_parents(classes: DataFrame) -> DataFrame:
     return classes.join(known, parent_name(F.col("fqn")) == F.col("parent"), "left")
 
 
-def read_member(declarations: DataFrame, files: DataFrame, fqn: str, wanted: str, degraded: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(slices, misses): the lines of each member that the selectors name, comment included; what was missed, and why.
+def read_members(declarations: DataFrame, files: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slices, misses) for asked (ask, fqn, selectors as text, degraded or null): for each ask the lines of each member that
+    its selectors name, comment included; what was missed, and why. All asks and selectors are one join.
 
-    With degraded, the reason why there is no source, members are given as their signatures, at line 0, and each selector
-    that finds any is a miss too.
+    Where degraded says why there is no source, members are given as their signatures, at line 0, and each selector that
+    finds any is a miss too. A selector that can't be read makes its whole ask one miss.
     """
-    spark, raw = declarations.sparkSession, S.split_top_level(wanted)
-    asked = S.parse_list(wanted)
-    own = declarations.filter(dotted(F.col("fqn")) == dotted(F.lit(fqn)))
+    wanted = S.rows(asked)
     receiver = F.col("receiver") if "receiver" in declarations.columns else F.lit(None).cast("string")
-    found = None
-    for k, selector in enumerate(asked):
-        one = own.filter(S.matches(selector, F.col("selector"), F.col("params"), receiver)).withColumn("selector_ord", F.lit(k))
-        found = one if found is None else found.unionByName(one)
+    named = declarations.select("path", dotted(F.col("fqn")).alias("_fqn"), "selector", "params", "signature", "line_start", "line_end", "doc_start", receiver.alias("_receiver"))
+    fits = (dotted(F.col("fqn")) == F.col("_fqn")) & (F.col("name") == F.col("selector"))
+    met = wanted.filter("error is null").join(named, fits)
+    own = F.transform("params", S.plain_type)
+    same = F.forall(F.zip_with(own, "types", lambda a, b: S.same_type(a, b)), lambda x: x)
+    arity = F.col("any_params") | ((F.size("params") == F.size("types")) & F.coalesce(same, F.lit(False)))
+    found = met.filter(arity & (F.col("of").isNull() | (F.substring_index(F.coalesce("_receiver", F.lit("")), ".", -1) == F.col("of"))))
     texts = found.join(files.select("path", T.lines(F.col("text")).alias("_lines")), "path", "left")
-    pseudo = F.lit(degraded is not None) | F.col("line_start").isNull() | F.col("line_end").isNull() | F.col("_lines").isNull()
+    pseudo = F.col("degraded").isNotNull() | F.col("line_start").isNull() | F.col("line_end").isNull() | F.col("_lines").isNull()
     start = F.coalesce("doc_start", "line_start")
     slices = texts.select(
-        "selector_ord", disambiguated(F.col("selector"), F.col("params")).alias("selector"), "signature", F.when(pseudo, 0).otherwise(start).alias("first"), F.when(pseudo, 0).otherwise(F.col("line_end")).alias("last"),
+        "ask", "selector_ord", disambiguated(F.col("selector"), F.col("params")).alias("selector"), "signature", F.when(pseudo, 0).otherwise(start).alias("first"), F.when(pseudo, 0).otherwise(F.col("line_end")).alias("last"),
         F.when(pseudo, F.array("signature")).otherwise(F.slice("_lines", start, F.col("line_end") - start + 1)).alias("lines"),
         F.when(~pseudo & (F.col("doc_start") < F.col("line_start")), F.slice("_lines", F.col("doc_start"), F.col("line_start") - F.col("doc_start"))).alias("javadoc"),
-    ).orderBy("selector_ord", "first")
-    numbered = spark.createDataFrame(list(enumerate(raw)), "selector_ord int, asked string")
-    hit = found.select("selector_ord").distinct().withColumn("hit", F.lit(True))
-    reasons = numbered.join(hit, "selector_ord", "left").withColumn("reason", F.when(F.col("hit").isNull(), "no matching declaration").otherwise(F.lit(degraded)))
-    return slices, reasons.filter("reason is not null").select("selector_ord", "asked", "reason")
+    )
+    hit = found.select("ask", "selector_ord").distinct().withColumn("hit", F.lit(True))
+    reason = F.coalesce("error", F.when(F.col("hit").isNull(), F.lit("no matching declaration")).otherwise(F.col("degraded")))
+    misses = wanted.join(hit, ["ask", "selector_ord"], "left").withColumn("reason", reason).filter("reason is not null").select("ask", "selector_ord", "asked", "reason")
+    return slices, misses
+
+
+def read_member(declarations: DataFrame, files: DataFrame, fqn: str, wanted: str, degraded: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """read_members() of one class, in order; a selector that can't be read is an error."""
+    S.parse_list(wanted)
+    asked = declarations.sparkSession.createDataFrame([(0, fqn, wanted, degraded)], "ask int, fqn string, selectors string, degraded string")
+    slices, misses = read_members(declarations, files, asked)
+    return slices.drop("ask").orderBy("selector_ord", "first"), misses.drop("ask")
 
 
 def read_source(files: DataFrame, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -286,7 +312,7 @@ def search_symbols(declarations: DataFrame, query: str, kind: str | None = None,
 def miss(entries: DataFrame, query: str, searched: DataFrame) -> DataFrame:
     """What to say when nothing was hit: the whole search for the simple name of query; if that finds nothing either, one
     row that says so. searched: how many artifacts were."""
-    hits = find_class(entries, query.replace("$", ".").rsplit(".", 1)[-1])
+    hits = find_class(entries, query.rsplit(".", 1)[-1])
     near = hits.select("fqn", "coordinates", F.lit(None).cast("string").alias("note"))
     nothing = near.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(None).cast("string").alias("fqn"), F.lit(None).cast("string").alias("coordinates"), F.lit(MISS_NOTE).alias("note"))
     return near.unionByName(nothing).crossJoin(F.broadcast(searched.agg(F.count("*").alias("searched"))))
@@ -296,14 +322,6 @@ def status(manifest: DataFrame, stale: bool) -> DataFrame:
     return manifest.select("resolvedAt", "dependencySetHash", F.size("artifacts").alias("artifact_count"), F.lit(stale).alias("stale"))
 
 
-def skeleton(outlined: DataFrame) -> DataFrame:
-    """An outline as indented text lines, each class before what it holds; indentation from the depth of the name."""
-    is_type = ~F.col("kind").isin(*SECTIONS["methods"], *SECTIONS["fields"])
-    depth = F.size(F.split("fqn", r"\.")) - F.min(F.size(F.split("fqn", r"\."))).over(Window.partitionBy("path")) + F.when(is_type, 0).otherwise(1)
-    body = F.concat(F.repeat(F.lit("  "), depth), F.when(F.col("javadoc").isNotNull(), F.concat(F.lit("/** "), T.doc_summary(F.col("javadoc")), F.lit(" */ "))).otherwise(""), "signature", F.when(is_type, " { … }").when(F.col("kind").isin(*SECTIONS["methods"]), " { … }").otherwise(";"))
-    return outlined.select("path", "line_start", body.alias("text")).orderBy("path", "line_start")
-
-
 def table_text(rows: DataFrame, columns: list[str], cell: int = 60, shown: int = 120) -> DataFrame:
     """Rows as aligned cells of one line each; widths are one aggregate over what is shown."""
     cells = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).limit(shown)

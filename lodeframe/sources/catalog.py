@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lodeframe.functions.names import is_cached_jar
 from lodeframe.functions.text import version_key
+from lodeframe.operators.order import numbered
 from lodeframe.operators.rank import first_nonempty, first_wins
 from lodeframe.schemas import ARTIFACT, DUMP, MANIFEST, MANIFEST_VERSION
 
 BEGIN, END = "<<<DEPENDENCIES", "DEPENDENCIES>>>"
-#: Most files of the caches that a scan looks at.
+#: Most files of the caches that a scan visits.
 SCAN_BUDGET = 20_000
 
 
@@ -75,12 +76,26 @@ def with_sibling_sources(arts: DataFrame, existing: DataFrame) -> DataFrame:
     return arts.drop("sourcesJar").join(there, beside == F.col("sourcesJar"), "left")
 
 
+def find_modules(files: DataFrame) -> DataFrame:
+    """(dir): folders of a project with a pom.xml, out of its files (path, relative to the root): one to three levels down,
+    none of them hidden."""
+    return files.filter(F.rlike("path", F.lit(r"^(?:[^./][^/]*/){1,3}pom\.xml$"))).select(F.regexp_replace("path", r"/pom\.xml$", "").alias("dir")).distinct()
+
+
 def module_dirs(modules: DataFrame, produced: DataFrame) -> DataFrame:
-    """modules (dir) with is_output: whether produced (path, of class paths) names their target/classes, whatever the case."""
-    outputs = produced.select(F.lower(F.regexp_replace("path", r"\\\\", "/")).alias("_output")).distinct()
+    """modules (dir) with is_output: whether produced (path, of class paths) names their target/classes, whatever the case
+    and whatever slashes it ends with."""
+    outputs = produced.select(F.lower(F.regexp_replace(F.translate("path", "\\", "/"), "/+$", "")).alias("_output")).distinct()
     return modules.join(outputs, F.lower(F.concat("dir", F.lit("/target/classes"))) == F.col("_output"), "left").withColumn("is_output", F.col("_output").isNotNull()).drop("_output")
 
 
+def reactor_artifacts(modules: DataFrame, root: str, project: str) -> DataFrame:
+    """Artifacts of modules (dir, below root; is_output) whose compiled output is on a class path: their own folders."""
+    relative = F.substring("dir", len(root.rstrip("/")) + 2, 1 << 30)
+    own = modules.filter("is_output")
+    return own.select(module_coordinates(F.lit(project), relative).alias("coordinates"), F.lit("compile+runtime+test").alias("configuration"), F.lit("module").alias("kind"), F.col("dir").alias("sourceDir"))
+
+
 def partial_note(modules: DataFrame) -> DataFrame:
     """One row (note) that names the modules (dir, is_output) without an output, or none: a reactor that failed in part."""
     missing = modules.filter(~F.col("is_output")).agg(F.array_join(F.array_sort(F.collect_list("dir")), ", ").alias("all"), F.count("*").alias("n"))
@@ -148,27 +163,43 @@ def from_classpath(lines: DataFrame, repository: str) -> DataFrame:
     return first_wins(named.select("ord", F.concat_ws(":", group, artifact, version).alias("coordinates"), F.col("path").alias("binaryJar")), ["coordinates"], ["ord"])
 
 
-def scan_caches(spark: SparkSession, maven: str | None, gradle: str | None, budget: int = SCAN_BUDGET) -> DataFrame:
-    """Artifacts of cache folders by file names alone, newest version of each, with what else was seen and a warning.
+def visited_files(spark: SparkSession, maven: str | None, gradle: str | None) -> DataFrame:
+    """(root, path, name, place): the files of both cache folders in the order of a walk, the repository before the cache.
 
-    At most budget files are looked at, in order; scan_warning() tells whether there were more.
+    A walk takes a folder's files by name, then its folders, the last one first.
     """
     found = None
-    for root, (path, pattern) in enumerate(((maven, r"(.+)/([^/]+)/([^/]+)/\2-\3(-sources)?\.jar$"), (gradle, r"([^/]+)/([^/]+)/([^/]+)/[0-9a-f]+/\2-\3(-sources)?\.jar$"))):
+    for root, path in enumerate((maven, gradle)):
         if path:
-            files = cached_files(spark, path).filter(is_cached_jar(F.col("path")))
             inside = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), "^" + path.rstrip("/") + "/", "")
-            group = F.translate(F.regexp_extract(inside, pattern, 1), "/", ".")
-            one = files.filter(F.rlike(inside, F.lit("^" + pattern))).select(F.lit(root).alias("root"), group.alias("g"), F.regexp_extract(inside, pattern, 2).alias("a"), F.regexp_extract(inside, pattern, 3).alias("v"), (F.regexp_extract(inside, pattern, 4) != "").alias("sources"), "path")
+            one = cached_files(spark, path).select(F.lit(root).alias("root"), "path", inside.alias("name"))
             found = one if found is None else found.unionByName(one)
-    files = found.orderBy("root", "path").limit(budget)
-    pick = lambda wanted: F.min(F.when(F.col("sources") == wanted, F.struct("root", "path"))).getField("path")
+    # files come before folders by a mark; of folders the hex digits are turned round, and an end mark is past all of them
+    parts = F.split("name", "/")
+    folder = lambda part: F.concat(F.lit("1"), F.translate(F.hex(part), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    turned = F.transform(parts, lambda part, k: F.when(k == F.size(parts) - 1, F.concat(F.lit("0"), part)).otherwise(folder(part)))
+    return numbered(found.withColumn("walk", F.array_join(turned, "/")), ["root", "walk", "path"]).drop("walk")
+
+
+def scan_caches(spark: SparkSession, maven: str | None, gradle: str | None, budget: int = SCAN_BUDGET) -> DataFrame:
+    """Artifacts of cache folders by file names alone, newest version of each, with what else was seen and a warning.
+
+    At most budget files are visited, whatever they are, in the order of a walk over both folders; scan_warning() tells
+    whether there were more.
+    """
+    visited = visited_files(spark, maven, gradle).filter(F.col("place") < budget).filter(is_cached_jar(F.col("path")))
+    two = (r"^(?:(.+)/)?([^/]+)/([^/]+)/\2-\3(-sources)?\.jar$", r"^([^/]+)/([^/]+)/([^/]+)/(?i:[0-9a-f]+)/\2-\3(-sources)?\.jar$")
+    part = lambda n: F.when(F.col("root") == 0, F.regexp_extract("name", two[0], n)).otherwise(F.regexp_extract("name", two[1], n))
+    group = F.when(F.col("root") == 0, F.translate(part(1), "/", ".")).otherwise(part(1))
+    named = visited.filter(F.when(F.col("root") == 0, F.rlike("name", F.lit(two[0]))).otherwise(F.rlike("name", F.lit(two[1]))))
+    files = named.select("root", "place", group.alias("g"), part(2).alias("a"), part(3).alias("v"), (part(4) != "").alias("sources"), "path")
+    pick = lambda wanted: F.min(F.when(F.col("sources") == wanted, F.struct("place", "path"))).getField("path")
     paired = files.groupBy("g", "a", "v").agg(pick(False).alias("binaryJar"), pick(True).alias("sourcesJar"))
     keyed = paired.withColumn("key", version_key(F.col("v")))
     every = keyed.groupBy("g", "a").agg(F.array_sort(F.collect_list(F.struct("key", "v", "binaryJar", "sourcesJar"))).alias("all"))
     best, others = F.element_at("all", -1), F.transform(F.slice("all", F.lit(1), F.size("all") - 1), lambda x: x["v"])
     coordinates = F.concat_ws(":", "g", "a", best["v"])
-    warning = F.when(F.size("all") > 1, F.concat(F.lit("multiple-versions:"), F.col("g"), F.lit(":"), F.col("a"), F.lit(" (kept "), best["v"], F.lit(", also saw "), F.array_join(F.reverse(others), ", "), F.lit(")")))
+    warning = F.when(F.size("all") > 1, F.concat(F.lit("multiple-versions:"), F.col("g"), F.lit(":"), F.col("a"), F.lit(" (kept "), best["v"], F.lit(", also saw "), F.array_join(others, ","), F.lit(")")))
     return every.select(coordinates.alias("coordinates"), F.lit("cache-scan").alias("kind"), best["binaryJar"].alias("binaryJar"), best["sourcesJar"].alias("sourcesJar"), warning.alias("warning"))
 
 
@@ -176,13 +207,10 @@ def cached_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
 
 
-def scan_warning(spark: SparkSession, roots: list[str], budget: int = SCAN_BUDGET) -> DataFrame:
-    """One row (warning) if the cache folders hold more files than a scan looks at."""
-    counts = None
-    for path in roots:
-        one = cached_files(spark, path).agg(F.count("*").alias("n"))
-        counts = one if counts is None else counts.unionByName(one)
-    return counts.agg(F.sum("n").alias("n")).filter(F.col("n") > budget).select(F.lit(f"cache-scan-truncated:{budget}").alias("warning"))
+def scan_warning(spark: SparkSession, maven: str | None, gradle: str | None, budget: int = SCAN_BUDGET) -> DataFrame:
+    """One row (warning) if the cache folders hold more files than a scan visits; it names the first that it does not."""
+    counts = visited_files(spark, maven, gradle).agg(F.count("*").alias("n"))
+    return counts.filter(F.col("n") > budget).select(F.lit(f"cache-scan-truncated:{budget + 1}").alias("warning"))
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
