@@ -125,10 +125,10 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     at = lambda level, role: F.struct(F.lit(role).alias("role"), (F.col("depth") + level).alias("level"))
     events = rows.withColumn("event", F.explode(F.array_compact(F.array(at(0, "own"), F.when(F.col("ends") == "{", at(1, "open")), F.when(F.col("ends") == "}", at(-1, "close")))))).select("*", "event.*").drop("event")
     order = Window.partitionBy("path", "level").orderBy("id")
-    upto, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    upto, after = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("path", "level").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     is_own = F.col("role") == "own"
     met = events.withColumns({
-        "around": F.last(F.when(F.col("role") == "open", F.col("id")), ignorenulls=True).over(upto), "closed": F.first(F.when(F.col("role") == "close", F.col("line_end")), ignorenulls=True).over(after),
+        "around": F.last(F.when(F.col("role") == "open", F.col("id")), ignorenulls=True).over(upto), "closed": F.last(F.when(F.col("role") == "close", F.col("line_end")), ignorenulls=True).over(after),
     }).filter(is_own)
     sibling = Window.partitionBy("path", "level", "around").orderBy("id")
     end = F.when(F.col("ends") == "{", F.col("closed")).otherwise(F.coalesce(F.when(F.col("ends") == ";", F.col("line_end")), "line_last", "line_end"))
@@ -140,7 +140,8 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def _named_types(rows: DataFrame) -> DataFrame:
-    """(path, id, fqn, kind, name, params) of the types among rows that no block but types' encloses."""
+    """(path, package, known) of files: known has id, fqn, kind, name and params of the types that no block but types'
+    encloses. One row a file, put together by a fold over its types."""
     package = F.max(F.when(F.rlike("rest", F.lit(r"^package\b")) & (F.col("depth") == 0), F.regexp_replace(F.regexp_extract("rest", r"^package\s+([^;]+)", 1), r"[\s`]", "")))
     header = in_parentheses(F.regexp_replace("rest", rf"(?s)^\w+\s+[\w$]+\s*(?:{_ANGLES})?", ""))["body"]
     record = F.when(F.col("type_kind") == "record", java_params(header))
@@ -153,8 +154,7 @@ def _named_types(rows: DataFrame) -> DataFrame:
         fqn = F.when(t["depth"] == 0, F.concat_ws(".", "package", t["name"])).when(F.size(F.filter(known, lambda o: o["id"] == t["around"])) > 0, F.concat_ws(".", outer["fqn"], t["name"]))
         return F.when(fqn.isNull(), known).otherwise(F.concat(known, F.array(F.struct(t["id"].alias("id"), fqn.alias("fqn"), t["kind"].alias("kind"), t["name"].alias("name"), t["params"].alias("params")))))
 
-    folded = files.withColumn("known", F.aggregate("types", start, step))
-    return folded.select("path", F.coalesce("package", F.lit("")).alias("package"), F.explode_outer("known").alias("t")).select("path", "package", "t.*")
+    return files.withColumn("known", F.aggregate("types", start, step)).select("path", F.coalesce("package", F.lit("")).alias("package"), "known")
 
 
 def _field_type(code: Column) -> Column:
@@ -294,12 +294,11 @@ def scan_declarations(files: DataFrame) -> DataFrame:
     """
     rows = _in_blocks(_headers(statements(files)))
     types = _named_types(rows)
-    outer = types.select("path", "package", F.col("id").alias("around"), F.col("fqn").alias("outer_fqn"), F.col("kind").alias("outer_kind"), F.col("name").alias("outer_name"), F.col("params").alias("outer_params"))
-    own = types.select("path", "id", F.col("fqn").alias("own_fqn"))
     base = F.regexp_replace(F.regexp_extract("path", r"([^/]*)\z", 1), r"(?i)\.kts?\z", "")
     facade = F.concat(F.when(F.regexp_replace(base, r"\W", "_") == "", "File").otherwise(F.regexp_replace(base, r"[^A-Za-z0-9_]", "_")), F.lit("Kt"))
-    packages = types.select("path", "package").distinct().withColumnRenamed("package", "of_package")
-    met = rows.filter(F.trim(F.col("rest")) != "").join(outer.drop("package"), ["path", "around"], "left").join(own, ["path", "id"], "left").join(packages, "path", "left")
+    of = lambda number: F.get(F.filter("known", lambda t: t["id"] == F.col(number)), F.lit(0))
+    joined = rows.filter(F.trim(F.col("rest")) != "").join(types, "path", "left").withColumns({"outer": of("around"), "own_fqn": of("id")["fqn"]}).drop("known")
+    met = joined.select("*", *[F.col(f"outer.{c}").alias(f"outer_{c}") for c in ("fqn", "kind", "name", "params")]).drop("outer")
     # a type whose block is none of a known type's is left out, and so is what stands in any other block
     reached = F.when(F.col("type_kind").isNotNull(), F.col("own_fqn").isNotNull()).otherwise(F.col("outer_fqn").isNotNull() | (F.col("kotlin") & (F.col("depth") == 0)))
     order = Window.partitionBy("path", "around").orderBy("id")
@@ -309,7 +308,7 @@ def scan_declarations(files: DataFrame) -> DataFrame:
     end = F.coalesce("m.last", F.when(F.col("ends") == "{", F.coalesce("closed", "line_end")), F.when(F.col("ends") == ";", F.col("line_end")), "line_last")
     doc = F.when(F.col("m.marks") > 0, F.get("docs", F.col("m.marks") - 1))
     top = F.col("kotlin") & F.col("outer_fqn").isNull() & ~F.col("m.of_own")
-    fqn = F.when(F.col("m.of_own"), F.col("own_fqn")).otherwise(F.coalesce("outer_fqn", F.concat_ws(".", F.nullif("of_package", F.lit("")), facade)))
+    fqn = F.when(F.col("m.of_own"), F.col("own_fqn")).otherwise(F.coalesce("outer_fqn", F.concat_ws(".", F.nullif("package", F.lit("")), facade)))
     is_type = F.col("m.of_own") & F.col("type_kind").isNotNull() & (F.col("m.selector") == F.col("name")) & (F.col("m.kind") == F.col("type_kind"))
     in_interface = is_type & F.col("outer_kind").isin("interface", "annotation")
     static = F.array_contains("m.words", "static") | (F.col("m.kind") == "enum-constant") | top | in_interface | F.array_contains("m.words", "companion") | (~F.col("m.of_own") & (F.col("outer_kind") == "object") & (F.col("m.kind") != "constructor"))

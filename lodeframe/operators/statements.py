@@ -52,11 +52,11 @@ def statements(files: DataFrame) -> DataFrame:
     code are kept: they end blocks.
     """
     order = Window.partitionBy("path").orderBy("i")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("path").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
     newline, code = F.col("token") == "\n", ~F.col("comment") & (F.col("token") != "\n")
     rows = tokens(files).withColumns({
         "code_before": F.last(F.when(code, F.col("token")), ignorenulls=True).over(before), "any_before": F.last(F.when(~F.col("comment"), F.col("token")), ignorenulls=True).over(before),
-        "code_after": F.first(F.when(code, F.col("token")), ignorenulls=True).over(after),
+        "code_after": F.last(F.when(code, F.col("token")), ignorenulls=True).over(after),
     })
     goes_on = F.rlike("code_before", F.lit(_GOES_ON_AFTER)) | F.coalesce(F.rlike("code_after", F.lit(_GOES_ON_BEFORE)), F.lit(False))
     ends_line = F.col("kotlin") & newline & ~F.coalesce(F.col("any_before").isin("\n", ";", "{", "}") | F.startswith("any_before", F.lit("@")), F.lit(True)) & ~goes_on
