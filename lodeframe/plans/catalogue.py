@@ -301,17 +301,6 @@ def json_props_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", k.alias("k")).filter("k >= 50")
 
 
-@query("""WITH asked(q) AS (VALUES ('NATION_7'), ('NATION_1'), ('NOWHERE')), hits AS (
-      SELECT q, count(n_name) AS n FROM asked LEFT JOIN nation ON n_name = q OR (q = 'NATION_1' AND starts_with(n_name, q)) GROUP BY q)
-    SELECT q, n, CASE WHEN n = 1 THEN 'unique' WHEN n = 0 THEN 'unknown artifact' ELSE 'ambiguous artifact' END AS status FROM hits""")
-def artifact_id_resolution(spark, sf_dir):
-    asked = spark.createDataFrame([("NATION_7",), ("NATION_1",), ("NOWHERE",)], "q string")
-    nation = table(spark, sf_dir, "nation").select("n_name")
-    fits = (F.col("n_name") == F.col("q")) | ((F.col("q") == "NATION_1") & F.startswith("n_name", "q"))
-    hits = asked.join(nation, fits, "left").groupBy("q").agg(F.count("n_name").alias("n"))
-    return hits.withColumn("status", F.when(F.col("n") == 1, "unique").when(F.col("n") == 0, "unknown artifact").otherwise("ambiguous artifact"))
-
-
 # -- lines and text -------------------------------------------------------------------------------------------------
 
 _LINES_SQL = """(SELECT doc_id, CASE WHEN text = '' THEN []::VARCHAR[] WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS lines FROM documents)"""
@@ -461,30 +450,43 @@ def locate_class(spark, sf_dir):
     return search.locate(class_entries(spark, sf_dir), "com.acme.economy.SmallRing").select("coordinates", F.array_join("alternatives", ",").alias("alternatives"))
 
 
-@query(f"""WITH {_CLASSES_SQL},
-    hits AS (SELECT coordinates, fqn, min(rank) AS rank, min(ord) AS ord, max(ord % 4 = 0) FILTER (true) AS any_source, first(ord % 4 = 0 ORDER BY ord) AS from_source FROM classes JOIN artifacts USING (coordinates)
-      WHERE regexp_replace(fqn, '^.*\\.', '') = 'BlueBolt' GROUP BY ALL),
-    numbered AS (SELECT *, row_number() OVER (ORDER BY rank, ord) AS k FROM hits)
-    SELECT coordinates, fqn, split_part(coordinates, ':', -1) AS version, CASE WHEN from_source THEN 'source' ELSE 'decompiled' END AS provenance,
+_HITS_SQL = lambda q: f"""{_CLASSES_SQL}, {scored_sql("classes", "ord", "fqn", q)},
+    tiers AS (SELECT coordinates, fqn, rank, ord, CASE WHEN fqn = '{q}' THEN 0 WHEN regexp_replace(fqn, '^.*\\.', '') = '{q}' THEN 2 ELSE 3 END AS tier FROM classes JOIN artifacts USING (coordinates)),
+    hits AS (SELECT *, 0 AS score FROM tiers WHERE tier < 3 UNION ALL (SELECT t.*, s.score FROM tiers t JOIN scored s ON s.key = t.ord WHERE tier = 3 ORDER BY s.score DESC, rank, ord LIMIT 20)),
+    once AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY coordinates, fqn ORDER BY tier, score DESC, rank, ord) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {_HITS_SQL("BlueBolt")}, numbered AS (SELECT *, row_number() OVER (ORDER BY tier, score DESC, rank, ord) AS k FROM once)
+    SELECT coordinates, fqn, split_part(coordinates, ':', -1) AS version, CASE WHEN ord % 4 = 0 THEN 'source' ELSE 'decompiled' END AS provenance, tier::INTEGER AS tier, score::INTEGER AS score,
       CASE WHEN k <= 24 AND starts_with(fqn, 'com.acme.promo') THEN 'interface' ELSE 'class' END AS kind FROM numbered""")
 def find_class_kinds(spark, sf_dir):
-    """A search with versions, what reading would yield, and the kinds of the first hits from their declarations."""
+    """A search over all tiers with versions, what reading would yield, and the kinds of the first hits from their declarations."""
     entries = class_entries(spark, sf_dir)
     kind = F.when(F.startswith("fqn", F.lit("com.acme.promo")), "interface").otherwise("class")
     declared = entries.select("coordinates", "fqn", F.substring_index("fqn", ".", -1).alias("selector"), kind.alias("kind"), F.col("entry_ord").alias("line_start"))
-    # the query is a whole simple name, so no fuzzy hit is wanted
-    hits = search.find_class(entries, "BlueBolt", limit=0, jvm=True, declarations=declared)
-    return hits.select("coordinates", "fqn", "version", "provenance", "kind")
+    hits = search.find_class(entries, "BlueBolt", jvm=True, declarations=declared)
+    return hits.select("coordinates", "fqn", "version", "provenance", "tier", "score", "kind")
 
 
-@query(f"""WITH RECURSIVE {_CLASSES_SQL},
-    firsts AS (SELECT coordinates, fqn, min(ord) AS ord FROM classes GROUP BY ALL)
-    SELECT DISTINCT fqn, coordinates, (SELECT count(*) FROM artifacts) AS searched FROM firsts WHERE regexp_replace(fqn, '^.*\\.', '') = 'RedRing'""")
+@query(f"""WITH RECURSIVE {_HITS_SQL("RedRing")} SELECT fqn, coordinates, (SELECT count(*) FROM artifacts) AS searched FROM once""")
 def miss_suggestions(spark, sf_dir):
-    """A class that is not there: the search for its simple name finds it in other packages."""
-    entries = class_entries(spark, sf_dir).filter("fqn like '%.RedRing'")
-    artifacts = class_entries(spark, sf_dir).select("coordinates").distinct()
-    return search.miss(entries, "org.elsewhere.RedRing", artifacts).select("fqn", "coordinates", "searched")
+    """A class that is not there: the search for its simple name, over all entries, finds it in other packages and what is
+    spelled nearly so."""
+    entries = class_entries(spark, sf_dir)
+    return search.miss(entries, "org.elsewhere.RedRing", entries.select("coordinates").distinct()).select("fqn", "coordinates", "searched")
+
+
+@query(f"""WITH {_ARTIFACTS_SQL}, asked AS (SELECT coordinates AS q FROM artifacts WHERE rank % 3 = 0 UNION SELECT split_part(coordinates, ':', 2) FROM artifacts UNION SELECT 'Brand-' || p_size FROM part)
+    SELECT q, n, CASE WHEN n = 1 THEN 'unique' WHEN n = 0 THEN 'unknown artifact' ELSE 'ambiguous artifact' END AS status, CASE WHEN n = 1 THEN c END AS coordinates FROM (
+      SELECT q, CASE WHEN max(a.coordinates = q) THEN 1 ELSE count(a.coordinates) END AS n, coalesce(max(CASE WHEN a.coordinates = q THEN q END), min(a.coordinates)) AS c
+      FROM asked LEFT JOIN artifacts a ON a.coordinates = q OR split_part(a.coordinates, ':', 2) = q GROUP BY q)""")
+def artifact_id_resolution(spark, sf_dir):
+    """What each of many queries means among the artifacts: whole coordinates, an id that one of them has, or none."""
+    artifacts = class_entries(spark, sf_dir).select("coordinates", "artifact_rank").distinct()
+    part = table(spark, sf_dir, "part")
+    by_size = part.select(F.concat(F.lit("Brand-"), F.col("p_size").cast("string")).alias("q"))
+    asked = artifacts.filter("artifact_rank % 3 = 0").select(F.col("coordinates").alias("q")).unionByName(artifacts.select(names.artifact_id(F.col("coordinates")).alias("q"))).unionByName(by_size)
+    return search.resolve_artifacts(artifacts, asked)
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,11 @@ def listing(artifacts: DataFrame, entries: DataFrame, existing: DataFrame) -> Da
     return backing.select("coordinates", "artifact_rank", F.col("b.path").alias("backing"), F.col("b.source").alias("source")).join(entries.drop("source"), F.col("backing") == F.col("archive"))
 
 
+def paths_of(artifacts: DataFrame) -> DataFrame:
+    """(coordinates, path) of every backing that artifacts have."""
+    return artifacts.select("coordinates", F.explode(F.array_compact(F.array("binaryJar", "sourcesJar", "sourceDir"))).alias("path"))
+
+
 def promised(artifacts_have: tuple[Column, Column, Column], jvm: bool) -> Column:
     """What reading a hit whole would yield, by the artifact's sourcesJar, sourceDir and binaryJar."""
     sources_jar, source_dir, binary_jar = artifacts_have
@@ -290,6 +295,18 @@ def resolve_artifact(artifacts: DataFrame, query: str) -> str:
     raise LookupError(f'unknown artifact "{query}": not in the resolved set ({artifacts.count()} artifacts)')
 
 
+def resolve_artifacts(artifacts: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (q) with status and coordinates: what each query means, by coordinates or else by the second part of them. Two
+    equi-joins, so both sides may grow; of an ambiguous query the number of artifacts it may mean is n."""
+    keyed = asked.select("q").distinct()
+    known = artifacts.select("coordinates", artifact_id(F.col("coordinates")).alias("_id"))
+    exact = keyed.join(known, F.col("q") == F.col("coordinates"), "left").groupBy("q").agg(F.max("coordinates").alias("exact"))
+    ids = known.groupBy("_id").agg(F.count("*").alias("n"), F.min("coordinates").alias("only"))
+    met = exact.join(ids, F.col("q") == F.col("_id"), "left").withColumn("n", F.when(F.col("exact").isNotNull(), 1).otherwise(F.coalesce("n", F.lit(0))).cast("long"))
+    status = F.when(F.col("n") == 1, "unique").when(F.col("n") == 0, "unknown artifact").otherwise("ambiguous artifact")
+    return met.select("q", "n", status.alias("status"), F.coalesce("exact", F.when(F.col("n") == 1, F.col("only"))).alias("coordinates"))
+
+
 def read_resource(entries: DataFrame, pattern: str) -> DataFrame:
     """Entries (archive, entry_ord, name, usize, is_dir) that the glob takes, with their text or why there is none."""
     from lodeframe.sources.archives import contents
