@@ -11,7 +11,10 @@ after a bracket that is never closed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lodeframe.functions import text as T
 from lodeframe.functions.brackets import in_parentheses, split_top_level
@@ -34,6 +37,12 @@ MEMBERS = (
 )
 
 
+def _kept(build: Callable[[], object]) -> Callable[[], object]:
+    """build, called once an application: expressions over names of columns are the same in every plan."""
+    of = functools.lru_cache(maxsize=2)(lambda application: build())
+    return lambda: of(SparkSession.active().sparkContext.applicationId)
+
+
 def tight(text: Column) -> Column:
     """text with blanks only between words, and after ? before a word."""
     bare = F.regexp_replace(F.trim(F.regexp_replace(text, rf"[\s{_MARKS}]+", " ")), r"\s*([^\w\s$?`])\s*", "$1")
@@ -165,9 +174,10 @@ def _field_type(code: Column) -> Column:
     return F.when(F.rlike(kind, F.lit(r"^[A-Za-z_$][\w$.<>\[\],?& ]*$")) & ~F.rlike(kind, F.lit(rf"^(?:{_OTHERS})\b")), kind).otherwise("")
 
 
-def _with_parts(rows: DataFrame) -> DataFrame:
-    """rows with what their members are made of, each computed once: what stands in parentheses, the types of parameters,
-    and declarators with their places."""
+@_kept
+def _part_columns() -> list[dict[str, Column]]:
+    """What members are made of, each computed once, in the order in which one needs the other: what stands in parentheses,
+    the types of parameters, and declarators with their places."""
     rest, k, is_type = F.col("rest"), F.col("kotlin"), F.col("type_kind").isNotNull()
     after_name = F.regexp_replace(rest, rf"(?s)^\w+\s*(?:{_KOTLIN_NAME})?\s*(?:{_ANGLES})?\s*(?:(?:public|private|protected|internal)\s+)*(?:constructor\b)?", "")
     header = F.when(F.rlike(after_name, F.lit(r"^\s*\(")), in_parentheses(after_name))
@@ -176,19 +186,19 @@ def _with_parts(rows: DataFrame) -> DataFrame:
     record = in_parentheses(F.regexp_replace(rest, rf"(?s)^\w+\s+[\w$]+\s*(?:{_ANGLES})?", ""))
     inner = F.when(k & is_type, header).when(k & F.rlike(rest, F.lit(r"^fun\b")), call).when(k & F.rlike(rest, F.lit(r"^constructor\b")), in_parentheses(rest))
     inner = inner.when(~k & is_type & (F.col("type_kind") == "record"), record).when(~k & ~is_type & F.rlike(rest, F.lit(r"(?s)^[^(=]*\(")), in_parentheses(rest))
-    parted = rows.withColumn("signed", F.when(k, signed)).withColumn("inner", inner)
     begins = F.col("line_start") - newlines(F.regexp_extract("code", rf"^([\s{_MARKS}]*)", 1))
     in_header = F.col("line_start") + newlines(F.regexp_replace(F.regexp_extract("code", r"(?s)^([^(]*\()", 1), rf"^[\s{_MARKS}]*", ""))
     listing = (F.col("outer_kind") == "enum") & ~F.col("listed")
     is_list = ~is_type & (listing | (~k & F.col("outer_kind").isNotNull() & F.col("inner").isNull()))
-    typed = parted.withColumns({
+    typed = {
         "params": F.when(F.col("inner").isNotNull(), F.when(k, kotlin_params(F.col("inner.body"))).otherwise(java_params(F.col("inner.body")))),
         "parts": F.when(is_list, split_top_level(F.col("code"))).when(k & is_type, split_top_level(F.col("inner.body"))),
         "field_type": F.when(is_list & ~k, _field_type(F.when(F.startswith(F.trim(rest), F.lit(",")), F.col("led.code")).otherwise(F.col("code")))),
-    })
-    return typed.withColumn("parts", _located(F.col("parts"), F.when(is_list, begins).otherwise(in_header)))
+    }
+    return [{"signed": F.when(k, signed)}, {"inner": inner}, typed, {"parts": _located(F.col("parts"), F.when(is_list, begins).otherwise(in_header))}]
 
 
+@_kept
 def _java_members() -> Column:
     """What a statement in a Java type declares."""
     outer, rest, words, params = F.col("outer_name"), F.col("rest"), F.col("words"), F.col("params")
@@ -242,6 +252,7 @@ def _constants(parts: Column, end: Column) -> Column:
     return F.filter(F.transform(parts, constant), lambda m: m["selector"] != "")
 
 
+@_kept
 def _kotlin_members() -> Column:
     """What a statement in a Kotlin type, or at the top of a Kotlin file, declares."""
     rest, words, params, signed = F.col("rest"), F.col("words"), F.col("params"), F.col("signed")
@@ -303,7 +314,9 @@ def scan_declarations(files: DataFrame) -> DataFrame:
     reached = F.when(F.col("type_kind").isNotNull(), F.col("own_fqn").isNotNull()).otherwise(F.col("outer_fqn").isNotNull() | (F.col("kotlin") & (F.col("depth") == 0)))
     order = Window.partitionBy("path", "around").orderBy("id")
     listed = F.coalesce(F.max(F.col("ends") == ";").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    known = _with_parts(met.filter(reached).withColumn("listed", listed))
+    known = met.filter(reached).withColumn("listed", listed)
+    for columns in _part_columns():
+        known = known.withColumns(columns)
     each = known.withColumn("m", F.explode(F.when(F.col("kotlin"), _kotlin_members()).otherwise(_java_members())))
     end = F.coalesce("m.last", F.when(F.col("ends") == "{", F.coalesce("closed", "line_end")), F.when(F.col("ends") == ";", F.col("line_end")), "line_last")
     doc = F.when(F.col("m.marks") > 0, F.get("docs", F.col("m.marks") - 1))

@@ -7,6 +7,18 @@ from lodeframe.plans import answers
 SOURCE = "package p;\nimport java.util.List;\n\n/** Outer. */\npublic class A {\n  private int x;\n  /** Does. */\n  public void m(int a,\n      String b) {\n  }\n  static class In { void n() { } }\n}\n"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def interpreted(spark):
+    """Plans are many and rows few here: compiling each plan would take most of the time."""
+    own = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture(scope="module")
 def project(spark):
     arts = [("g:src:1", 0, "external", None, "/a.jar", "/a-s.jar", None), ("g:lost:1", 1, "external", None, "/gone.jar", None, None), ("g:bin:2", 2, "external", None, "/b.jar", None, None), ("g:bin:3", 3, "external", None, "/c.jar", None, None),
