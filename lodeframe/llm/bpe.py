@@ -14,6 +14,7 @@ come from here.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import os
@@ -33,7 +34,7 @@ NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"},
 #: Texts with characters below it only are normalised and split here, as the file says (a test tries each of them).
 LATIN = "ɐ"
 #: Texts looked at together; bytes of remembered words beyond which they are forgotten; longest word that is remembered.
-TOGETHER, HELD, LONGEST = 250, 40_000_000, 64
+TOGETHER, HELD, LONGEST = 250, 36_000_000, 64
 #: Symbols up to which the next merge is looked for among all pairs.
 SHORT = 40
 #: A rank after all merges.
@@ -200,9 +201,6 @@ class WordBpe:
             raise ValueError(f"{path} has added tokens that depend on what stands around them")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda text: [text]
         self.letters = byte_letters()
-        vocabulary = dict.fromkeys(range(max([*model["vocab"].values(), *(t["id"] for t in form["added_tokens"])]) + 1), "")
-        vocabulary |= {k: t for t, k in model["vocab"].items()} | {t["id"]: t["content"] for t in form["added_tokens"]}
-        self.tokens = pa.array(list(vocabulary.values()), pa.string())
         self.known: dict[str, bytes] = {}  # word -> its ids; before words of the library stands a blank
         self.held = 0
 
@@ -231,8 +229,11 @@ class WordBpe:
             parts = [[(p, None) if p in self.added else (None, self._split(p)) for p in self.cut(text) if p] for text in texts[at : at + TOGETHER]]
             new = {w for text in parts for _, words in text for w in words or ()} - self.known.keys()
             once = self._learn(list(new)) if new else {}
-            ids = {**self.known, **once}.__getitem__ if once else self.known.__getitem__
+            self.known.update(once)
+            ids = self.known.__getitem__
             out += [b"".join([self.added[a] if a else b"".join(map(ids, words)) for a, words in text]) for text in parts]
+            for word in once:
+                del self.known[word]
         return out
 
 
@@ -241,6 +242,15 @@ def coder(path: str) -> WordBpe:
     return _CODERS.get(path) or _CODERS.setdefault(path, WordBpe(path))
 
 
+@functools.lru_cache(maxsize=2)
+def token_strings(path: str) -> pa.Array:
+    """The token of each id of a tokenizer file; decoding needs no more of it."""
+    with open(path, encoding="utf-8") as file:
+        form = json.load(file)
+    known = {k: t for t, k in form["model"]["vocab"].items()} | {t["id"]: t["content"] for t in form["added_tokens"]}
+    return pa.array([known.get(k, "") for k in range(max(known) + 1)], pa.string())
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """id_col and ids (array of int) of every row of docs."""
     path = tokenizer or vocabulary_path()
@@ -268,7 +278,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str | None = Non
     @F.pandas_udf("string")
     def text_of(ids):
         lists = pa.array(ids, pa.list_(pa.int32()))
-        tokens = pa.ListArray.from_arrays(lists.offsets, coder(path).tokens.take(lists.values)) if len(lists) else lists.cast(pa.list_(pa.string()))
+        tokens = pa.ListArray.from_arrays(lists.offsets, token_strings(path).take(lists.values)) if len(lists) else lists.cast(pa.list_(pa.string()))
         return pc.if_else(lists.is_valid(), pc.binary_join(tokens, " "), None).to_pandas()
 
     return encoded.withColumn(name, text_of(F.col(f"`{ids_col}`")))

@@ -6,8 +6,9 @@ language with the highest cosine is predicted. Bundles are sums, so a text's pro
 trigrams' products: those are tabulated once per process, and prediction only looks them up.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is every text when nothing could be
-learned; rows with null lang teach nothing; ties go to the language first by code point; an empty table gives an empty
-result.
+learned; rows with null lang teach nothing; ties go to the language first by code point; a very long text is bundled whole;
+rows that repeat or share an id are predicted each for itself, and teach as often as they are there; columns besides those
+named are not looked at, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ side. Groups of equal texts stay in one shard: large ones are dealt to shards fi
 Only a group that no shard has room for is split, at ids.
 
 Defined cases: a null text counts as no bytes and groups with empty ones; repeated rows have equal keys and each gets a
-slot of its own; a null id has a key as any other; a very long text may fill a shard on its own; columns of docs other
-than the two named are carried or left alone; an empty table gives an empty result.
+slot of its own; ties of the key are rows alike in id and text, of which any may have any of their slots; a null id has a
+key as any other; a very long text may fill a shard on its own; columns of docs other than the two named are carried or
+left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
