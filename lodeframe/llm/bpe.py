@@ -34,7 +34,7 @@ NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"},
 #: Texts with characters below it only are normalised and split here, as the file says (a test tries each of them).
 LATIN = "ɐ"
 #: Texts looked at together; bytes of remembered words beyond which they are forgotten; longest word that is remembered.
-TOGETHER, HELD, LONGEST = 250, 36_000_000, 64
+TOGETHER, HELD, LONGEST = 250, 28_000_000, 64
 #: Symbols up to which the next merge is looked for among all pairs.
 SHORT = 40
 #: A rank after all merges.
@@ -251,23 +251,29 @@ def token_strings(path: str) -> pa.Array:
     return pa.array([known.get(k, "") for k in range(max(known) + 1)], pa.string())
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """id_col and ids (array of int) of every row of docs."""
+def _joined(lists: pa.ListArray, path: str) -> pa.Array:
+    """The text of each list of ids: its tokens with a blank between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, token_strings(path).take(lists.values)), " ")
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, with_text: bool = False) -> DataFrame:
+    """id_col and ids (array of int) of every row of docs; with_text adds decoded, what decode() would, in the same pass."""
     path = tokenizer or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 ids = code(texts)
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "ids"])
+                more = [_joined(lists, path)] if with_text else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, *more], names=["id", "ids", "decoded"][: 2 + len(more)])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return slim(docs, id=id_col, text=text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>" + ", decoded string" * with_text
+    return slim(docs, id=id_col, text=text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str | None = None, name: str = "decoded") -> DataFrame:
@@ -278,7 +284,6 @@ def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str | None = Non
     @F.pandas_udf("string")
     def text_of(ids):
         lists = pa.array(ids, pa.list_(pa.int32()))
-        tokens = pa.ListArray.from_arrays(lists.offsets, token_strings(path).take(lists.values)) if len(lists) else lists.cast(pa.list_(pa.string()))
-        return pc.if_else(lists.is_valid(), pc.binary_join(tokens, " "), None).to_pandas()
+        return pc.if_else(lists.is_valid(), _joined(lists, path), None).to_pandas()
 
     return encoded.withColumn(name, text_of(F.col(f"`{ids_col}`")))

@@ -66,7 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
+    out = bpe.encode(read(spark, sf_dir, "documents"), with_text=True)
     digits = F.array_join(F.transform("ids", lambda k: k.cast("string")), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
