@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import WS, free_names, slim, word_list
 
-#: About so many rows, drawn by a hash from all, are what costs and selectivities are estimated on; they set the order of
+#: About so many rows, drawn from all, are what costs and selectivities are estimated on; they set the order of
 #: work only.
 SAMPLE_ROWS = 400
 
@@ -119,17 +119,21 @@ def _nanos() -> Column:
     return F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
 
 
+def drawn(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text) of about so many rows of docs, all if there are fewer. Rows are drawn each for itself: copies of a text are
+    drawn no more often than others, whatever their number."""
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    share = rows / max(1, docs.count())
+    return texts.filter(F.rand(0) < share) if share < 1 else texts
+
+
 def ordered_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """rules by the share of a sample that each rejects per time of its own, best first.
 
-    The sample is drawn by a hash, stays in the executors, and each rule is timed there, row by row, against an expression
-    that does nothing; two numbers a rule reach the driver.
+    The sample stays in the executors, and each rule is timed there, row by row, against an expression that does nothing;
+    two numbers a rule reach the driver.
     """
-    share = sample_rows / max(1, docs.count())
-    drawn = docs.select(F.col(f"`{text_col}`").alias("text"))
-    if share < 1:
-        drawn = drawn.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
-    sample = base_counts(drawn, "text", "text").filter("not base_failed").drop("id").persist()
+    sample = base_counts(drawn(docs, text_col, sample_rows), "text", "text").filter("not base_failed").drop("id").persist()
 
     def timed(predicate: Column) -> tuple[float, float]:
         # the clock makes the struct nondeterministic, so the optimizer leaves it whole and its fields in order

@@ -13,15 +13,26 @@ TEXTS = {
 }
 
 
-def test_products_are_those_of_bundles():
-    letters = L.letter_vectors()
-    codes, n = np.unique(L.trigrams("Der Hund, ÄPFEL und 7 Birnen"), return_counts=True)
-    prototype = L.bundle(L.trigrams("und der hund"), np.ones(len(L.trigrams("und der hund"))), letters)
-    prototype /= np.linalg.norm(prototype)
-    direct = L.bundle(codes, n.astype(float), letters) @ prototype
-    assert abs(n @ L.Profiles(["x"], prototype[None]).products()[codes, 0] - direct) < 1e-2
-    length = np.linalg.norm(L.bundle(codes, n.astype(float), letters))
-    assert abs(length / (np.sqrt(L.DIMENSIONS) * np.linalg.norm(n)) - 1) < 0.25
+def bundled(text):
+    """The text's bundle trigram by trigram, out of vectors that are rotated here."""
+    letters = L.letter_vectors()[2].astype(float)
+    out = np.zeros(L.DIMENSIONS)
+    for code in L.trigrams(text):
+        a, b, c = code // L.SYMBOLS**2, code // L.SYMBOLS % L.SYMBOLS, code % L.SYMBOLS
+        out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+    return out
+
+
+def test_bundles_are_sums_of_bound_letters(monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 4)  # more than one block
+    for text in ("Der Hund, ÄPFEL und 7 Birnen", "и собака 犬 и кот", "a", "", None, "12"):
+        assert np.array_equal(L.bundle(text), bundled(text))
+
+
+def test_letters_of_other_scripts_have_classes_of_their_own():
+    for script in (range(0x410, 0x450), range(0x5D0, 0x5EB), range(0x3041, 0x30FB), range(0x621, 0x64B)):
+        classes = {int(L._classes()[cp]) for cp in script if chr(cp).isalpha()}
+        assert len(classes) == sum(chr(cp).isalpha() for cp in script)
 
 
 def test_trigrams():
@@ -41,22 +52,21 @@ def test_languages(spark):
     assert L.predict(asked.limit(0), profiles).count() == 0
 
 
-def test_predictions_match_whole_bundles(spark):
-    """predict() looks products up and takes a bundle's length as that of orthogonal vectors; here bundles are made."""
+def test_predictions_are_cosines_of_bundles(spark):
     rows = [(k * 10 + i, t, lang) for i, (lang, ts) in enumerate(TEXTS.items()) for k, t in enumerate(ts)]
     profiles = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
-    letters = L.letter_vectors()
-    asked = [t for ts in TEXTS.values() for t in ts] + ["the knochen", "ou est le hund", "x", "É", "and " * 20_000, "den den den und"]
+    for lang, prototype in zip(profiles.languages, profiles.prototypes, strict=True):
+        whole = sum(bundled(t) / np.linalg.norm(bundled(t)) for t in TEXTS[lang])
+        assert np.allclose(prototype, whole / np.linalg.norm(whole), atol=1e-5)
+    asked = [t for ts in TEXTS.values() for t in ts] + ["the knochen", "ou est le hund", "x", "É", "and " * 5_000, "den den den und"]
     table = spark.createDataFrame([(k, t, "clash", 1.0) for k, t in enumerate(asked)] * 2, "doc_id long, text string, lang_pred string, score double")
     out = L.predict(table, profiles).collect()
     assert len(out) == 2 * len(asked)
     for r in out:
-        codes, n = np.unique(L.trigrams(asked[r.doc_id]), return_counts=True)
-        own = L.bundle(codes, n.astype(float), letters)
-        products = profiles.prototypes @ own
-        assert abs(products.max() - products[profiles.languages.index(r.lang_pred)]) < 1e-3 * np.linalg.norm(own)
-        cosine = min(1.0, max(0.0, products.max() / np.linalg.norm(own)))
-        assert abs(r.score - cosine) < 0.3
+        own = bundled(asked[r.doc_id])
+        cosines = profiles.prototypes @ own / np.linalg.norm(own)
+        assert abs(cosines.max() - cosines[profiles.languages.index(r.lang_pred)]) < 1e-9
+        assert abs(r.score - min(1.0, max(0.0, cosines.max()))) < 1e-6
 
 
 def test_held_out_is_crc32(spark):

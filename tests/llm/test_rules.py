@@ -1,10 +1,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from brute import brute_counts
 from lodeframe.llm import url_filter as U
-from lodeframe.llm.quality import RULES, Rule, first_failure, keep_good, ordered_rules, quality_cascade
+from lodeframe.llm.quality import RULES, SAMPLE_ROWS, Rule, drawn, first_failure, keep_good, ordered_rules, quality_cascade
 from lodeframe.llm.url_filter import filter_urls, rule_index
 
 PROSE = "It was a quiet morning in the old town and nobody had yet opened the shutters of the small houses along the river"
@@ -26,7 +27,6 @@ def test_order_changes_no_verdict(spark):
     assert {0, 10, 12 - 12} <= kept and not kept & {1, 2, 3, 4, 6, 7, 8, 11, 13}
     assert kept == {r.doc_id for r in quality_cascade(docs, RULES[::-1]).filter("kept").collect()} == {r.doc_id for r in keep_good(docs).collect()}
     assert {r.name for r in ordered_rules(docs, RULES)} == {r.name for r in RULES}
-    from pyspark.sql import functions as F
 
     slow = Rule("slow", lambda: F.length(F.regexp_replace(F.repeat("text", 50), r"\p{L}", "")) < 0)
     rare = Rule("rare", lambda: F.lit(False))
@@ -34,9 +34,43 @@ def test_order_changes_no_verdict(spark):
     assert quality_cascade(docs.limit(0)).count() == 0 and quality_cascade(docs, []).count() == len(TEXTS)
 
 
+def words(n, length=5, start=0):
+    """n different words of so many small letters."""
+    return ["".join(chr(97 + (k // 26**p) % 26) for p in range(length)) for k in range(start, start + n)]
+
+
+#: Texts that just meet a threshold, each with one that is just past it.
+AT_LIMITS = {
+    "base words": (" ".join(words(20)), " ".join(words(19))),
+    "base windows": (" ".join(words(9) * 2 + words(42, start=100)), " ".join(words(9) * 2 + words(41, start=100))),
+    "symbols": (" ".join(words(20)) + "#*$%&|", " ".join(words(20)) + "#*$%&|<"),
+    "duplicate_lines": ("\n".join([" ".join(words(20))] + ["line"] * 4), "\n".join([" ".join(words(20))] + ["line"] * 5)),
+    "word_length low": (" ".join(words(20, 2)), " ".join(words(19, 2) + ["a"])),
+    "word_length high": (" ".join(words(20, 15)), " ".join(words(19, 15) + ["z" * 16])),
+    "shouting": (" ".join(w[:3].upper() + w[3:] for w in words(20)), " ".join([w[:3].upper() + w[3:] for w in words(19)] + ["ZZZZy"])),
+    "few_letters": (" ".join(w + "123" for w in words(20, 3)), " ".join([w + "123" for w in words(19, 3)] + ["zzz1234"])),
+    "exclamations": (" ".join(words(20)) + "!" * 10, " ".join(words(20)) + "!" * 11),
+}
+
+
+def test_texts_at_a_threshold_pass_and_texts_past_it_do_not(spark):
+    rows = [(name, past, pair[past]) for name, pair in AT_LIMITS.items() for past in (0, 1)]
+    docs = spark.createDataFrame([(k, text) for k, (_, _, text) in enumerate(rows)], "doc_id int, text string")
+    for r in quality_cascade(docs).collect():
+        name, past, _ = rows[r.doc_id]
+        assert r.failed_rule == (name.split()[0] if past else None), name
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    docs = spark.range(40_000, numPartitions=4).select("id", F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.col("id").cast("string")).alias("text"))
+    rows = drawn(docs).collect()
+    assert SAMPLE_ROWS * 0.7 < len(rows) < SAMPLE_ROWS * 1.4
+    assert 0.2 < sum(r.text == "the same text" for r in rows) / len(rows) < 0.5
+    assert drawn(docs.limit(50)).count() == 50 and drawn(docs.limit(0)).count() == 0
+
+
 def test_first_failure_stops(spark):
     from lodeframe.llm.quality import Rule
-    from pyspark.sql import functions as F
 
     rules = [Rule("a", lambda: F.lit(True)), Rule("b", lambda: F.raise_error(F.lit("evaluated")).cast("boolean"))]
     assert spark.range(1).select(first_failure(rules).alias("x")).first().x == "a"
