@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -10,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters between words, as a Java regular-expression class body.
@@ -185,6 +188,16 @@ def runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[dict[str,
         yield whole()
 
 
+def release_memory() -> None:
+    """Hand what this Python process has freed back to the system. Workers outlive their tasks, so what one step's arrays
+    took counts against the executor while the next step runs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def frames(parts: Iterator[dict[str, np.ndarray]], rows: int = 20_000) -> Iterator[pd.DataFrame]:
     """Arrays by column, put together to frames of about so many rows: each frame that leaves a task has its price."""
     held: list[dict[str, np.ndarray]] = []

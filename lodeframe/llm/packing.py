@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import broadcast_below, checkpoint, permutation, slim, stored
+from .common import broadcast_below, checkpoint, permutation, release_memory, slim, stored
 from .token_ids import TokenIds
 
 CAPACITY, END_ID = 2048, 0
@@ -68,6 +68,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     path = tokenizer or vocabulary_path()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_memory()
         encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, TokenIds(path))
         task, row, seen = TaskContext.get().partitionId(), 0, np.zeros(capacity + 1, dtype=np.int64)
         for whole in batches:
@@ -85,6 +86,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                     row += 1
                 frame = pd.DataFrame(out, columns=["id", "row_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]).astype({"id": batch["id"].dtype})
                 yield frame.assign(task=task, place=_places(frame["length"].to_numpy(), seen))
+            release_memory()
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, row_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", task int, place long"

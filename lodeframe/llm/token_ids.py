@@ -17,8 +17,9 @@ import numpy as np
 
 from .bpe import byte_letters
 
-#: Characters and ids of remembered words, in bytes, beyond which they are forgotten; texts looked at together.
-HELD, TOGETHER = 14_000_000, 250
+#: Characters and ids of remembered words, in bytes, beyond which they are forgotten (what holds them takes about seven
+#: times as much); texts looked at together.
+HELD, TOGETHER = 7_000_000, 250
 #: Words below LATIN are split alike by any version of the character tables; longer ones than LONGEST go to the tokenizer.
 LATIN, LONGEST = "ɐ", 200
 _NEIGHBOURS = re.compile(r"\s\s").search
