@@ -9,6 +9,8 @@ from lodeframe.functions.names import is_exact, is_suffix, simple_name
 
 #: Hits of the fuzzy tier that a search returns, and of a member search.
 NAME_LIMIT, MEMBER_LIMIT = 20, 50
+#: Lower-case letters and digits, a bit each in letters(), and the parts that the names under one letter are dealt to.
+KNOWN, PARTS = "abcdefghijklmnopqrstuvwxyz0123456789", 64
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -50,9 +52,8 @@ def tiered_search(names: DataFrame, name: str, query: str, order: list[str], lim
 def letters(name: Column) -> Column:
     """The lower-case letters and digits of a name as bits of a long; other characters share one bit."""
     low = F.lower(name)
-    known = "abcdefghijklmnopqrstuvwxyz0123456789"
-    held = [F.when(F.contains(low, F.lit(c)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, c in enumerate(known)]
-    out = F.when(F.rlike(low, F.lit("[^a-z0-9]")), F.lit(1 << len(known))).otherwise(F.lit(0)).cast("long")
+    held = [F.when(F.contains(low, F.lit(c)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, c in enumerate(KNOWN)]
+    out = F.when(F.rlike(low, F.lit("[^a-z0-9]")), F.lit(1 << len(KNOWN))).otherwise(F.lit(0)).cast("long")
     for bit in held:
         out = out.bitwiseOR(bit)
     return out
@@ -61,22 +62,26 @@ def letters(name: Column) -> Column:
 def search_many(names: DataFrame, name: str, queries: DataFrame, query: str, order: list[str], limit: int = NAME_LIMIT) -> DataFrame:
     """The best `limit` fuzzy hits of every query (queries: query, any more) among names, with score and rn.
 
-    A name is tried only if it holds all letters of the query: names lie under each letter they hold, queries under the one
-    that the fewest names hold, so a query meets no other names; of these the letters as bits drop more before the fold over
-    positions is taken, and each task keeps `limit` hits a query. Queries without a letter or digit meet nothing but under
-    the mark for other characters; an empty or null query has no hits.
+    A name is tried only if it holds all letters of the query: names lie under each letter that some query looks under,
+    queries under the one of theirs that the fewest names hold, so a query meets no other names; of these the letters as
+    bits drop more before the score is taken, and each task keeps `limit` hits a query. Names under one letter are dealt
+    to PARTS parts, each of which has the letter's queries. Two rows are broadcast; both sides of the join may be of any
+    size and are merged, as what a table takes as a file says little of its names by letter. Queries without a letter or
+    digit meet nothing but under the mark for other characters; an empty or null query has no hits.
     """
-    known = "abcdefghijklmnopqrstuvwxyz0123456789"
+    marks = range(len(KNOWN) + 1)
+    split = lambda has: F.filter(F.sequence(F.lit(0), F.lit(len(KNOWN))), lambda k: F.call_function("getbit", has, k) == 1)
     marked = names.withColumn("_has", letters(F.col(name)))
-    split = lambda has: F.filter(F.sequence(F.lit(0), F.lit(len(known))), lambda k: F.call_function("getbit", has, k) == 1)
-    under = marked.withColumn("_letter", F.explode(split(F.col("_has"))))
-    counts = under.groupBy("_letter").agg(F.count("*").alias("_n"))  # a row a letter
-    wanted = queries.filter(F.length(query) > 0).withColumn("_wants", letters(F.col(query))).withColumn("_q", F.monotonically_increasing_id())
-    rarest = wanted.select("_q", F.explode(split(F.col("_wants"))).alias("_letter")).join(F.broadcast(counts), "_letter", "left")
-    one = rarest.groupBy("_q").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), "_letter")).getField("_letter").alias("_letter"))
-    asked = wanted.join(one, "_q").drop("_q")
-    met = asked.join(under, "_letter").filter(F.col("_wants").bitwiseAND(F.col("_has")) == F.col("_wants"))
-    scored = met.withColumn("score", fuzzy_score(F.col(query), F.col(name))).filter("score is not null").drop("_letter", "_has", "_wants")
+    held = [F.coalesce(F.sum(F.call_function("getbit", F.col("_has"), F.lit(k)).cast("long")), F.lit(0)) for k in marks]
+    wanted = queries.filter(F.length(query) > 0).withColumn("_wants", letters(F.col(query))).crossJoin(F.broadcast(marked.agg(F.array(*held).alias("_held"))))
+    rarest = F.array_min(F.transform(split(F.col("_wants")), lambda k: F.struct(F.get("_held", k).alias("n"), k.alias("letter"))))["letter"]
+    asked = wanted.withColumn("_letter", rarest).drop("_held")
+    used = asked.agg(F.bit_or(F.expr("shiftleft(1L, _letter)")).alias("_used"))
+    under = marked.crossJoin(F.broadcast(used)).withColumn("_letter", F.explode(split(F.col("_has").bitwiseAND(F.col("_used"))))).drop("_used")
+    dealt = under.withColumn("_part", F.pmod(F.xxhash64(name, *order), F.lit(PARTS)).cast("int"))
+    everywhere = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = everywhere.hint("merge").join(dealt, ["_letter", "_part"]).filter(F.col("_wants").bitwiseAND(F.col("_has")) == F.col("_wants"))
+    scored = met.withColumn("score", fuzzy_score(F.col(query), F.col(name))).filter("score is not null").drop("_letter", "_part", "_has", "_wants")
     return top_per_key(scored, [query], [F.desc("score"), *order], limit)
 
 
@@ -84,7 +89,7 @@ def member_search(members: DataFrame, name: str, query: str, order: list[str], l
     """Best `limit` members by tier (equal, prefix, else), score and order; the tiers mind case, the score does not."""
     n, q = F.col(name), F.lit(query)
     level = F.when(n == q, 0).when(F.startswith(n, q), 1).otherwise(2)
-    scored = members.withColumn("score", fuzzy_score(q, n)).filter("score is not null").withColumn("tier", level)
+    scored = members.withColumn("score", fuzzy_score(F.lit(query), n)).filter("score is not null").withColumn("tier", level)
     return scored.orderBy("tier", F.desc("score"), *order).limit(limit)
 
 

@@ -182,6 +182,15 @@ def test_many_searches_equal_one_by_one(spark, sf_dir):
         assert sorted(got.get(q, [])) == [(k, r.p_partkey, r.score) for k, r in enumerate(one, 1)], q
 
 
+def test_many_searches_broadcast_no_names(spark, sf_dir):
+    """However small the file is: of names only one row of counts is broadcast, and names lie under no letter that is not asked for."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    found = rank.search_many(part, "p_name", spark.createDataFrame([("red",), ("ring",)], "q string"), "q", ["p_partkey"], 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_letter" in plan and "BroadcastHashJoin" not in plan
+    assert found.count() > 0
+
+
 def test_numbered_and_budget(spark, tmp_path):
     rows = spark.createDataFrame([((k * 37) % 500, k % 3) for k in range(500)], "a int, b int").repartition(7)
     assert [r.a for r in numbered(rows, ["a"]).orderBy("place").collect()] == list(range(500))
