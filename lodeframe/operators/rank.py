@@ -43,7 +43,7 @@ def tier(name: Column, query: str) -> Column:
 def tiered_search(names: DataFrame, name: str, query: str, order: list[str], limit: int = NAME_LIMIT) -> DataFrame:
     """Rows whose name is hit, with tier and score; tiers 0 to 2 whole, tier 3 the best `limit` by score, then order."""
     ranked = names.withColumn("tier", tier(F.col(name), query))
-    scored = ranked.withColumn("score", F.when(F.col("tier") == 3, fuzzy_score(F.lit(query), F.col(name))).otherwise(0))
+    scored = ranked.withColumn("score", F.when(F.col("tier") == 3, fuzzy_score(query, F.col(name))).otherwise(0))
     sure = scored.filter("tier < 3")
     fuzzy = scored.filter("tier = 3 and score is not null").orderBy(F.desc("score"), *order).limit(limit)
     return sure.unionByName(fuzzy)
@@ -89,13 +89,13 @@ def member_search(members: DataFrame, name: str, query: str, order: list[str], l
     """Best `limit` members by tier (equal, prefix, else), score and order; the tiers mind case, the score does not."""
     n, q = F.col(name), F.lit(query)
     level = F.when(n == q, 0).when(F.startswith(n, q), 1).otherwise(2)
-    scored = members.withColumn("score", fuzzy_score(F.lit(query), n)).filter("score is not null").withColumn("tier", level)
+    scored = members.withColumn("score", fuzzy_score(query, n)).filter("score is not null").withColumn("tier", level)
     return scored.orderBy("tier", F.desc("score"), *order).limit(limit)
 
 
 def closest(names: DataFrame, name: str, query: str, n: int = 3) -> DataFrame:
     """The n names nearest to query, by the better of both directions."""
-    scored = names.withColumn("score", F.greatest(fuzzy_score(F.lit(query), F.col(name)), fuzzy_score(F.col(name), F.lit(query))))
+    scored = names.withColumn("score", F.greatest(fuzzy_score(query, F.col(name)), fuzzy_score(F.col(name), F.lit(query))))
     return scored.filter("score is not null").orderBy(F.desc("score"), name).limit(n)
 
 

@@ -196,7 +196,7 @@ def search_symbols(project: Project, artifact: str, query: str, kind: str | None
         own = _artifact(project, artifact)
     except LookupError:
         ids = project.artifacts.select(artifact_id(F.col("coordinates")).alias("id"), "artifact_rank")
-        scored = ids.withColumn("score", rank.fuzzy_score(F.lit(artifact), F.coalesce("id", F.lit(""))))
+        scored = ids.withColumn("score", rank.fuzzy_score(artifact, F.coalesce("id", F.lit(""))))
         near = [r.id for r in scored.filter("score is not null").orderBy(F.desc("score"), "artifact_rank").limit(3).collect()]
         return empty, [f'unknown artifact "{artifact}" — closest: {", ".join(near) or "(no artifacts resolved)"}']
     one = project.artifacts.filter(F.col("coordinates") == own.coordinates)

@@ -52,7 +52,7 @@ def scored_sql(source: str, key: str, name: str, q: str) -> str:
 def fuzzy_topk_part(spark, sf_dir):
     """Best 20 names by fuzzy score; a top-k, so no full sort."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    scored = part.withColumn("score", fuzzy_score(F.lit("sgi"), F.col("p_name"))).filter("score is not null")
+    scored = part.withColumn("score", fuzzy_score("sgi", F.col("p_name"))).filter("score is not null")
     return scored.orderBy(F.desc("score"), "p_partkey").limit(20)
 
 
@@ -418,7 +418,7 @@ _MISS_SQL = f"""WITH RECURSIVE {scored_sql("part", "p_partkey", "p_name", "zqx")
 def miss_negative(spark, sf_dir):
     """Suggestions, or one row that says there are none."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    scored = part.withColumn("score", fuzzy_score(F.lit("zqx"), F.col("p_name"))).filter("score is not null")
+    scored = part.withColumn("score", fuzzy_score("zqx", F.col("p_name"))).filter("score is not null")
     hits = scored.orderBy(F.desc("score"), "p_partkey").limit(3).select("p_name", F.lit(None).cast("string").alias("note"))
     note = "not found in resolved artifacts; remote artifact search is a planned extension"
     nothing = hits.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(None).cast("string").alias("p_name"), F.lit(note).alias("note"))

@@ -10,7 +10,7 @@ from lodeframe.operators.rank import tier
 
 def scored_stream(names: DataFrame, name: str, query: str) -> DataFrame:
     """Rows of a stream (or a table) that query hits, with tier and score, as they arrive."""
-    ranked = names.withColumn("tier", tier(F.col(name), query)).withColumn("score", fuzzy_score(F.lit(query), F.col(name)))
+    ranked = names.withColumn("tier", tier(F.col(name), query)).withColumn("score", fuzzy_score(query, F.col(name)))
     return ranked.filter("tier < 3 or score is not null")
 
 

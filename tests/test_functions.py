@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -35,6 +37,18 @@ def test_fuzzy_vectors(spark):
     assert (a, c, d, e) == (100, None, 100, None) and b > 0
 
 
+def test_fuzzy_score_of_given_text_and_of_long_names(spark):
+    """A query as text goes through a regular expression first, and the work grows with the query, not with the name."""
+    names_ = ["SmallRing.V1", "s.r", "sr", "rs", "", None, "\nsxr", "İsr", "Ksr", "s[r", "a\\sR", "x" * 300_000 + "aS.r"]
+    df = spark.createDataFrame([(n,) for n in names_], "t string")
+    for q in ("sr", "s[r", "\\s", "k", "é", ""):
+        began = time.perf_counter()
+        rows = df.select("t", fuzzy_score(q, F.col("t")).alias("s"), fuzzy_score(F.lit(q), F.col("t")).alias("c")).collect()
+        assert time.perf_counter() - began < 30
+        assert [r.s for r in rows] == [r.c for r in rows], q
+        assert [r.s for r in rows if r.t and r.t[0] not in "İK"] == [brute_score(q, n) for n in names_ if n and n[0] not in "İK"], q
+
+
 def test_names(spark):
     row = spark.range(1).select(
         names.simple_name(F.lit("a.b.C$D")).alias("inner"), names.simple_name(F.lit("a.C$1")).alias("anonymous"), names.entry_name(F.lit("a/b/C.class")).alias("entry"),
