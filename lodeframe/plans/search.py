@@ -228,6 +228,34 @@ def with_parents(classes: DataFrame) -> DataFrame:
     return classes.join(known, parent_name(F.col("fqn")) == F.col("parent"), "left")
 
 
+def _named_members(wanted: DataFrame, declarations: DataFrame, *kept: str) -> DataFrame:
+    """Rows of selectors.rows() (with fqn) by each member that they name, with the member's columns kept."""
+    receiver = F.col("receiver") if "receiver" in declarations.columns else F.lit(None).cast("string")
+    named = declarations.select(dotted(F.col("fqn")).alias("_fqn"), "selector", "params", receiver.alias("_receiver"), *kept)
+    fits = (dotted(F.col("fqn")) == F.col("_fqn")) & (F.col("name") == F.col("selector"))
+    met = wanted.filter("error is null").join(named, fits)
+    own = F.transform("params", S.plain_type)
+    same = F.forall(F.zip_with(own, "types", lambda a, b: S.same_type(a, b)), lambda x: x)
+    arity = F.col("any_params") | ((F.size("params") == F.size("types")) & F.coalesce(same, F.lit(False)))
+    return met.filter(arity & (F.col("of").isNull() | (F.substring_index(F.coalesce("_receiver", F.lit("")), ".", -1) == F.col("of"))))
+
+
+def count_members(declarations: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (fqn, selectors as text, any more) with hits: how many members the selectors of a row name, a member once for
+    each selector; 0 where a selector can't be read.
+
+    Asks that are alike are looked up once, and members that no selector tells apart are one row with their number, so the
+    join has a row for each form of an ask and of a member, and no pair of an ask and a member ever is a row.
+    """
+    receiver = F.col("receiver") if "receiver" in declarations.columns else F.lit(None).cast("string")
+    forms = declarations.select("fqn", "selector", "params", receiver.alias("receiver")).groupBy("fqn", "selector", "params", "receiver").agg(F.count("*").alias("_n"))
+    alike = asked.select("fqn", "selectors").distinct().withColumn("ask", F.struct("fqn", "selectors"))
+    hits = _named_members(S.rows(alike).hint("merge"), forms, "_n").groupBy("ask").agg(F.sum("_n").alias("_hits"))
+    told = hits.select(F.col("ask.fqn").alias("_fqn"), F.col("ask.selectors").alias("_selectors"), "_hits")
+    same = (F.col("fqn") == F.col("_fqn")) & (F.col("selectors") == F.col("_selectors"))
+    return asked.join(told.hint("merge"), same, "left").withColumn("hits", F.coalesce("_hits", F.lit(0)).cast("long")).drop("_fqn", "_selectors", "_hits")
+
+
 def read_members(declarations: DataFrame, files: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(slices, misses) for asked (ask, fqn, selectors as text, degraded or null): for each ask the lines of each member that
     its selectors name, comment included; what was missed, and why. All asks and selectors are one join.
@@ -236,14 +264,7 @@ def read_members(declarations: DataFrame, files: DataFrame, asked: DataFrame) ->
     finds any is a miss too. A selector that can't be read makes its whole ask one miss.
     """
     wanted = S.rows(asked)
-    receiver = F.col("receiver") if "receiver" in declarations.columns else F.lit(None).cast("string")
-    named = declarations.select("path", dotted(F.col("fqn")).alias("_fqn"), "selector", "params", "signature", "line_start", "line_end", "doc_start", receiver.alias("_receiver"))
-    fits = (dotted(F.col("fqn")) == F.col("_fqn")) & (F.col("name") == F.col("selector"))
-    met = wanted.filter("error is null").join(named, fits)
-    own = F.transform("params", S.plain_type)
-    same = F.forall(F.zip_with(own, "types", lambda a, b: S.same_type(a, b)), lambda x: x)
-    arity = F.col("any_params") | ((F.size("params") == F.size("types")) & F.coalesce(same, F.lit(False)))
-    found = met.filter(arity & (F.col("of").isNull() | (F.substring_index(F.coalesce("_receiver", F.lit("")), ".", -1) == F.col("of"))))
+    found = _named_members(wanted, declarations, "path", "signature", "line_start", "line_end", "doc_start")
     texts = found.join(files.select("path", T.lines(F.col("text")).alias("_lines")), "path", "left")
     pseudo = F.col("degraded").isNotNull() | F.col("line_start").isNull() | F.col("line_end").isNull() | F.col("_lines").isNull()
     start = F.coalesce("doc_start", "line_start")

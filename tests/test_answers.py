@@ -3,6 +3,8 @@
 import itertools
 import os
 import random
+import time
+from collections import Counter
 
 from lodeframe.functions import selectors as S
 from lodeframe.operators import forest, prefixes, rank
@@ -158,6 +160,18 @@ def test_many_selectors_in_one_join(spark):
                 missed.add((ask, k, "no matching declaration" if not own else degraded))
     assert {(r.ask, r.selector_ord, r.signature, r.lines[0]) for r in slices.collect()} == hits
     assert {(r.ask, r.selector_ord, r.reason) for r in misses.collect()} == missed and len(hits) > 100
+    counted = search.count_members(declared, spark.createDataFrame([*asks, asks[0], (902, None, "#m1", None), (903, "p.C1", None, None)], "ask int, fqn string, selectors string, degraded string"))
+    number = Counter(h[0] for h in hits)
+    assert sorted((r.ask, r.hits) for r in counted.collect()) == sorted([(a, number[a]) for a, *_ in asks] + [(0, number[0]), (902, 0), (903, 0)])
+
+
+def test_members_are_counted_without_pairs(spark):
+    """Alike asks by alike members are 2.5 billion pairs, none of which is a row."""
+    asks = spark.range(50_000).select("id", F.lit("p.C").alias("fqn"), F.lit("#m").alias("selectors"))
+    declared = spark.range(50_000).select(F.lit("p.C").alias("fqn"), F.lit("m").alias("selector"), F.lit(None).cast("array<string>").alias("params"))
+    began = time.perf_counter()
+    assert [tuple(r) for r in search.count_members(declared, asks).groupBy("hits").count().collect()] == [(50_000, 50_000)]
+    assert time.perf_counter() - began < 60
 
 
 def test_prefix_join(spark):
