@@ -1,8 +1,8 @@
 """Declarations of source files as rows, out of their statements.
 
 A statement at the depth of a class's members is a type, a member, or both (a Kotlin class with properties in its header);
-what it declares is read off its header by regular expressions, after folds have parted parameters and declarators outside
-of brackets. Which block a statement stands in, and where the block it opens is closed, is the last and the next row of
+what it declares is read off its header by regular expressions, after parameters (by folds) and declarators (in one pass, as
+a list of constants may be as long as its file) have been parted outside of brackets. Which block a statement stands in, and where the block it opens is closed, is the last and the next row of
 that depth in its file; classes get their full names by one fold over a file's classes.
 
 Not found: what stands inside blocks that are no types (local classes, bodies of enum constants), and members of a file
@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lodeframe.functions import text as T
-from lodeframe.functions.brackets import in_parentheses, split_top_level
+from lodeframe.functions.brackets import cut_top_level, in_parentheses, split_top_level
 
 from .statements import DEPRECATED, DOC, newlines, statements
 
@@ -82,18 +82,17 @@ def kotlin_params(body: Column) -> Column:
 
 
 def _located(parts: Column, line: Column) -> Column:
-    """Of each part of a statement that begins on line: part, the line of its first word, marks up to it, the line of its end."""
+    """Of each part of a statement that begins on line: part, the line of its first word, marks up to it, the line of its end.
+    parts know what comes before each of them, so that none reads another."""
     def place(p: Column, k: Column) -> Column:
-        earlier = F.array_join(F.slice(parts, F.lit(1), k), ",")
-        lead = F.regexp_extract(p, rf"^([\s{_MARKS}]*)", 1)
-        first = line + newlines(earlier) + F.when(k > 0, newlines(lead)).otherwise(0)
-        return F.struct(p.alias("part"), first.cast("int").alias("line"), (_docs_in(earlier) + _docs_in(lead)).cast("int").alias("marks"), F.contains(lead, F.lit(DOC)).alias("told"),
-                        F.contains(lead, F.lit(DEPRECATED)).alias("deprecated"), (line + newlines(F.concat(earlier, p))).cast("int").alias("last"))
+        lead = F.regexp_extract(p["part"], rf"^([\s{_MARKS}]*)", 1)
+        first = line + p["lines"] + F.when(k > 0, newlines(lead)).otherwise(0)
+        return F.struct(p["part"].alias("part"), first.cast("int").alias("line"), (p["marks"] + _docs_in(lead)).cast("int").alias("marks"), F.contains(lead, F.lit(DOC)).alias("told"),
+                        F.contains(lead, F.lit(DEPRECATED)).alias("deprecated"), (line + p["lines"] + newlines(p["part"])).cast("int").alias("last"))
 
     return F.transform(parts, place)
 
 
-
 def _docs_in(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(DOC), F.lit("")))
 
@@ -177,7 +176,8 @@ def _field_type(code: Column) -> Column:
 @_kept
 def _part_columns() -> list[dict[str, Column]]:
     """What members are made of, each computed once, in the order in which one needs the other: what stands in parentheses,
-    the types of parameters, and declarators with their places."""
+    the types of parameters, and declarators with their places. What is told of each declarator reads columns and its own
+    part only, as a statement may have as many as its file has lines."""
     rest, k, is_type = F.col("rest"), F.col("kotlin"), F.col("type_kind").isNotNull()
     after_name = F.regexp_replace(rest, rf"(?s)^\w+\s*(?:{_KOTLIN_NAME})?\s*(?:{_ANGLES})?\s*(?:(?:public|private|protected|internal)\s+)*(?:constructor\b)?", "")
     header = F.when(F.rlike(after_name, F.lit(r"^\s*\(")), in_parentheses(after_name))
@@ -192,10 +192,11 @@ def _part_columns() -> list[dict[str, Column]]:
     is_list = ~is_type & (listing | (~k & F.col("outer_kind").isNotNull() & F.col("inner").isNull()))
     typed = {
         "params": F.when(F.col("inner").isNotNull(), F.when(k, kotlin_params(F.col("inner.body"))).otherwise(java_params(F.col("inner.body")))),
-        "parts": F.when(is_list, split_top_level(F.col("code"))).when(k & is_type, split_top_level(F.col("inner.body"))),
+        "parts": cut_top_level(F.when(is_list, F.col("code")).when(k & is_type, F.col("inner.body")), DOC),
         "field_type": F.when(is_list & ~k, _field_type(F.when(F.startswith(F.trim(rest), F.lit(",")), F.col("led.code")).otherwise(F.col("code")))),
+        "begins": F.when(is_list, begins).otherwise(in_header), "goes_on": F.startswith(F.trim(rest), F.lit(",")),
     }
-    return [{"signed": F.when(k, signed)}, {"inner": inner}, typed, {"parts": _located(F.col("parts"), F.when(is_list, begins).otherwise(in_header))}]
+    return [{"signed": F.when(k, signed)}, {"inner": inner}, typed, {"parts": _located(F.col("parts"), F.col("begins"))}]
 
 
 @_kept
@@ -220,7 +221,7 @@ def _java_members() -> Column:
     own_params = F.coalesce("outer_params", F.array().cast("array<string>"))
     compact = _member(outer, "constructor", words, visibility, _spaced(mods, F.concat(outer, F.lit("("), F.array_join(own_params, ","), F.lit(")"))), own_params)
 
-    parts, goes_on, before = F.col("parts"), F.startswith(F.trim(rest), F.lit(",")), F.startswith(F.get("following", F.lit(0))["rest"], F.lit(","))
+    parts, goes_on, before = F.col("parts"), F.col("goes_on"), F.startswith(F.get("following", F.lit(0))["rest"], F.lit(","))
     end = F.when(F.col("ends") == "{", F.when(F.coalesce(before, F.lit(False)), F.col("closed")).otherwise(F.get("following", F.lit(0))["end"])).otherwise(F.col("line_end"))
     of = F.when(goes_on, F.col("led.words")).otherwise(words)
     lead = rf"(?s)^[\s{_MARKS}]*(?:(?:{_JAVA_WORDS})\b[\s{_MARKS}]*)*"
@@ -317,9 +318,12 @@ def scan_declarations(files: DataFrame) -> DataFrame:
     known = met.filter(reached).withColumn("listed", listed)
     for columns in _part_columns():
         known = known.withColumns(columns)
-    each = known.withColumn("m", F.explode(F.when(F.col("kotlin"), _kotlin_members()).otherwise(_java_members())))
+    # each member takes its own comment along, not the statement's list of them
+    told = lambda m: F.struct(m.alias("m"), F.when(m["marks"] > 0, F.get("docs", m["marks"] - 1)).alias("doc"))
+    members = F.when(F.col("kotlin"), _kotlin_members()).otherwise(_java_members())
+    each = known.withColumn("found", F.explode(F.transform(members, told))).select("*", "found.*").drop("found", "docs")
     end = F.coalesce("m.last", F.when(F.col("ends") == "{", F.coalesce("closed", "line_end")), F.when(F.col("ends") == ";", F.col("line_end")), "line_last")
-    doc = F.when(F.col("m.marks") > 0, F.get("docs", F.col("m.marks") - 1))
+    doc = F.col("doc")
     top = F.col("kotlin") & F.col("outer_fqn").isNull() & ~F.col("m.of_own")
     fqn = F.when(F.col("m.of_own"), F.col("own_fqn")).otherwise(F.coalesce("outer_fqn", F.concat_ws(".", F.nullif("package", F.lit("")), facade)))
     is_type = F.col("m.of_own") & F.col("type_kind").isNotNull() & (F.col("m.selector") == F.col("name")) & (F.col("m.kind") == F.col("type_kind"))

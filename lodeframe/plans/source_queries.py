@@ -38,7 +38,7 @@ def brand_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT path, cls, 'shop.' || cls, 'size', 'method', 'public int size(Map<String,Integer>,int...)', n + 10, n + 16, true, NULL, 'Map<String,Integer>;int...' FROM counted)
     SELECT path, fqn, selector, kind, signature, line_start::INTEGER AS line_start, line_end::INTEGER AS line_end, deprecated, doc_start::INTEGER AS doc_start, params FROM found""")
 def declarations_of_brands(spark, sf_dir):
-    """Declarations of made sources: one shuffle by file, folds only over parameters and declarators."""
+    """Declarations of made sources: one shuffle by file, folds only over parameters, one pass over declarators."""
     found = scan_declarations(brand_sources(spark, sf_dir))
     return found.select("path", "fqn", "selector", "kind", "signature", "line_start", "line_end", "deprecated", "doc_start", F.array_join("params", ";").alias("params"))
 

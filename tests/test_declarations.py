@@ -1,10 +1,12 @@
 """Declarations of made-up sources against tables of what they declare."""
 
+import time
+
 import pytest
 
-from lodeframe.functions.brackets import in_parentheses, split_top_level
+from lodeframe.functions.brackets import cut_top_level, in_parentheses, split_top_level
 from lodeframe.operators.declarations import scan_declarations, scan_problems
-from lodeframe.operators.statements import statements
+from lodeframe.operators.statements import DOC, statements
 from pyspark.sql import functions as F
 
 JAVA = '''// class Fake0 { }
@@ -219,3 +221,30 @@ def test_brackets(spark):
     assert parts[0] == ["Map<String, List<X>> a", " int b"] and parts[1] == [""] and parts[2] == ["a"] and len(parts[3]) == 3 and parts[4] == ["a < b", " c"] and parts[5] == ["", ""]
     inner = df.select(in_parentheses(F.lit("f(a(b), c) throws X(1)")).alias("i"), in_parentheses(F.lit("none")).alias("n")).first()
     assert tuple(inner.i) == ("a(b), c", " throws X(1)") and inner.n is None
+
+
+def test_parts_are_cut_alike(spark):
+    """One pass over a text and the fold give the same parts; a part knows what stands before it."""
+    texts = ["", ",", "a", "a < b, c", "f(1, 2), (x -> y, z), c[1, 2]", "a), b(c, d", ")),(,),", "x >= 1, y<z, w>,v", f"{DOC}\n a,\n\n{DOC} b{DOC}(\n,), \u00e9\U0001F600,c"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", split_top_level(F.col("t")).alias("p"), cut_top_level(F.col("t"), DOC).alias("c"))
+    rows = df.collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        assert (r.c is None) == (r.p is None) == (r.t is None)
+        for k, c in enumerate(r.c or []):
+            earlier = ",".join(r.p[:k])
+            assert tuple(c) == (r.p[k], earlier.count("\n"), earlier.count(DOC)) and len(r.c) == len(r.p)
+    held = spark.createDataFrame([(")(a)b",), ("((",), ("a)b(c)d(e)",), ("\u00e9\U0001F600(\u00e8)\U0001F600x",), ("()",), ("f(a(b)",)], "t string").select(in_parentheses(F.col("t")).alias("i")).collect()
+    assert [tuple(r.i) for r in held] == [("", ""), ("(", ""), ("", ""), ("\u00e8", "\U0001F600x"), ("", ""), ("a(b)", "")]
+
+
+def test_statement_of_many_parts(spark):
+    """Work grows with a statement's parts, not with their square: a list of 40,000 constants with comments and arguments."""
+    n = 40_000
+    text = "enum E {\n" + ",\n".join(f"/** {k} */ A{k}({k}, b({k}))" for k in range(n)) + ";\n  int " + ", ".join(f"f{k}" for k in range(n // 4)) + ";\n}\n"
+    began = time.monotonic()
+    rows = scanned(spark, ("E.java", text))
+    assert time.monotonic() - began < 150
+    constants = sorted((r.line_start, r.line_end, r.selector, r.javadoc, r.doc_start) for r in rows if r.kind == "enum-constant")
+    assert constants == [(k + 2, k + 2, f"A{k}", f"/** {k} */", k + 2) for k in range(n)]
+    assert {r.signature for r in rows if r.kind == "field"} == {f"int f{k}" for k in range(n // 4)} and len(rows) == 1 + n + n // 4
