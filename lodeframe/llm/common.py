@@ -130,21 +130,30 @@ def _slot(slots: int, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(slots))
 
 
+def slot_bits(rows: DataFrame, slot: Column, slots: int) -> np.ndarray:
+    """A bit for each of slots (a multiple of 64), least first in its byte: whether slot of a row is it.
+
+    At most slots / 64 words reach the driver, and as Arrow columns of 12 bytes a word; as Row objects they would take
+    some 500 there.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    words = rows.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    flags = np.zeros(slots // 64, dtype=np.int64)
+    for batch in words.toArrow().to_batches():
+        flags[batch["word"].to_numpy()] = batch["bits"].to_numpy()
+    return flags.view(np.uint8)
+
+
 def slot_filter(rows: DataFrame, *keys: str) -> SlotFilter:
-    """The filter of the keys of rows, its flags a scalar subquery; at most MOST_SLOTS / 64 rows reach the driver.
+    """The filter of the keys of rows, its flags a scalar subquery; at most MOST_SLOTS / 64 words reach the driver.
 
     A false hit costs work and no more, as what passes is joined or compared exactly afterwards.
     """
     n, slots = rows.count(), LEAST_SLOTS
     while slots < min(8 * n, MOST_SLOTS):
         slots *= 2
-    slot = _slot(slots, *[F.col(k) for k in keys])
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
-    words = rows.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    flags = np.zeros(slots // 64, dtype=np.int64)
-    for row in words.collect():
-        flags[row.word] = row.bits
-    body = bytearray(np.unpackbits(flags.view(np.uint8), bitorder="little").tobytes())
+    flags = slot_bits(rows, _slot(slots, *[F.col(k) for k in keys]), slots)
+    body = bytearray(np.unpackbits(flags, bitorder="little"))
     return SlotFilter(rows.sparkSession.createDataFrame([(body,)], "flags binary").scalar(), slots)
 
 

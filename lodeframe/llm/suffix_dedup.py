@@ -25,7 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, frames, runs, slim, slot_filter, stored
+from .common import checkpoint, frames, runs, slim, slot_bits, slot_filter, stored
 
 WINDOW, GRAM = 100, 24
 #: Window starts that are hashed at once, so that a very long text needs no more memory.
@@ -206,16 +206,11 @@ def repeated_keys(docs: DataFrame) -> DataFrame:
 
 
 def _key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for each slot that a repeated key falls in; at most MOST_BITS / 64 rows reach the driver."""
+    """A bit for each slot that a repeated key falls in; at most MOST_BITS / 64 words reach the driver."""
     n, bits = keys.count(), LEAST_BITS
     while bits < min(8 * n, MOST_BITS):
         bits *= 2
-    slot = F.pmod(F.col("key"), F.lit(bits))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
-    words = keys.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    flags = np.zeros(bits // 64, dtype=np.int64)
-    flags[words["word"]] = words["bits"]
-    return flags.view(np.uint8)
+    return slot_bits(keys, F.pmod(F.col("key"), F.lit(bits)), bits)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:

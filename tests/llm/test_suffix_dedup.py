@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lodeframe.llm import suffix_dedup
+from lodeframe.llm import common, suffix_dedup
 from lodeframe.llm.suffix_dedup import WINDOW, common_prefixes, dedup_substrings, suffix_array, window_runs
 
 
@@ -96,3 +98,32 @@ def test_equal_windows_share_a_key():
     one, two = keys(a[:1234] + inner + b), keys(b[:77] + inner + a)
     shared = one.keys() & two.keys()
     assert len(shared) >= 201 and all(one[w] == two[w] for w in shared)
+
+
+def test_filters_reach_the_driver_as_columns(spark):
+    keys = spark.range(0, 400_000, 1, 8).select(F.xxhash64("id").alias("key")).cache()
+    slots = keys.toArrow()["key"].to_numpy()
+
+    def traced(make):
+        tracemalloc.start()
+        try:
+            flags = make()
+            most = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        expected = np.zeros(8 * len(flags), dtype=bool)
+        expected[slots & (len(expected) - 1)] = True
+        assert (np.unpackbits(flags, bitorder="little") == expected).all()
+        return most / len(flags)
+
+    # a Row takes some 500 bytes, sixty times its word
+    assert traced(lambda: suffix_dedup._key_filter(keys)) < 4
+    assert traced(lambda: common.slot_bits(keys, F.pmod("key", F.lit(1 << 23)), 1 << 23)) < 4
+    keys.unpersist()
+
+
+def test_filter_of_no_rows(spark):
+    none = spark.createDataFrame([], "key long")
+    assert not suffix_dedup._key_filter(none).any()
+    may = common.slot_filter(none, "key").hit(F.col("id"))
+    assert spark.range(100).filter(may).count() == 0
