@@ -110,7 +110,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Least and most slots of a filter that goes to every task, a byte each: 1 and 16 MB. A filter has about eight slots a row
+#: Least and most slots of a filter that goes to every task, a bit each: 128 kB and 2 MB. A filter has about eight slots a row
 #: of what it holds; where that is more than the most, it lets more pass, to the exact join.
 LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 24
 
@@ -119,11 +119,12 @@ LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 24
 class SlotFilter:
     """Whether keys may be among those of a table: always so if they are, and by chance if they are not."""
 
-    flags: Column
+    words: Column
     slots: int
 
     def hit(self, *keys: Column) -> Column:
-        return F.substring(self.flags, _slot(self.slots, *keys).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+        slot = _slot(self.slots, *keys)
+        return F.getbit(F.get(self.words, F.shiftright(slot, 6).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1
 
 
 def _slot(slots: int, *keys: Column) -> Column:
@@ -145,16 +146,16 @@ def slot_bits(rows: DataFrame, slot: Column, slots: int) -> np.ndarray:
 
 
 def slot_filter(rows: DataFrame, *keys: str) -> SlotFilter:
-    """The filter of the keys of rows, its flags a scalar subquery; at most MOST_SLOTS / 64 words reach the driver.
+    """The filter of the keys of rows, its words a scalar subquery; at most MOST_SLOTS / 64 of them reach the driver.
 
     A false hit costs work and no more, as what passes is joined or compared exactly afterwards.
     """
     n, slots = rows.count(), LEAST_SLOTS
     while slots < min(8 * n, MOST_SLOTS):
         slots *= 2
-    flags = slot_bits(rows, _slot(slots, *[F.col(k) for k in keys]), slots)
-    body = bytearray(np.unpackbits(flags, bitorder="little"))
-    return SlotFilter(rows.sparkSession.createDataFrame([(body,)], "flags binary").scalar(), slots)
+    words = slot_bits(rows, _slot(slots, *[F.col(k) for k in keys]), slots).view(np.int64)
+    # the plan, its tasks and the subquery's result hold the words in several places at once
+    return SlotFilter(rows.sparkSession.createDataFrame([(words.tolist(),)], "words array<long>").scalar(), slots)
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:

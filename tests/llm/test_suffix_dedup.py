@@ -122,6 +122,22 @@ def test_filters_reach_the_driver_as_columns(spark):
     keys.unpersist()
 
 
+def test_filter_holds_a_bit_a_slot(spark):
+    held = spark.range(0, 400_000, 1, 8).cache()
+    held.count()
+    tracemalloc.start()
+    may = common.slot_filter(held, "id")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert may.slots == 1 << 22 and most < 3 * may.slots
+    asked = spark.range(0, 800_000, 1, 8).select("id", F.xxhash64("id").alias("hash"), may.hit(F.col("id")).alias("hit")).toArrow()
+    slots = asked["hash"].to_numpy() & (may.slots - 1)
+    expected = np.isin(slots, slots[asked["id"].to_numpy() < 400_000])
+    hit = asked["hit"].to_numpy()
+    assert (hit == expected).all() and 400_000 < hit.sum() < 450_000
+    held.unpersist()
+
+
 def test_filter_of_no_rows(spark):
     none = spark.createDataFrame([], "key long")
     assert not suffix_dedup._key_filter(none).any()
